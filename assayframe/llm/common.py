@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six characters that separate words everywhere in this package.
@@ -41,6 +41,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again. Unlike a checkpoint, the planner then knows its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once per row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of the Python operators small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
