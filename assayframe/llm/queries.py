@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, simhash
-from .common import documents
+from . import bpe, quality, secrets, simhash, token_files
+from .common import documents, scratch_path
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +33,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op7_quality_rules)}
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(WORD_BPE)
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_files.tokenize_to_files(documents(spark, sf_dir), tokenizer_path(WORD_BPE), scratch_path(spark, "tokens"), end_id=1)
+    return token_files.checksums(written)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op7_quality_rules, op8_bpe_round_trip, op10_token_files)}
 ORACLES: dict[str, str] = {}
