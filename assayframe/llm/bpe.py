@@ -27,8 +27,8 @@ from .common import bounded_batches, id_and_text, record_batch
 REMEMBERED = 250_000
 
 
-def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """symbols after all merges. ranks: pair of symbols -> (rank, merged symbol); the lowest rank goes first, then the leftmost."""
+def merge(symbols: list, ranks) -> list:
+    """symbols after all merges. ranks.get(pair of symbols): (rank, merged symbol) or None; the lowest rank goes first, then the leftmost."""
     n = len(symbols)
     if n < 2:
         return symbols
@@ -44,7 +44,7 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
         j = after[i]
         if symbols[i] != left or j >= n or symbols[j] != right:
             continue  # stale
-        symbols[i], symbols[j] = new, -1
+        symbols[i], symbols[j] = new, None
         k = after[i] = after[j]
         if k < n:
             before[k] = i
@@ -53,7 +53,7 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
         h = before[i]
         if h >= 0 and (found := ranks.get((symbols[h], new))):
             heapq.heappush(queue, (found[0], h, symbols[h], new, found[1]))
-    return [s for s in symbols if s >= 0]
+    return [s for s in symbols if s is not None]
 
 
 def byte_symbols() -> list[str]:

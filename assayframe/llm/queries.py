@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets, simhash, token_files
+from . import bpe, decontam, quality, secrets, sharding, simhash, token_counts, token_files
 from .common import documents, scratch_path
 
 
@@ -17,6 +17,9 @@ def tokenizer_path(name: str) -> str:
 
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+#: Bytes of text in a shard.
+SHARD_BYTES = 64 << 20
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path(PIECE_BPE), limit=4096)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir), SHARD_BYTES)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
@@ -39,10 +50,18 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "score", "share", "first_word", "end_word")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.tokenize_to_files(documents(spark, sf_dir), tokenizer_path(WORD_BPE), scratch_path(spark, "tokens"), end_id=1)
     return token_files.checksums(written)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op7_quality_rules, op8_bpe_round_trip, op10_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_secret_scan, op4_token_counts, op5_sharding, op7_quality_rules, op8_bpe_round_trip, op9_decontamination, op10_token_files)
+}
 ORACLES: dict[str, str] = {}
