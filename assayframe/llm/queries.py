@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, secrets, sharding, simhash, token_counts, token_files
+from . import bpe, bwt, decontam, quality, rlz, secrets, sharding, simhash, token_counts, token_files
 from .common import documents, scratch_path
 
 
@@ -31,6 +31,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
 
 
+def op3_substring_dedup_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = rlz.drop_repeats(documents(spark, sf_dir), window=20)
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path(PIECE_BPE), limit=4096)
 
@@ -39,6 +44,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), SHARD_BYTES)
 
 
+def op6_substring_dedup_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.drop_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
@@ -62,6 +71,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_secret_scan, op4_token_counts, op5_sharding, op7_quality_rules, op8_bpe_round_trip, op9_decontamination, op10_token_files)
+    for f in (op1_simhash_near_dedup, op2_secret_scan, op3_substring_dedup_rlz, op4_token_counts, op5_sharding, op6_substring_dedup_bwt, op7_quality_rules, op8_bpe_round_trip, op9_decontamination, op10_token_files)
 }
 ORACLES: dict[str, str] = {}

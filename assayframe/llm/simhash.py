@@ -61,16 +61,17 @@ def fingerprint(texts: list[bytes], width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Rows keep their order and number; extra columns are ignored."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long. Rows keep their order and number; extra columns are ignored."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprint(list(text_bytes(batch.column(1))), width).view(np.int64)
-            yield record_batch(schema, [batch.column(0), fp])
+            fp = fingerprint(list(text_bytes(batch.column(2))), width).view(np.int64)
+            yield record_batch(schema, [batch.column(0), batch.column(1), fp])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    hashed = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def block_masks(max_bits: int) -> list[int]:
@@ -170,14 +171,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component unless all its ids are null. Repeated rows stay. An empty table gives an empty result.
     n_copies: rows with the same fingerprint; n_linked: distinct fingerprints in the component.
     """
-    fps = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")))
-    labels = connected_components(close_links(distinct.select("fp"), max_bits))
-    named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    fps, named = _components(docs, id_col, text_col, width, max_bits)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_linked"))
     named = named.join(smallest, "component").select("fp", "component_id", "n_copies", "n_linked")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id", "n_copies", "n_linked")
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp, first) of each row, where first orders rows by id, and (fp, first_id, n_copies, component) of each fingerprint."""
+    fps = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
+    fps = fps.withColumn("first", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")))
+    labels = connected_components(close_links(distinct.select("fp"), max_bits))
+    return fps, distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
+    """The row with the smallest id of each component, with the columns of docs; of rows alike in id and text, any one.
+
+    Null ids come after all others.
+    """
+    fps, named = _components(docs, id_col, text_col, width, max_bits)
+    kept = fps.join(named, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    repeated = fps.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first.*")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    keyed = docs.withColumn("_id", docs[id_col].cast("long")).withColumn("_hash", F.xxhash64(text))
+    same = lambda other: keyed["_id"].eqNullSafe(other["doc_id"]) & (keyed["_hash"] == other["text_hash"])
+    out = keyed.join(kept, same(kept), "left_semi")
+    if not repeated.isEmpty():
+        out = out.dropDuplicates(["_id", "_hash"])
+    return out.select(*docs.columns)
+
+
 def hex_digits(column: str) -> F.Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
