@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 _SPACE = r"[\s  ]"
 _NUMBER = r"[+-]?(?:\d[\d\s  .,]*|\.\d+)"
 
@@ -18,25 +20,28 @@ UNIT_SPELLINGS = {
 
 def locale_decimal(text: Column) -> Column:
     """The double that text says: of comma and dot, the last is the decimal sign; a lone comma is one too. Else null."""
-    tight = F.regexp_replace(text, _SPACE, "")
-    comma, dot = F.length(tight) - F.locate(",", F.reverse(tight)), F.length(tight) - F.locate(".", F.reverse(tight))
-    has_comma, has_dot = tight.contains(","), tight.contains(".")
-    both_comma = F.regexp_replace(F.replace(tight, F.lit("."), F.lit("")), "^([^,]*),", "$1.")
-    both_dot = F.replace(tight, F.lit(","), F.lit(""))
-    plain = F.when(has_comma & has_dot, F.when(comma > dot, both_comma).otherwise(both_dot)).when(has_comma, F.regexp_replace(tight, "^([^,]*),", "$1.")).otherwise(tight)
-    return F.when(plain.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
+
+    def parsed(t: Column) -> Column:
+        both = F.when(F.locate(",", F.reverse(t)) < F.locate(".", F.reverse(t)), F.regexp_replace(F.replace(t, F.lit("."), F.lit("")), "^([^,]*),", "$1.")).otherwise(F.replace(t, F.lit(","), F.lit("")))
+        plain = F.when(t.contains(",") & t.contains("."), both).when(t.contains(","), F.regexp_replace(t, "^([^,]*),", "$1.")).otherwise(t)
+        return let(plain, lambda p: F.when(p.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), p.try_cast("double")))
+
+    return let(F.regexp_replace(text, _SPACE, ""), parsed)
 
 
 def comparator_value(text: Column) -> Column:
     """struct(kind, comparator, num, text): a number, a bound (<= reads as <), or free text; null for an empty text."""
     trimmed = F.btrim(text)
     pattern = rf"^([<>≤≥])?\s*({_NUMBER})\s*(.*)$"
-    sign, num = F.regexp_extract(trimmed, pattern, 1), locale_decimal(F.regexp_extract(trimmed, pattern, 2))
-    bound = F.when(sign.isin("<", "≤"), "<").when(sign.isin(">", "≥"), ">")
-    known = trimmed.rlike(pattern) & num.isNotNull()
-    kind = F.when(~known, "free_text").when(bound.isNotNull(), "bounded").otherwise("numeric")
-    value = F.struct(kind.alias("kind"), F.when(known, bound).alias("comparator"), F.when(known, num).alias("num"), F.when(~known, trimmed).alias("text"))
-    return F.when(F.length(trimmed) > 0, value)
+    parts = F.struct(trimmed.alias("text"), trimmed.rlike(pattern).alias("shape"), F.regexp_extract(trimmed, pattern, 1).alias("sign"), locale_decimal(F.regexp_extract(trimmed, pattern, 2)).alias("num"))
+
+    def value(v: Column) -> Column:
+        bound = F.when(v["sign"].isin("<", "≤"), "<").when(v["sign"].isin(">", "≥"), ">")
+        known = v["shape"] & v["num"].isNotNull()
+        kind = F.when(~known, "free_text").when(bound.isNotNull(), "bounded").otherwise("numeric")
+        return F.when(F.length(v["text"]) > 0, F.struct(kind.alias("kind"), F.when(known, bound).alias("comparator"), F.when(known, v["num"]).alias("num"), F.when(~known, v["text"]).alias("text")))
+
+    return let(parts, value)
 
 
 def scalar_value(text: Column, reference: Column) -> Column:

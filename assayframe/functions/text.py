@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _single_folds() -> tuple[str, str]:
@@ -34,7 +35,7 @@ def alias_key(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(dashes, "[^a-z0-9]+", " "), " +", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def alias_key_exact(text: pd.Series) -> pd.Series:
     """alias_key with the whole NFKD, also where a character decomposes to several; Spark has no such function."""
 

@@ -6,49 +6,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The passes: the columns that must agree; a pass skips rows in which one of them is null, but for the value.
-PASSES = [["label", "page", "value"], ["label", "page"], ["label", "date"], ["label"]]
+#: What must agree in each pass, strictest first; rows with a null page or date stay out of the passes that need it.
+PASSES = (("page", "value"), ("page",), ("date",), ())
+#: What a matching produced row is preferred for.
+WEIGHTS = {"date": 100, "specimen": 10, "page": 5, "unit": 2}
 
 
 def match_cascade(expected: DataFrame, produced: DataFrame) -> DataFrame:
     """One-to-one pairs (report_id, expected_idx, produced_idx, pass).
 
-    Both sides: report_id, idx, label, page, value, date, specimen, unit. Passes go from the strictest key to the label alone, and what one has
-    matched is out of the next. Within a key, expected rows take in their order the free produced row that agrees most: on the date (100),
-    the specimen (10), the page (5), the unit (2); on a tie the first. Groups of a key are those of one report and label, so they stay small.
+    Both sides: report_id, idx, label, page, value, date, specimen, unit. Only rows of one report and label can match, so a group of these goes
+    through all passes by itself: one shuffle. Within a pass and key, expected rows take in their order the free produced row with the most
+    weight, on a tie the first. Rows without a label match nothing.
     """
-    side = lambda df, name: df.select("report_id", F.lit(name).alias("side"), "idx", *[F.col(c).cast("string").alias(c) for c in ("label", "page", "value", "date", "specimen", "unit")])
-    left, done = side(expected, "e").unionByName(side(produced, "p")), None
+    columns = ["label", "page", "value", "date", "specimen", "unit"]
+    side = lambda df, name: df.select(F.col("report_id").cast("string").alias("report_id"), F.lit(name).alias("side"), F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("string").alias(c) for c in columns])
+    both = side(expected, "e").unionByName(side(produced, "p")).where("label is not null")
+    shared = both.groupBy("report_id", "label").agg(F.min("side").alias("_a"), F.max("side").alias("_b")).where("_a <> _b").select("report_id", "label")
+    return both.join(shared, ["report_id", "label"], "left_semi").groupBy("report_id", "label").applyInPandas(_matched, "report_id string, expected_idx long, produced_idx long, pass int")
+
+
+def _matched(rows: pd.DataFrame) -> pd.DataFrame:
+    """All passes over the rows of one report and label."""
+    rows = rows.sort_values("idx").astype(object).where(rows.notna(), None).to_dict("records")
+    wanted, free, out = [r for r in rows if r["side"] == "e"], [r for r in rows if r["side"] == "p"], []
     for n, keys in enumerate(PASSES):
-        group = left
-        for k in keys:
-            if k != "value":
-                group = group.where(F.col(k).isNotNull())
-        key = F.to_json(F.struct(*keys))
-        both = group.withColumn("_key", key)
-        sides = both.groupBy("report_id", "_key").agg(F.count_distinct("side").alias("_sides")).where("_sides = 2").select("report_id", "_key")
-        pairs = both.join(sides, ["report_id", "_key"]).groupBy("report_id", "_key").applyInPandas(_greedy, "report_id string, expected_idx long, produced_idx long").withColumn("pass", F.lit(n + 1))
-        done = pairs if done is None else done.unionByName(pairs)
-        used = pairs.select("report_id", F.lit("e").alias("side"), F.col("expected_idx").alias("idx")).unionByName(pairs.select("report_id", F.lit("p").alias("side"), F.col("produced_idx").alias("idx")))
-        left = left.join(used, ["report_id", "side", "idx"], "left_anti")
-    return done
-
-
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    expected = rows[rows.side == "e"].sort_values("idx").to_dict("records")
-    free = rows[rows.side == "p"].sort_values("idx").to_dict("records")
-    out = []
-    for e in expected:
-        agree = lambda p, c: p[c] is not None and p[c] == e[c]  # noqa: B023, E731
-        best, most = None, -1
-        for i, p in enumerate(free):
-            score = 100 * agree(p, "date") + 10 * agree(p, "specimen") + 5 * agree(p, "page") + 2 * agree(p, "unit")
-            if score > most:
-                best, most = i, score
-        if best is None:
-            break
-        out.append((e["report_id"], int(e["idx"]), int(free.pop(best)["idx"])))
-    return pd.DataFrame(out, columns=["report_id", "expected_idx", "produced_idx"])
+        held: dict[tuple, list[dict]] = {}
+        for p in free:
+            held.setdefault(tuple(p[k] for k in keys), []).append(p)
+        unmatched = []
+        for e in wanted:
+            key = tuple(e[k] for k in keys)
+            known = all(v is not None for k, v in zip(keys, key, strict=True) if k != "value")
+            candidates = held.get(key, []) if known else []
+            if not candidates:
+                unmatched.append(e)
+                continue
+            weight = [sum(w for c, w in WEIGHTS.items() if p[c] is not None and p[c] == e[c]) for p in candidates]
+            p = candidates.pop(weight.index(max(weight)))
+            out.append((e["report_id"], e["idx"], p["idx"], n + 1))
+        wanted, used = unmatched, {o[2] for o in out}
+        free = [p for p in free if p["idx"] not in used]
+    return pd.DataFrame(out, columns=["report_id", "expected_idx", "produced_idx", "pass"])
 
 
 def field_status(expected: Column, produced: Column, ambiguous: Column) -> Column:

@@ -1 +1 @@
-"""See the package README."""
+"""Queries over the driver's tables, each with its SQL where there is one."""
