@@ -1,7 +1,8 @@
 """SimHash near-duplicates: pigeonhole blocks, then the Hamming distance.
 
-A 64-bit fingerprint is cut into `max_bits + 2` blocks. Two fingerprints that differ in at most `max_bits` bits
-agree in two whole blocks at least, so every close pair shares a row of the join key (pair of blocks, their bits).
+A 64-bit fingerprint is cut into `max_bits + agree` blocks. Two fingerprints that differ in at most `max_bits` bits
+agree in `agree` whole blocks at least, so every close pair shares a row of the join key (choice of blocks, their bits). With
+more blocks to agree in, keys are longer and buckets smaller, but each fingerprint has more keys.
 Equal fingerprints count once from the start, so a group of exact copies is one row here.
 
 A bucket of the join yields a spanning forest of its links, not all pairs. A bucket with more than
@@ -74,12 +75,12 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return hashed.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def block_masks(max_bits: int) -> list[int]:
-    """A mask for each pair of blocks, as signed 64-bit integers."""
-    n = max_bits + 2
+def block_masks(max_bits: int, agree: int = 2) -> list[int]:
+    """A mask for each choice of `agree` blocks out of max_bits + agree, as signed 64-bit integers."""
+    n = max_bits + agree
     cuts = [64 * i // n for i in range(n + 1)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    unsigned = [x | y for x, y in combinations(blocks, 2)]
+    unsigned = [sum(chosen) for chosen in combinations(blocks, agree)]
     return [m - (1 << 64) if m >> 63 else m for m in unsigned]
 
 
@@ -117,9 +118,9 @@ def _bucket_links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndarr
     return np.concatenate(links) if links else np.empty((0, 2), np.uint64)
 
 
-def close_links(distinct: DataFrame, max_bits: int) -> DataFrame:
+def close_links(distinct: DataFrame, max_bits: int, agree: int = 2) -> DataFrame:
     """distinct (fp): links (a, b) that connect all fingerprints at max_bits or fewer, through others if need be."""
-    masks = block_masks(max_bits)
+    masks = block_masks(max_bits, agree)
     rows = distinct.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k")
     ).select("k.pair", "k.bits", "fp")
@@ -177,21 +178,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp").select("doc_id", "fp", "component_id", "n_copies", "n_linked")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, agree: int = 2) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, fp, first) of each row, where first orders rows by id, and (fp, first_id, n_copies, component) of each fingerprint."""
     fps = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
     fps = fps.withColumn("first", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")))
-    labels = connected_components(close_links(distinct.select("fp"), max_bits))
+    labels = connected_components(close_links(distinct.select("fp"), max_bits, agree))
     return fps, distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, agree: int = 2) -> DataFrame:
     """The row with the smallest id of each component, with the columns of docs; of rows alike in id and text, any one.
 
     Null ids come after all others.
     """
-    fps, named = _components(docs, id_col, text_col, width, max_bits)
+    fps, named = _components(docs, id_col, text_col, width, max_bits, agree)
     kept = fps.join(named, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     repeated = fps.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first.*")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
