@@ -136,3 +136,43 @@ def windows_of_lines(cells: DataFrame) -> DataFrame:
     w = Window.partitionBy(*PAGE).orderBy("line")
     near = lambda f: F.when(F.abs(f("y").over(w) - F.col("y")) <= 0.055, f("text").over(w))
     return lines.withColumn("above", near(F.lag)).withColumn("below", near(F.lead))
+
+
+def date_label_pairs(tokens: DataFrame, labels: DataFrame, width: float = 0.002) -> DataFrame:
+    """(page, token_id, n_near, label_id, ambiguous): the label nearest in x to each date token of its page, within a tie band."""
+    from .joins import tie_band
+
+    met = tokens.select(*PAGE, "token_id", F.col("x").alias("_tx")).join(labels.select(*PAGE, "label_id", F.col("x").alias("_lx")), PAGE)
+    return tie_band(met.withColumn("_dx", F.abs(F.col("_tx") - F.col("_lx"))), [*PAGE, "token_id"], "_dx", width, "label_id")
+
+
+def specimen_of_rows(rows: DataFrame, headings: DataFrame) -> DataFrame:
+    """rows with `specimen`: their own, else the one that their table's headings agree on, else the report's one, else unknown.
+
+    rows (report_id, table_id, own), headings (report_id, table_id, specimen), a null table_id being the document's.
+    """
+    one = lambda keys, name: headings.where(F.col("specimen") != "unknown").groupBy(*keys).agg(F.when(F.min("specimen") == F.max("specimen"), F.min("specimen")).alias(name))
+    out = rows.join(one(["report_id", "table_id"], "_table"), ["report_id", "table_id"], "left").join(one(["report_id"], "_doc"), "report_id", "left")
+    return out.withColumn("specimen", F.coalesce("own", "_table", "_doc", F.lit("unknown"))).drop("_table", "_doc")
+
+
+def is_permutation(pages: Column, order: Column) -> Column:
+    """Whether a sanitization recipe's page order has each page once."""
+    return F.array_sort(pages) == F.array_sort(order)
+
+
+def bounded_chunks(rows: DataFrame, keys: list[str], order: str, payload: Column, limit: int) -> DataFrame:
+    """(keys, block, json, n_bytes): rows as JSON arrays of at most `limit` bytes each, in order; a row over the limit is left out."""
+    from .clustering import packed_blocks
+
+    sized = rows.select(*keys, order, payload.alias("_json")).withColumn("_bytes", F.octet_length("_json") + 1).withColumn("_one", F.lit(""))
+    blocks = packed_blocks(sized, keys, order, "_bytes", limit - 1, "_one").where("block is not null")
+    json = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_json"))), lambda r: r["_json"]), ","), F.lit("]"))
+    return blocks.groupBy(*keys, "block").agg(json.alias("json")).withColumn("n_bytes", F.octet_length("json").cast("long"))
+
+
+def current_pipeline(rows: DataFrame, versions: Column, stored: str) -> DataFrame:
+    """rows with is_current: whether their stored fingerprint is that of the versions."""
+    from ..functions.text import fingerprint
+
+    return rows.withColumn("is_current", F.col(stored) == fingerprint(versions))

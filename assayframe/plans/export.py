@@ -79,3 +79,43 @@ def catalogue_release_issues(spark: SparkSession, d: str) -> DataFrame:
 def line_counts(spark: SparkSession, d: str) -> DataFrame:
     short = (F.length("text") <= 96) & F.col("text").rlike("[a-zA-Z]")
     return s.lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(short, 1)).alias("n_short"))
+
+
+@query("""SELECT s_suppkey, unnest(range(0, greatest(1, CAST(ceil((s_suppkey + 100 - 200) / 150.0) AS BIGINT) + 1))) * 150 AS top FROM supplier""")
+def page_bands(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.geometry import overlapping_bands
+
+    bands = s.read(spark, d, "supplier").select("s_suppkey", F.explode(overlapping_bands(F.col("s_suppkey") + 100, 200, 150)).alias("b"))
+    return bands.select("s_suppkey", F.col("b.top").cast("long").alias("top"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'cold|hot') THEN 'cold|hot' WHEN regexp_matches(p_name, 'wid') THEN 'wid' END AS wording FROM part""")
+def forbidden_words(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.text import forbidden_wording
+
+    return s.read(spark, d, "part").select("p_partkey", forbidden_wording(F.col("p_name"), ["cold|hot", "wid"]).alias("wording"))
+
+
+@query("""SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 THEN 'laboratory-table' WHEN max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) = 1 THEN 'imaging-narrative' ELSE 'unknown' END AS page_class FROM events WHERE event_id % 400 = 7 GROUP BY 1""")
+def page_classes(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("event_type") == "error", "Result mg/dL").when(F.col("event_type") == "view", "Findings: MRI").otherwise("note")
+    pages = s.events(spark, d).where("event_id % 400 = 7").select(F.col("user_id").alias("report_id"), F.lit(0).alias("page_index"), said.alias("text"))
+    return layout.page_class(pages).select(F.col("report_id").alias("user_id"), "page_class")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS report_id, l_suppkey % 3 AS table_id, CASE WHEN l_linenumber % 4 = 0 THEN 'urine' END AS own FROM lineitem),
+h AS (SELECT o_orderkey AS report_id, o_custkey % 3 AS table_id, CASE o_orderstatus WHEN 'F' THEN 'serum' WHEN 'O' THEN 'blood' ELSE 'unknown' END AS specimen FROM orders WHERE o_orderkey % 2 = 0)
+SELECT coalesce(own, t.specimen, u.specimen, 'unknown') AS specimen, count(*) AS n FROM r LEFT JOIN (SELECT * FROM h WHERE specimen <> 'unknown') t USING (report_id, table_id) LEFT JOIN (SELECT report_id, specimen FROM h WHERE specimen <> 'unknown') u USING (report_id) GROUP BY 1""")
+def specimen_contexts(spark: SparkSession, d: str) -> DataFrame:
+    rows = s.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), (F.col("l_suppkey") % 3).alias("table_id"), F.when(F.col("l_linenumber") % 4 == 0, "urine").alias("own"))
+    said = F.when(F.col("o_orderstatus") == "F", "serum").when(F.col("o_orderstatus") == "O", "blood").otherwise("unknown")
+    headings = s.read(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("report_id"), (F.col("o_custkey") % 3).alias("table_id"), said.alias("specimen"))
+    return layout.specimen_of_rows(rows, headings).groupBy("specimen").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_regionkey, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) GROUP BY 1""")
+def bounded_json(spark: SparkSession, d: str) -> DataFrame:
+    nation = s.read(spark, d, "nation")
+    chunks = layout.bounded_chunks(nation, ["n_regionkey"], "n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")), 120)
+    rows = F.size(F.from_json("json", "array<struct<n_nationkey:int>>"))
+    return chunks.where("n_bytes <= 120").groupBy("n_regionkey").agg(F.sum(rows).alias("n_rows"))

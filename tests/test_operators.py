@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from assayframe import schemas
 from assayframe.functions import dates, numbers, text
 from assayframe.operators import catalogue, clustering, joins, layout, scoring, summaries, trends
+from assayframe.sources import readers, sinks
+from assayframe.streaming import events
 
 
 def test_ldl_converts_exactly(spark):
@@ -101,3 +103,34 @@ def test_nulls_and_odd_text(spark):
     assert [x.n for x in r] == [None] * 4 and [x.d for x in r] == [None] * 4
     assert [x.c for x in r[:3]] == ["NULL", '""', '"\'=1+1"']
     assert [x.a for x in r] == [None, "", "1 1", "fine 1 2 arzte"]
+
+
+def test_json_that_does_not_fit_is_set_aside(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1, "b": "x"}\nnot json\n{"a": "no number"}\n{"a": 2}\n')
+    good, bad = readers.json_rows(spark, str(tmp_path / "a.json"), "a int, b string")
+    assert sorted(tuple(r) for r in good.collect()) == [(1, "x"), (2, None)] and bad.count() == 2
+
+
+def test_word_boxes(spark, tmp_path):
+    (tmp_path / "p.xml").write_text('<doc><page width="10" height="20"><word xMin="1" yMin="2" xMax="3" yMax="4">LDL</word><word xMin="5" yMin="2" xMax="6" yMax="4">3.1</word></page></doc>')
+    assert [tuple(r)[1:] for r in readers.word_boxes(spark, str(tmp_path / "p.xml")).collect()] == [(1.0, 2.0, 3.0, 4.0, "LDL"), (5.0, 2.0, 6.0, 4.0, "3.1")]
+
+
+def test_manifest_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i, "=x" if i % 2 else None) for i in range(50)], "b int, a string")
+    one, many = (sinks.manifest({"t": sinks.json_lines(df.repartition(n))}).first() for n in (1, 7))
+    assert one == many and one.n_rows == 50
+    assert sinks.csv_lines(df.where("b < 2")).orderBy("value").collect()[1].value == '"1","\'=x"'
+
+
+def test_streams_count_an_event_once(spark, tmp_path):
+    rows = [(1, "2024-01-01 10:00:00", "a"), (1, "2024-01-01 10:00:00", "a"), (2, "2024-01-02 09:00:00", "b")]
+    spark.createDataFrame(rows, "id int, at string, kind string").withColumn("at", F.to_timestamp("at")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id int, at timestamp, kind string").parquet(str(tmp_path / "in"))
+    seen = []
+    q = events.changes(events.once(stream, "id", "at"), lambda df, n: seen.extend(r.id for r in df.collect()), str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(seen) == [1, 2]
+    q = events.daily_counts(stream, "at", ["kind"]).writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(str(r.day), r.kind, r.n) for r in spark.table("daily").collect()} == {("2024-01-01", "a", 2), ("2024-01-02", "b", 1)}
