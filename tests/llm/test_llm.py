@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayframe.llm import bpe, bwt, components, decontam, quality, repeats, rlz, secrets, sharding, simhash, token_counts, token_files
-from assayframe.llm.queries import PIECE_BPE, WORD_BPE, tokenizer_path
+from assayframe.llm.queries import ORACLES, PIECE_BPE, QUERIES, WORD_BPE, tokenizer_path
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and tion ing her ation onan ither reat wh sh nd er thon este café naïve größe 😀 日本".split()
@@ -397,3 +397,11 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, d).collect()}
     # edited passages go as well, so nothing but leaks may be missing
     assert set(got) <= set(want) and len(want) - len(got) <= 2 and all(got[i] == want[i] for i in got)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, name):
+    from tests.compare import differences, duck
+
+    d = "/root/testdata/sf0.01"
+    assert differences(QUERIES[name](spark, d), ORACLES[name], duck(d)) == ""
