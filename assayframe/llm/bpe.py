@@ -24,35 +24,42 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, id_and_text, record_batch
 
 #: Words whose ids a worker remembers in its younger table; when that is full it becomes the older one, and what was there is forgotten.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
-def merge(symbols: list, ranks) -> list:
-    """symbols after all merges. ranks.get(pair of symbols): (rank, merged symbol) or None; the lowest rank goes first, then the leftmost."""
+def merge(symbols: list, rank_of, made: list | None = None) -> list:
+    """symbols after all merges. rank_of(pair of symbols): its rank, or None; the lowest rank goes first, then the leftmost pair.
+
+    made[rank] is the merged symbol; without it symbols are strings, and a merged one is their concatenation.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue = []
-    for i in range(n - 1):
-        found = ranks.get((symbols[i], symbols[i + 1]))
-        if found:
-            queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+    shift = n.bit_length()
+    queue = [rank << shift | i for i, rank in enumerate(map(rank_of, zip(symbols, symbols[1:], strict=False))) if rank is not None]
+    if not queue:
+        return symbols
+    after, before, mask = list(range(1, n + 1)), list(range(-1, n - 1)), (1 << shift) - 1
     heapq.heapify(queue)
     while queue:
-        _, i, left, right, new = heapq.heappop(queue)
+        entry = heapq.heappop(queue)
+        i, rank = entry & mask, entry >> shift
         j = after[i]
-        if symbols[i] != left or j >= n or symbols[j] != right:
+        if j >= n or rank_of((symbols[i], symbols[j])) != rank:
             continue  # stale
+        new = symbols[i] + symbols[j] if made is None else made[rank]
         symbols[i], symbols[j] = new, None
-        k = after[i] = after[j]
+        k, h = after[j], before[i]
+        after[i] = k
         if k < n:
             before[k] = i
-            if found := ranks.get((new, symbols[k])):
-                heapq.heappush(queue, (found[0], i, new, symbols[k], found[1]))
-        h = before[i]
-        if h >= 0 and (found := ranks.get((symbols[h], new))):
-            heapq.heappush(queue, (found[0], h, symbols[h], new, found[1]))
+            rank = rank_of((new, symbols[k]))
+            if rank is not None:
+                heapq.heappush(queue, rank << shift | i)
+        if h >= 0:
+            rank = rank_of((symbols[h], new))
+            if rank is not None:
+                heapq.heappush(queue, rank << shift | h)
     return [s for s in symbols if s is not None]
 
 
@@ -71,10 +78,9 @@ class WordBpe:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"]
-        self.ranks = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        self.rank_of = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}.get
+        self.made = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         symbols = byte_symbols()
@@ -87,17 +93,22 @@ class WordBpe:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _merged(self, token: str) -> list[int]:
+        """The ids of one pre-token."""
+        data = token.encode()
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        return merge(symbols, self.rank_of, self.made)
+
     def _word(self, word: str) -> bytes:
         """The ids, as little-endian 32-bit numbers, of a lower-case text without white space."""
         found = self.older.get(word)
         if found is None:
-            ids: list[int] = []
-            for token in self.find(word):
-                data = token.encode()
-                symbols = [self.inner[b] for b in data]
-                symbols[-1] = self.last[data[-1]]
-                ids += merge(symbols, self.ranks)
-            found = np.array(ids, "<u4").tobytes()
+            parts = self.find(word)
+            if len(parts) == 1 and parts[0] == word:
+                found = np.array(self._merged(word), "<u4").tobytes()
+            else:  # a word between punctuation is most likely known by itself
+                found = b"".join([self.known.get(p) or self._word(p) for p in parts])
         if len(self.known) >= REMEMBERED:
             self.known, self.older = {}, self.known
         self.known[word] = found
@@ -123,20 +134,21 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def _loaded(digest: str, content: bytes) -> WordBpe:
-    return WordBpe(content)
+def _loaded(digest: str, content: bytes, kind: type) -> WordBpe:
+    return kind(content)
 
 
 class Shipped:
     """A tokenizer file's content, broadcast once; on a worker, the encoder made from it."""
 
-    def __init__(self, df: DataFrame, path: str):
+    def __init__(self, df: DataFrame, path: str, kind: type = WordBpe):
+        self.kind = kind
         with open(path, "rb") as f:
             content = f.read()
         self.digest, self.content = hashlib.sha256(content).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
 
     def get(self) -> WordBpe:
-        return _loaded(self.digest, self.content.value)
+        return _loaded(self.digest, self.content.value, self.kind)
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

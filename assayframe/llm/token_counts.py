@@ -26,18 +26,6 @@ MARK = "▁"
 NORMAL, USER_DEFINED = 1, 4
 
 
-class _Joins:
-    """Pairs of strings whose concatenation is a piece, ranked by its score."""
-
-    def __init__(self, ranks: dict[str, float]):
-        self.ranks = ranks
-
-    def get(self, pair: tuple[str, str]) -> tuple[float, str] | None:
-        joined = pair[0] + pair[1]
-        rank = self.ranks.get(joined)
-        return None if rank is None else (rank, joined)
-
-
 class PieceCounter:
     """Counts the tokens of a text as the library does with this model file, without begin and end."""
 
@@ -51,20 +39,23 @@ class PieceCounter:
             raise ValueError("only models with identity normalization, a dummy prefix and byte fallback are supported")
         if any(p.type == USER_DEFINED for p in model.pieces):
             raise ValueError("models with user-defined pieces are not supported")
-        self.ranks = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
-        self.joins = _Joins(self.ranks)
+        scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        place = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}  # equal scores, equal ranks
+        self.ranks = {piece: place[score] for piece, score in scores.items()}
+        rank = self.ranks.get
+        self.rank_of = lambda pair: rank(pair[0] + pair[1]) if pair[0] is not None and pair[1] is not None else None
         if any(MARK in p.lstrip(MARK) for p in self.ranks):
             raise ValueError("a piece has a word mark after another character")
         breaks = "" if any("\n" in p and len(p) > 1 for p in self.ranks) else "\n"
         self.cut = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+|{breaks}" if breaks else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.whole = {p: 1 for p in self.ranks if merge(list(p), self.joins) == [p]}
+        self.whole = {p: 1 for p in self.ranks if merge(list(p), self.rank_of) == [p]}
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
 
     def _merged(self, token: str) -> int:
         n = self.older.get(token)
         if n is None:
-            n = sum(1 if s in self.ranks else len(s.encode()) for s in merge(list(token), self.joins))
+            n = sum(1 if s in self.ranks else len(s.encode()) for s in merge(list(token), self.rank_of))
         if len(self.known) >= REMEMBERED:
             self.known, self.older = {}, self.known
         self.known[token] = n

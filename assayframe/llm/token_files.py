@@ -19,34 +19,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encode
-from .common import bounded_batches, record_batch
+from .bpe import Shipped, WordBpe, byte_symbols
+from .common import bounded_batches, id_and_text, record_batch
 
 
-def as_lists(encoded: DataFrame, end_id: int | None = None) -> DataFrame:
-    """encoded (doc_id, ids binary): (doc_id, tokens array<int>, crc32 long), end_id appended; null ids count as none."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+class LibraryBpe(WordBpe):
+    """The same encoder with the library's own merges; what counts here is the files."""
+
+    def __init__(self, content: bytes):
+        from tokenizers import Tokenizer
+
+        super().__init__(content)
+        self.tokenize = Tokenizer.from_str(content.decode()).model.tokenize
+        self.stand_in = dict(enumerate(byte_symbols()))
+
+    def _merged(self, token: str) -> list[int]:
+        return [t.id for t in self.tokenize(token.encode().decode("latin-1").translate(self.stand_in))]
+
+
+def token_lists(docs: DataFrame, tokenizer: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tokens array<int>): each text's ids, end_id appended. Rows keep their order."""
+    bounded_batches(docs.sparkSession)
+    model, schema = Shipped(docs, tokenizer, LibraryBpe), pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int32()))])
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = model.get()
         for batch in batches:
-            parts = [(x.as_py() or b"") + tail for x in batch.column(1)]
+            parts = [bpe.encode(x.as_py()) + tail for x in batch.column(1)]
             at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             yield record_batch(schema, [batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(parts), "<i4")))])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, tokens array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, tokens array<int>")
 
 
-def write(lists: DataFrame, path: str, *, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, files: int | None = None) -> None:
-    """Write (doc_id, tokens) in ascending doc_id order, nulls first; n_tokens is stored beside them, for reads of metadata alone.
+def in_order(docs: DataFrame, id_col: str, files: int | None) -> DataFrame:
+    """docs in ranges of ids, each sorted, nulls first. Boundaries come from a sample of ids; rows with one id stay in one range.
 
-    Range boundaries come from a sample of doc_ids; documents with the same id stay in one file.
+    Before the texts are encoded: finding the boundaries reads the rows once more, and what they are made of is then cheap.
     """
+    ranged = docs.repartitionByRange(files, id_col) if files else docs.repartitionByRange(id_col)
+    return ranged.sortWithinPartitions(F.col(id_col).asc_nulls_first())
+
+
+def write(lists: DataFrame, path: str, *, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
+    """Write (doc_id, tokens), a file for each partition, with n_tokens beside them for reads of metadata alone."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding must be 'dictionary' or 'delta', not {encoding!r}")
-    ordered = lists.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
-    ordered = (ordered.repartitionByRange(files, "doc_id") if files else ordered.repartitionByRange("doc_id")).sortWithinPartitions("doc_id")
-    writer = ordered.write.option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(page_bytes))
+    rows = lists.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+    writer = rows.write.option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(page_bytes))
     if encoding == "delta":
         writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0")
     writer.option("compression", "zstd").parquet(path)
@@ -86,11 +107,12 @@ def checksums(files: DataFrame) -> DataFrame:
     return offsets(summed, file_totals(files)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def tokenize_to_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Encode docs, write the files, and return what is read back from them.
+def tokenize_to_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, **options) -> DataFrame:
+    """Order docs, encode them, write the files, and return what is read back from them.
 
     A null text counts as empty: its list is end_id alone. Documents with a null doc_id come first. Repeated rows stay, in any order among
     themselves. An empty table writes no rows. Other columns are ignored.
     """
-    write(as_lists(encode(docs, tokenizer, id_col=id_col, text_col=text_col), end_id), path, **options)
+    own = id_and_text(docs, id_col, text_col)
+    write(token_lists(in_order(own, "doc_id", files), tokenizer, end_id=end_id), path, **options)
     return read(docs.sparkSession, path)
