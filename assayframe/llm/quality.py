@@ -85,13 +85,12 @@ def _repeat_words(words: Column) -> Column:
     return counted(words)
 
 
-def statistics(docs: DataFrame, *, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with one more column `{prefix}stats`: n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (long)."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+def statistics_of(text: Column) -> Column:
+    """struct of n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (long) of a text that is not null."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     of_words = let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    stats = let(
+    return let(
         F.struct(of_words.alias("w"), of_lines.alias("x")),
         lambda s: F.struct(
             s["w"]["n_words"].alias("n_words"),
@@ -102,7 +101,6 @@ def statistics(docs: DataFrame, *, text_col: str = "text", prefix: str = "") ->
             s["w"]["n_repeat_words"].alias("n_repeat_words"),
         ),
     )
-    return docs.withColumn(f"{prefix}stats", stats)
 
 
 def _failed(s: Column) -> Column:
@@ -149,17 +147,17 @@ def _estimates(rows: DataFrame) -> DataFrame:
     xs = [f"x{i}" for i in range(P)]
     # the median of each coordinate, by counting values in 1/256
     coarse = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(x) / (SCALE // 256)).alias("v")) for i, x in enumerate(xs)])).alias("k")).groupBy("grp", "k.dim", "k.v").agg(F.count("*").alias("n"))
-    medians = _reach(coarse, ["grp", "dim"], "v", 0.5).groupBy("grp").agg(*[F.max(F.when(F.col("dim") == i, (F.col("reach") + 0.5) / 256)).alias(f"m{i}") for i in range(P)])
+    medians = _reach(table(coarse, "coarse"), ["grp", "dim"], "v", 0.5).groupBy("grp").agg(*[F.max(F.when(F.col("dim") == i, (F.col("reach") + 0.5) / 256)).alias(f"m{i}") for i in range(P)])
     flat = {(i, j): F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
     now = medians.select("grp", *[f"m{i}" for i in range(P)], *[flat[p].alias(f"c{p[0]}{p[1]}") for p in PAIRS])
     for step in range(STEPS):
         now = table(now, f"mcd{step}")
         mean, cov = [F.col(f"m{i}") for i in range(P)], {p: F.col(f"c{p[0]}{p[1]}") for p in PAIRS}
         near = rows.join(now, "grp").select("grp", *xs, _binned(_distance([F.col(x) / SCALE for x in xs], mean, cov)).alias("bin"))
-        reach = _reach(near.groupBy("grp", "bin").agg(F.count("*").alias("n")), ["grp"], "bin", SUPPORT)
         whole = lambda c: F.sum(c.cast("decimal(38,0)")).cast("double")
-        # sums by bin first: at most 4096 rows for each group go on to the join with its reach
-        by_bin = near.groupBy("grp", "bin").agg(F.count("*").alias("n"), *[F.sum(F.col(x).cast("decimal(20,0)")).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum((F.col(xs[i]) * F.col(xs[j])).cast("decimal(20,0)")).alias(f"s{i}{j}") for i, j in PAIRS])
+        # sums by bin, at most 4096 rows for each group, written once: its reach and its estimates come from these
+        by_bin = table(near.groupBy("grp", "bin").agg(F.count("*").alias("n"), *[F.sum(F.col(x).cast("decimal(20,0)")).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum((F.col(xs[i]) * F.col(xs[j])).cast("decimal(20,0)")).alias(f"s{i}{j}") for i, j in PAIRS]), f"bins{step}")
+        reach = _reach(by_bin.select("grp", "bin", "n"), ["grp"], "bin", SUPPORT)
         sums = by_bin.join(reach, "grp").where("bin <= reach").groupBy("grp").agg(F.sum("n").alias("n"), *[whole(F.col(f"s{i}")).alias(f"s{i}") for i in range(P)], *[whole(F.col(f"s{i}{j}")).alias(f"s{i}{j}") for i, j in PAIRS])
         n = F.col("n")
         m = {i: F.col(f"s{i}") / n / SCALE for i in range(P)}
@@ -202,7 +200,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), docs[source_col].cast("string").alias("source"))
     narrow, wide = _group("lang", "source")
     s = F.col("stats")
-    rows = durable(statistics(own).select("doc_id", "stats", narrow.alias("narrow"), wide.alias("wide"))).select("doc_id", "stats.*", "narrow", "wide", _failed(s).alias("failed"), *[x.alias(f"x{i}") for i, x in enumerate(_vector(s))])
+    counted = statistics_of(F.coalesce("text", F.lit("")))
+    rows = durable(own.select("doc_id", counted.alias("stats"), narrow.alias("narrow"), wide.alias("wide"))).select("doc_id", "stats.*", "narrow", "wide", _failed(s).alias("failed"), *[x.alias(f"x{i}") for i, x in enumerate(_vector(s))])
     alone, estimates = fit(rows)
     return _judged(rows, alone, estimates).withColumnRenamed("failed", "base_failed")
 
@@ -210,9 +209,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs, with its columns, that pass. Statistics are computed twice so that texts needn't be shuffled."""
     narrow, wide = _group(lang_col, source_col)
-    s = F.col("_stats")
-    packed = F.struct(narrow.alias("narrow"), wide.alias("wide"), _failed(s).alias("failed"), *[x.alias(f"x{i}") for i, x in enumerate(_vector(s))])
-    with_stats = statistics(docs, text_col=text_col, prefix="_").withColumn("_stats", packed)
+    counted = statistics_of(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    packed = let(counted, lambda s: F.struct(narrow.alias("narrow"), wide.alias("wide"), _failed(s).alias("failed"), *[x.alias(f"x{i}") for i, x in enumerate(_vector(s))]))
+    with_stats = docs.withColumn("_stats", packed)
     rows = durable(with_stats.select("_stats")).select("_stats.*")
     alone, estimates = fit(rows)
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
