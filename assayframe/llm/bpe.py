@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, id_and_text, record_batch
 
 #: Words whose ids a worker remembers in its younger table; when that is full it becomes the older one, and what was there is forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def merge(symbols: list, rank_of, made: list | None = None) -> list:
@@ -73,6 +73,9 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one tokenizer file (JSON): NFC, white space, lower case, pattern, bytes, merges with word ends."""
 
+    #: Words to remember, where that differs from REMEMBERED.
+    remembered: int | None = None
+
     def __init__(self, content: bytes):
         spec = json.loads(content)
         model = spec["model"]
@@ -109,7 +112,7 @@ class WordBpe:
                 found = np.array(self._merged(word), "<u4").tobytes()
             else:  # a word between punctuation is most likely known by itself
                 found = b"".join([self.known.get(p) or self._word(p) for p in parts])
-        if len(self.known) >= REMEMBERED:
+        if len(self.known) >= (self.remembered or REMEMBERED):
             self.known, self.older = {}, self.known
         self.known[word] = found
         return found
