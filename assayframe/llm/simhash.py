@@ -179,10 +179,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, agree: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, fp, first) of each row, where first orders rows by id, and (fp, first_id, n_copies, component) of each fingerprint."""
+    """(doc_id, text_hash, fp, first) of each row, where first orders rows by id, and (fp, first_id, first, n_copies, component) of each fingerprint."""
     fps = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
     fps = fps.withColumn("first", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")))
+    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("first").alias("first"), F.count("*").alias("n_copies")))
     labels = connected_components(close_links(distinct.select("fp"), max_bits, agree))
     return fps, distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
@@ -193,7 +193,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Null ids come after all others.
     """
     fps, named = _components(docs, id_col, text_col, width, max_bits, agree)
-    kept = fps.join(named, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     repeated = fps.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first.*")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     keyed = docs.withColumn("_id", docs[id_col].cast("long")).withColumn("_hash", F.xxhash64(text))
