@@ -211,8 +211,8 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     narrow, wide = _group(lang_col, source_col)
     counted = statistics_of(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     packed = let(counted, lambda s: F.struct(narrow.alias("narrow"), wide.alias("wide"), _failed(s).alias("failed"), *[x.alias(f"x{i}") for i, x in enumerate(_vector(s))]))
-    with_stats = docs.withColumn("_stats", packed)
-    rows = durable(with_stats.select("_stats")).select("_stats.*")
-    alone, estimates = fit(rows)
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
-    return _judged(with_stats.select(whole, "_stats").select("doc", "_stats.*"), alone, estimates).where("kept").select("doc.*")
+    # inline() makes the struct's fields columns of one evaluation; extracting them one by one could compute it for each
+    rated = docs.select(whole, F.inline(F.array(packed)))
+    alone, estimates = fit(durable(rated.drop("doc")))
+    return _judged(rated, alone, estimates).where("kept").select("doc.*")
