@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import bounded_batches, durable, id_and_text, record_batch, text_bytes
 from .components import connected_components
 
@@ -61,18 +62,19 @@ def fingerprint(texts: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, text_hash, fp): the fingerprint as a signed long. Rows keep their order and number; extra columns are ignored."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, signed: bool = False) -> DataFrame:
+    """(doc_id, text_hash, fp): the fingerprint as a signed long; with signed, also sig, the MinHash signature. Rows keep their order and number; extra columns are ignored."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())] + [("sig", pa.binary())] * signed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprint(list(text_bytes(batch.column(2))), width).view(np.int64)
-            yield record_batch(schema, [batch.column(0), batch.column(1), fp])
+            texts = list(text_bytes(batch.column(2)))
+            fp = fingerprint(texts, width).view(np.int64)
+            yield record_batch(schema, [batch.column(0), batch.column(1), fp] + ([minhash.signatures(texts, width)] if signed else []))
 
     hashed = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return hashed.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, fp long" + ", sig binary" * signed)
 
 
 def block_masks(max_bits: int, agree: int = 2) -> list[int]:
@@ -178,21 +180,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp").select("doc_id", "fp", "component_id", "n_copies", "n_linked")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, agree: int = 2) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, agree: int = 2, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, fp, first) of each row, where first orders rows by id, and (fp, first_id, first, n_copies, component) of each fingerprint."""
-    fps = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
+    fps = durable(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, signed=similarity is not None))
     fps = fps.withColumn("first", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("first").alias("first"), F.count("*").alias("n_copies")))
-    labels = connected_components(close_links(distinct.select("fp"), max_bits, agree))
+    links = close_links(distinct.select("fp"), max_bits, agree)
+    if similarity is not None:
+        signed = durable(fps.where("sig is not null").groupBy(F.col("fp").alias("node"), "sig").agg(F.min("text_hash").alias("text_hash")))
+        links = links.unionAll(minhash.close_links(id_and_text(docs, id_col, text_col), signed, similarity, width))
+    labels = connected_components(links)
     return fps, distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, agree: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, agree: int = 2, similarity: float | None = None) -> DataFrame:
     """The row with the smallest id of each component, with the columns of docs; of rows alike in id and text, any one.
 
-    Null ids come after all others.
+    With `similarity`, texts of that shingle similarity and more are linked by MinHash besides. Null ids come after all others.
     """
-    fps, named = _components(docs, id_col, text_col, width, max_bits, agree)
+    fps, named = _components(docs, id_col, text_col, width, max_bits, agree, similarity)
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     repeated = fps.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first.*")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))

@@ -11,9 +11,10 @@ from assayframe.llm import bpe, decontam, quality, secrets, simhash
 from assayframe.llm.common import table
 from assayframe.llm.queries import WORD_BPE, tokenizer_path
 
-#: Words of a shingle for near-duplicates, and differing bits. Texts of similarity 0.9 differ in five or six bits of 64 on average; three of nine
-#: blocks then agree.
+#: Words of a shingle for near-duplicates, and differing bits of fingerprints, of which three of nine blocks then agree.
 SHINGLE, MAX_BITS, AGREE = 5, 6, 3
+#: Shingle similarity from which texts are near-duplicates. Their fingerprints differ in ten bits of 64 on average, so MinHash finds them.
+SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs, width=SHINGLE, max_bits=MAX_BITS, agree=AGREE)
+    return simhash.keep_one(docs, width=SHINGLE, max_bits=MAX_BITS, agree=AGREE, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

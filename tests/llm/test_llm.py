@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayframe.llm import bpe, bwt, components, decontam, quality, repeats, rlz, secrets, sharding, simhash, token_counts, token_files
+from assayframe.llm import bpe, bwt, components, decontam, minhash, quality, repeats, rlz, secrets, sharding, simhash, token_counts, token_files
 from assayframe.llm.queries import ORACLES, PIECE_BPE, QUERIES, WORD_BPE, tokenizer_path
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -372,6 +372,37 @@ def test_smith_waterman_against_the_plain_recurrence():
 # pipeline
 
 
+def _similar_pairs(similarity: float, n: int, seed: int = 9) -> list[tuple[str, str]]:
+    """Texts of 150 to 600 words of that similarity in five-word shingles."""
+    rnd = random.Random(seed)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    pairs = []
+    while len(pairs) < n:
+        first = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([150, 300, 600]))]
+        second = list(first)
+        while (j := len(shingles(first) & shingles(second)) / len(shingles(first) | shingles(second))) > similarity + 0.01:
+            second[rnd.randrange(len(second))] = f"x{rnd.randrange(10**6)}"
+        if j >= similarity:
+            pairs.append((" ".join(first), " ".join(second)))
+    return pairs
+
+
+@pytest.mark.parametrize("tile", [512, 8])
+def test_pipeline_links_near_copies_of_similarity_eight_tenths(spark, monkeypatch, tile):
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "TILE", tile)
+    pairs = [p for j in (0.8, 0.85, 0.9) for p in _similar_pairs(j, 60, seed=round(100 * j))]
+    apart = _similar_pairs(0.5, 40, seed=10)
+    base = apart[0][0].split()
+    group = [" ".join(base[:i] + [f"y{i}"] + base[i + 1 :]) for i in range(10, 50)]  # one large bucket in most bands
+    df = _docs(spark, [t for p in pairs for t in p] + [t for p in apart[1:] for t in p] + group + [None, "", "two words", "Two  words"])
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    n, m = 2 * len(pairs), 2 * len(pairs) + 2 * len(apart[1:])
+    assert sum(i % 2 for i in kept if i < n) <= 4 and len([i for i in kept if i < n and i % 2 == 0]) == len(pairs)
+    assert sorted(i for i in kept if i >= n) == [*range(n, m), m, m + len(group), m + len(group) + 2]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
