@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Documents and items are compared as lower-case words without ASCII punctuation. First pass: how many documents have each n-gram of the
-benchmark. Seeds are the rare ones, and in each stretch of an item the rarest, so that an item has
+benchmark. Seeds are the rare ones, and in each stretch of an item the rarest that occurs at all, so that an item has
 seeds all along it even if many documents copy it. Second pass: where a document has a seed, the words around it are
 aligned with the item; edits, omissions and insertions cost a little each and don't end the alignment. No text is shuffled.
 
@@ -25,7 +25,7 @@ from .windows import Words, blocks
 GRAM = 3
 #: An n-gram in at most so many documents, or in at most this share of them, is rare.
 RARE, RARE_SHARE = 20, 1e-5
-#: Of each stretch of so many n-grams of an item, the rarest is a seed in any case.
+#: Of each stretch of so many n-grams of an item, the rarest that occurs is a seed in any case.
 STRETCH = 4
 BLOCK_GRAMS = 1 << 18
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -179,7 +179,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         here = grams.where(mine)
         counts = _document_counts(own, [r.gram for r in here.select("gram").distinct().collect()])
         stretch = Window.partitionBy("item_id", F.floor(F.col("place") / STRETCH))
-        counted = here.join(table(counts, "counts"), "gram", "left").fillna(0, ["n_docs"]).withColumn("least", F.min("n_docs").over(stretch))
+        counted = here.join(table(counts, "counts"), "gram", "left").fillna(0, ["n_docs"]).withColumn("least", F.min(F.when(F.col("n_docs") > 0, F.col("n_docs"))).over(stretch))
         seeds = counted.where((F.col("n_docs") > 0) & ((F.col("n_docs") <= max(RARE, RARE_SHARE * n_docs)) | (F.col("n_docs") == F.col("least")))).select("item_id", "place", "gram").collect()
         result = result.unionAll(_aligned(own, items.where(mine).collect(), seeds, least_share))
     return result

@@ -358,6 +358,20 @@ def test_leaks(spark, monkeypatch):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0 and decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_edited_leaks_in_many_documents(spark):
+    rnd = random.Random(6)
+    make = lambda n: [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
+    items = [make(n) for n in (16, 30, 39)]
+    edited = [list(item) for item in items]
+    for item in edited:
+        for i in range(2, len(item), 5):
+            item[i] = f"changed{i}"
+    texts = [" ".join(make(20) + item + make(20)) for item in edited for _ in range(50)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = decontam.find_leaks(_docs(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id is not None} == {(i, i // 50) for i in range(150)}
+
+
 def test_smith_waterman_against_the_plain_recurrence():
     rnd = random.Random(2)
     for _ in range(30):
