@@ -5,6 +5,10 @@ symbols have changed since is stale and skipped. Decoding concatenates vocabular
 
 The tokenizer file is read once on the driver and sent to the executors: its size doesn't depend on the data. What a
 worker has merged it remembers for later texts, in a table of bounded size, and merges anew what it has forgotten.
+
+Which characters are letters, and how they are composed and lower-cased, depends on the Unicode version of whoever asks. Words of ASCII are cut by the
+file's pattern here; all others by the library's pre-tokenizer, and texts with a character on which Python's Unicode data and the library's
+may differ are normalized by the library as well.
 """
 
 from __future__ import annotations
@@ -12,19 +16,29 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, id_and_text, record_batch
 
-#: Words whose ids a worker remembers in its younger table; when that is full it becomes the older one, and what was there is forgotten.
-REMEMBERED = 300_000
+#: Bytes of what a worker remembers in its younger table; when that is full it becomes the older one, and what was there is forgotten.
+REMEMBERED_BYTES = 40 << 20
+#: Longer words (base64, text without spaces) are merged each time.
+LONGEST_REMEMBERED = 64
+#: What an entry of such a table takes besides its text.
+ENTRY_BYTES = 160
+
+# The normalizer, the pre-tokenizer's pattern and the word end that this encoder stands for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, BYTE_LEVEL]}
 
 
 def merge(symbols: list, rank_of, made: list | None = None) -> list:
@@ -70,15 +84,73 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+class Remembered:
+    """A table of words that forgets: two generations, each of REMEMBERED_BYTES at most."""
+
+    def __init__(self):
+        self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+        self.size = 0
+
+    def add(self, word: str, value, size: int) -> None:
+        """Remember value (never a false one), of `size` bytes, for word."""
+        if len(word) > LONGEST_REMEMBERED:
+            return
+        self.size += 4 * len(word) + size + ENTRY_BYTES
+        if self.size > REMEMBERED_BYTES:
+            self.known, self.older, self.size = {}, self.known, 0
+        self.known[word] = value
+
+
+def _normalized(text: str) -> str:
+    """NFC and lower case by Python's Unicode data; a sigma's place in its word doesn't count."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def _cutter(content: bytes):
+    """The library's tokenizer for the file without its vocabulary: normalizer and pre-tokenizer."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(content)
+    model = spec["model"] | {"vocab": {}, "merges": []}
+    return Tokenizer.from_str(json.dumps(spec | {"model": model, "added_tokens": []}))
+
+
+def doubtful_characters(content: bytes) -> str:
+    """A character class of the code points that Python's Unicode data doesn't know or normalizes otherwise than the library, alone or next to marks."""
+    normalize = _cutter(content).normalizer.normalize_str
+    space = re.compile(r"\s+")
+    known, odd = [], []
+    for c in range(0x80, 0x110000):
+        if 0xD800 <= c < 0xE000:
+            continue
+        (odd if unicodedata.category(chr(c)) == "Cn" else known).append(c)
+    marks = [c for c in known if unicodedata.combining(chr(c))]
+    for codes, form in ((known, "x{0}"), (marks, "a{0}\u0316"), (marks, "a\u0301{0}")):
+        for k in range(0, len(codes), 1000):
+            some = codes[k : k + 1000]
+            parts = [form.format(chr(c)) for c in some]
+            theirs, ours = normalize("\n".join(parts)), space.sub(" ", _normalized("\n".join(parts)))
+            if theirs != ours:
+                odd += [c for c, p in zip(some, parts, strict=True) if normalize(p) != space.sub(" ", _normalized(p))]
+    odd = sorted(set(odd))
+    begin = [c for k, c in enumerate(odd) if k == 0 or odd[k - 1] != c - 1]
+    end = [c for k, c in enumerate(odd) if k == len(odd) - 1 or odd[k + 1] != c + 1]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begin, end, strict=True)) + "]"
+
+
 class WordBpe:
     """Encoder and decoder for one tokenizer file (JSON): NFC, white space, lower case, pattern, bytes, merges with word ends."""
 
-    #: Words to remember, where that differs from REMEMBERED.
-    remembered: int | None = None
-
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, doubtful: str | None = None):
         spec = json.loads(content)
         model = spec["model"]
+        if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER or spec["decoder"] is not None:
+            raise ValueError("only files with this module's normalizer and pre-tokenizer and no decoder are supported")
+        if model["type"] != "BPE" or model["dropout"] or model["byte_fallback"] or model["ignore_merges"] or model["continuing_subword_prefix"] or not model["end_of_word_suffix"]:
+            raise ValueError("only byte-level merges with word ends are supported")
+        if any(not t["content"].startswith("<|") or t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("only plain added tokens that begin with '<|' are supported")
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"]
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
@@ -86,46 +158,48 @@ class WordBpe:
         self.made = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        symbols = byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + end] for s in symbols]
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.space = regex.compile(r"\s+")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        stand_ins = byte_symbols()
+        self.of_ascii = dict(enumerate(stand_ins[:128]))
+        self.inner = {s: vocab[s] for s in stand_ins}
+        self.last = {s: vocab[s + end] for s in stand_ins}
+        self.find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall  # PATTERN, of lower-case ASCII
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        cutter = _cutter(content)
+        self.normalize, self.cut = cutter.normalizer.normalize_str, cutter.pre_tokenizer.pre_tokenize_str
+        self.is_doubtful = re.compile(doubtful or doubtful_characters(content)).search
+        self.words = Remembered()
 
     def _merged(self, token: str) -> list[int]:
-        """The ids of one pre-token."""
-        data = token.encode()
-        symbols = [self.inner[b] for b in data]
-        symbols[-1] = self.last[data[-1]]
+        """The ids of one pre-token, given as the stand-ins of its bytes."""
+        symbols = [self.inner[s] for s in token]
+        symbols[-1] = self.last[token[-1]]
         return merge(symbols, self.rank_of, self.made)
 
     def _word(self, word: str) -> bytes:
-        """The ids, as little-endian 32-bit numbers, of a lower-case text without white space."""
-        found = self.older.get(word)
+        """The ids, as little-endian 32-bit numbers, of a normalized text without white space."""
+        found = self.words.older.get(word)
         if found is None:
-            parts = self.find(word)
-            if len(parts) == 1 and parts[0] == word:
-                found = np.array(self._merged(word), "<u4").tobytes()
+            plain = word.isascii()
+            parts = self.find(word) if plain else [p for p, _ in self.cut(word)]
+            if not plain or (len(parts) == 1 and parts[0] == word):
+                found = np.array([i for p in parts for i in self._merged(p.translate(self.of_ascii) if plain else p)], "<u4").tobytes()
             else:  # a word between punctuation is most likely known by itself
-                found = b"".join([self.known.get(p) or self._word(p) for p in parts])
-        if len(self.known) >= (self.remembered or REMEMBERED):
-            self.known, self.older = {}, self.known
-        self.known[word] = found
+                found = b"".join([self.words.known.get(p) or self._word(p) for p in parts])
+        self.words.add(word, found, len(found))
         return found
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at a sigma's place in its word
-        text = text.lower()
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = self.normalize(text) if self.is_doubtful(text) else _normalized(text)
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to split(), but not to the pattern
-        return b"".join([self.known.get(w) or self._word(w) for w in (self.space.split(text) if odd else text.split())])
+        words = re.split(r"[^\S\x1c-\x1f]+", text) if odd else text.split()
+        known = self.words
+        return b"".join([known.known.get(w) or self._word(w) for w in words if w])
 
     def encode(self, text: str) -> bytes:
-        if "<|" not in text:
+        if "<|" not in text or not self.at_special:
             return self._plain(text)
         parts = self.at_special.split(text)
         return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in parts)
@@ -137,28 +211,35 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def _loaded(digest: str, content: bytes, kind: type) -> WordBpe:
-    return kind(content)
+def _loaded(digest: str, content: bytes, doubtful: str, kind: type) -> WordBpe:
+    return kind(content, doubtful)
+
+
+@lru_cache(maxsize=2)
+def _doubtful_once(content: bytes) -> str:
+    return doubtful_characters(content)
 
 
 class Shipped:
-    """A tokenizer file's content, broadcast once; on a worker, the encoder made from it."""
+    """A tokenizer file's content, broadcast once with what the driver found out about it; on a worker, the encoder made from it."""
 
     def __init__(self, df: DataFrame, path: str, kind: type = WordBpe):
         self.kind = kind
         with open(path, "rb") as f:
             content = f.read()
-        self.digest, self.content = hashlib.sha256(content).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
+        self.digest = hashlib.sha256(content).hexdigest()
+        self.shared = df.sparkSession.sparkContext.broadcast((content, _doubtful_once(content)))
 
     def get(self) -> WordBpe:
-        return _loaded(self.digest, self.content.value, self.kind)
+        return _loaded(self.digest, *self.shared.value, self.kind)
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each row's text, as one binary of little-endian unsigned 32-bit numbers.
 
-    A null text counts as empty and has no ids. Strings of special tokens inside a text become those tokens. Repeated rows
-    stay; other columns are ignored. An empty table gives an empty result.
+    A null text counts as empty and has no ids. Strings of special tokens inside a text become those tokens. A null id stays null. Repeated rows
+    stay, each with its ids; other columns, whatever their names, are ignored. An empty table gives an empty result. A long text takes time in
+    proportion, a long word a logarithm more; words beyond LONGEST_REMEMBERED are not kept in memory.
     """
     bounded_batches(docs.sparkSession)
     model, schema = Shipped(docs, path), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -172,7 +253,11 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, ids, text): the text of each row's ids. Null ids give a null text."""
+    """(doc_id, ids, text): the text of each row's ids.
+
+    Null ids give a null text, no ids an empty one; an id that the vocabulary doesn't have is an error. Repeated rows stay; other columns are ignored.
+    An empty table gives an empty result.
+    """
     bounded_batches(encoded.sparkSession)
     model = Shipped(encoded, path)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])

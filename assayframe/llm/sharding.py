@@ -25,11 +25,15 @@ def _cell(level: int, h: str, h2: str) -> Column:
     return F.lpad(F.bin(bits), LEVEL_BITS, "0")
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _bytes, _h and _h2."""
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs as (doc, bytes, h, h2): all columns as a struct; h2 goes on where identical rows have equal h.
+
+    To be written before it is used: h2 depends on a row's place in its partition, which a second run may change.
+    """
     text = docs[text_col].cast("string")
     h = F.xxhash64(docs[id_col].cast("long"), F.xxhash64(text))
-    return docs.withColumn("_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("_h", h).withColumn("_h2", F.xxhash64("_h", F.monotonically_increasing_id()))
+    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), h.alias("h"))
+    return sized.withColumn("h2", F.xxhash64("h", F.monotonically_increasing_id()))
 
 
 def _split(cells: DataFrame, limit: int, root: bool) -> DataFrame:
@@ -43,10 +47,9 @@ def _split(cells: DataFrame, limit: int, root: bool) -> DataFrame:
     return least.select("path", "cell", F.concat("path", "s.prefix").alias("shard"), F.col("s.total").alias("shard_bytes"), F.col("s.rows").alias("shard_rows"))
 
 
-def directory(docs: DataFrame, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
-    """The directory's levels, each (path, cell, shard, shard_bytes, shard_rows); path is the cell of the levels above."""
-    rows = durable(_sized(docs.select(id_col, text_col), id_col, text_col).select(F.col("_bytes").alias("bytes"), F.col("_h").alias("h"), F.col("_h2").alias("h2")))
-    rows, levels = rows.withColumn("path", F.lit("")), []
+def directory(rows: DataFrame, limit: int) -> list[DataFrame]:
+    """The directory's levels, each (path, cell, shard, shard_bytes, shard_rows); path is the cell of the levels above. rows (bytes, h, h2) are stored ones."""
+    rows, levels = rows.select("bytes", "h", "h2", F.lit("").alias("path")), []
     while len(levels) < 2 * LEVELS_OF_HASH:
         rows = rows.withColumn("cell", _cell(len(levels), "h", "h2"))
         cells = table(rows.groupBy("path", "cell").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "cells")
@@ -58,33 +61,37 @@ def directory(docs: DataFrame, limit: int, *, id_col: str = "doc_id", text_col:
     return levels
 
 
-def attach(docs: DataFrame, levels: list[DataFrame], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _bytes, _shard, _shard_bytes and _shard_rows from a directory made of the same docs."""
-    out = _sized(docs, id_col, text_col).withColumn("_path", F.lit("")).withColumn("_shard", F.lit(None).cast("string")).withColumn("_shard_bytes", F.lit(None).cast("long")).withColumn("_shard_rows", F.lit(None).cast("long"))
+def attach(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """rows (doc, bytes, h, h2) with shard, shard_bytes and shard_rows from the directory made of them."""
+    found = ("shard", "shard_bytes", "shard_rows")
+    out = rows.select("*", F.lit("").alias("path"), F.lit(None).cast("string").alias("shard"), F.lit(None).cast("long").alias("shard_bytes"), F.lit(None).cast("long").alias("shard_rows"))
     for k, level in enumerate(levels):
-        known = level.select(F.col("path").alias("_path"), F.col("cell").alias("_cell"), F.col("shard").alias("_s"), F.col("shard_bytes").alias("_b"), F.col("shard_rows").alias("_r"))
-        met = out.withColumn("_cell", _cell(k, "_h", "_h2")).join(F.broadcast(known) if k == 0 else known, ["_path", "_cell"], "left")
-        out = met.select(
-            *[F.col(c) for c in docs.columns], "_bytes", "_h", "_h2", F.concat("_path", "_cell").alias("_path"),
-            F.coalesce("_shard", "_s").alias("_shard"), F.coalesce("_shard_bytes", "_b").alias("_shard_bytes"), F.coalesce("_shard_rows", "_r").alias("_shard_rows"),
-        )
-    return out.drop("_h", "_h2", "_path")
+        known = level.select("path", "cell", *[F.col(c).alias(f"new_{c}") for c in found])
+        met = out.withColumn("cell", _cell(k, "h", "h2")).join(F.broadcast(known) if k == 0 else known, ["path", "cell"], "left")
+        out = met.select("doc", "bytes", "h", "h2", F.concat("path", "cell").alias("path"), *[F.coalesce(c, f"new_{c}").alias(c) for c in found])
+    return out.select("doc", "bytes", *found)
 
 
 def assign(docs: DataFrame, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, shard, depth, shard_bytes, shard_rows), a row for each row of docs.
 
-    shard is the bucket's bits, '' where everything fits one. A shard has at most `limit` bytes of text, unless it is one row that alone is larger.
-    A null text has no bytes; null ids hash like any value. Repeated rows share a hash and are told apart
-    by a second one if they don't fit one shard. An empty table gives an empty result; other columns are ignored.
+    shard is the bucket's bits, '' where everything fits one. A shard has at most `limit` bytes of text, unless it is one row that alone is larger;
+    a long text is only measured. A null text has no bytes; null ids hash like any value. Repeated rows share a hash and are told apart
+    by a second one if they don't fit one shard. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    found = attach(own, directory(own, limit))
-    return found.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_shard").alias("shard"), F.length("_shard").alias("depth"), F.col("_shard_bytes").alias("shard_bytes"), F.col("_shard_rows").alias("shard_rows"))
+    hashed = _hashed(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "doc_id", "text")
+    rows = table(hashed.select(F.struct(F.col("doc.doc_id").alias("doc_id")).alias("doc"), "bytes", "h", "h2"), "hashed")
+    found = attach(rows, directory(rows, limit))
+    return found.select("doc.doc_id", F.col("bytes").alias("n_bytes"), "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs below path, a folder `shard=<bits>` for each shard ('root' where everything fits one)."""
-    found = attach(docs, directory(docs, limit, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col)
-    named = found.withColumn("shard", F.when(F.col("_shard") == "", "root").otherwise(F.concat(F.lit("b"), "_shard")))
-    named.select(*docs.columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs, with its columns, below path, a folder `shard=<bits>` for each shard ('root' where everything fits one).
+
+    Cases are those of assign(). A column of docs named `shard` is refused: the folders would hide it.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("a column named 'shard' would be hidden by the folders' names")
+    rows = table(_hashed(docs, id_col, text_col), "hashed")
+    named = attach(rows, directory(rows, limit)).select("doc.*", F.when(F.col("shard") == "", "root").otherwise(F.concat(F.lit("b"), "shard")).alias("shard"))
+    named.repartition("shard").write.partitionBy("shard").parquet(path)

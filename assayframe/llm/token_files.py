@@ -19,24 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Shipped, WordBpe, byte_symbols
+from .bpe import Shipped, WordBpe
 from .common import bounded_batches, id_and_text, record_batch
 
 
 class LibraryBpe(WordBpe):
-    """The same encoder with the library's own merges; what counts here is the files. A word is cheap to merge again, so fewer are remembered."""
+    """The same encoder with the library's own merges; what counts here is the files."""
 
-    remembered = 150_000
-
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, doubtful: str | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__(content)
+        super().__init__(content, doubtful)
         self.tokenize = Tokenizer.from_str(content.decode()).model.tokenize
-        self.stand_in = dict(enumerate(byte_symbols()))
 
     def _merged(self, token: str) -> list[int]:
-        return [t.id for t in self.tokenize(token.encode().decode("latin-1").translate(self.stand_in))]
+        return [t.id for t in self.tokenize(token)]
 
 
 def token_lists(docs: DataFrame, tokenizer: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -210,7 +210,7 @@ def _odd() -> list[str | None]:
     return [None, "", "  ", "Hello <|endoftext|>x<|startoftext|>  y", "it's I'LL don'T '", "ΑΣ ΣΑΣ οΔΟΣ", "İstanbul ǅ", "a\x1cb \x1f \x00z", "日本語テスト１２３", "😀👩‍👩‍👧 ﬁ Å", "x" * 3000, "<s> </s> <0x0A>", "   a  b   ", "\n\n a\n b", "▁x ▁ y", "aaa bbb\r\n"] + _texts()
 
 
-def test_bpe_equals_the_library(spark):
+def test_bpe_equals_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer_path(WORD_BPE)
@@ -224,11 +224,32 @@ def test_bpe_equals_the_library(spark):
     _same([(r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.text) for r in got], want)
     assert bpe.encode(df.limit(0), path).count() == 0
     small = bpe.WordBpe(open(path, "rb").read())
-    bpe_limit, bpe.REMEMBERED = bpe.REMEMBERED, 3
-    try:  # forgetting changes nothing
-        assert [small.encode(t) for _, t in _rows(df)] == [np.array(w[1], "<u4").tobytes() for w in want]
-    finally:
-        bpe.REMEMBERED = bpe_limit
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 500)  # forgetting changes nothing
+    assert [small.encode(t) for _, t in _rows(df)] == [np.array(w[1], "<u4").tobytes() for w in want]
+
+
+def test_bpe_equals_the_library_for_characters_of_every_kind():
+    """Where Unicode versions may differ every code point, of the others some."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(WORD_BPE)
+    lib, content = Tokenizer.from_file(path), open(path, "rb").read()
+    doubtful = bpe.doubtful_characters(content)
+    own, is_doubtful = bpe.WordBpe(content, doubtful), re.compile(doubtful).search
+    codes = [c for c in range(0x32000) if not 0xD800 <= c < 0xE000 and (c % 23 == 5 or c < 0x250 or (c % 5 == 0 and is_doubtful(chr(c))))]
+    codes += [0x558, 0xC5C, 0x1C89, 0xA7CB, 0x10940, 0x105C9, 0xE0100, 0x10FFFF]
+    for k in range(0, len(codes), 40):
+        text = " ".join(f"a{chr(c)}b {chr(c)} A{chr(c)}\u0316 á{chr(c)}1" for c in codes[k : k + 40])
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, [hex(c) for c in codes[k : k + 40]]
+
+
+def test_bpe_refuses_other_tokenizer_files():
+    import json
+
+    spec = json.loads(open(tokenizer_path(WORD_BPE), "rb").read())
+    for other in (spec | {"normalizer": None}, spec | {"pre_tokenizer": None}, spec | {"decoder": {"type": "ByteLevel"}}, spec | {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError, match="supported"):
+            bpe.WordBpe(json.dumps(other).encode(), "[\u0600]")
 
 
 def test_token_counts_equal_the_library(spark):
