@@ -8,8 +8,9 @@ which it is right for the symbols so far; at the same time, neighbours whose sym
 boundary between them. A symbol here is eight bytes, so after 25 rounds the interleave is right to 200 bytes, and two neighbours
 have a common prefix of 200 bytes or more exactly if no boundary has come between them. Blocks that hold two or more windows are the repeated intervals.
 
-Whole segments that are equal are counted before that. Seeds with more than `HOT` occurrences would make buckets without a bound; their windows
-are dealt out by window hash instead, and equal (seed, window) hashes are the repeats.
+Whole segments that are equal are counted before that. The text around seeds with more than `HOT` occurrences is thinned first to windows
+whose hash occurs twice (see repeats.py), so that a passage in many different surroundings does not bring these along; the merge
+decides about what is left, as about all other windows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import record_batch
-from .repeats import SENT_DDL, PhraseIndex, Unit, bucket_count, by_bucket, exchange, marked, of_batches, pack, repeated_seeds, sent_rows, sliding_seeds, units, unpack
+from .repeats import SENT_DDL, Unit, by_bucket, candidates, exchange, marked, of_batches, pack, placed, sent_rows, sliding_seeds, units, unpack
 from .windows import mix, prefix_hashes
 
 WINDOW = 200
@@ -30,7 +31,7 @@ HOT = 128
 STEP = 8
 #: A byte that UTF-8 never uses ends every segment.
 END = 0xFF
-#: Symbols that are merged at once; places and ranks then fit 16 bits, for which numpy's stable sort is a radix sort.
+#: Symbols that are merged at once, unless one seed has more; ranks then fit 16 bits, for which numpy's stable sort is a radix sort.
 BUNDLE = 65_000
 SHARDS = 4
 #: Texts are hashed in pieces of so many bytes, which overlap by a window less one byte.
@@ -97,28 +98,42 @@ def _seeds_of(unit: Unit) -> tuple[np.ndarray, np.ndarray]:
 SEGMENTS = ("<u8", "u1", "<u4", "<u4", "<u4", "<u4")
 
 
-def _send(unit: Unit, payloads: list[bytes], n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    seeds, texts, places, hot_seed, hot_hash, hot_at = [], [], [], [], [], []
+def _hashes(sums: np.ndarray, down: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix((sums[at + WINDOW] - sums[at]) * down[at])
+
+
+def _hot_windows_of(unit: Unit, seeds: list[bytes]) -> np.ndarray:
+    found = [np.zeros(0, np.uint64)]
+    for data, at, _ in _blocks(unit):
+        sums, down, seed, seed_at = _seeds(data, at)
+        begin = _runs(at, seed_at)
+        size = np.diff(np.concatenate([begin, [len(at)]]))
+        found.append(_hashes(sums, down, at[np.repeat(marked(seed[begin], seeds)[1], size)]))
+    return np.concatenate(found)
+
+
+def _send(unit: Unit, payloads: list[bytes] | None, windows: list[bytes] | None, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    if not payloads:
+        return
+    seeds, texts, places = [], [], []
     for data, at, offset in _blocks(unit):
         sums, down, seed, seed_at = _seeds(data, at)
         begin = _runs(at, seed_at)
         size = np.diff(np.concatenate([begin, [len(at)]]))
         found, hot = marked(seed[begin], payloads)
+        found, hot = np.repeat(found, size), np.repeat(hot, size)
+        if hot.any():
+            found[hot] = marked(_hashes(sums, down, at[hot]), windows)[0]
+        at, seed, seed_at, offset = at[found], seed[found], seed_at[found], offset[found]
+        begin = _runs(at, seed_at)
+        size = np.diff(np.concatenate([begin, [len(at)]]))
         whole = data.tobytes()
-        for b, n in zip(begin[found & ~hot].tolist(), size[found & ~hot].tolist(), strict=True):
-            a = int(at[b])
+        for a, o, n in zip(at[begin].tolist(), offset[begin].tolist(), size.tolist(), strict=True):
             texts.append(whole[a : a + n + WINDOW - 1])
-            places.append(a + int(offset[b]))
-        seeds.append(seed[begin[found & ~hot]])
-        every = np.repeat(found & hot, size)
-        h = at[every]
-        hot_seed.append(seed[every])
-        hot_hash.append(mix((sums[h + WINDOW] - sums[h]) * down[h]))
-        hot_at.append(h + offset[every])
-    if not seeds:
-        return
-    yield from _send_segments(unit.unit, np.concatenate(seeds), texts, np.array(places, np.int64), n_buckets)
-    yield from _send_hot(unit.unit, np.concatenate(hot_seed), np.concatenate(hot_hash), np.concatenate(hot_at), n_buckets)
+            places.append(a + o)
+        seeds.append(seed[begin])
+    if seeds:
+        yield from _send_segments(unit.unit, np.concatenate(seeds), texts, np.array(places, np.int64), n_buckets)
 
 
 def _send_segments(unit: int, seeds: np.ndarray, texts: list[bytes], places: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -133,31 +148,17 @@ def _send_segments(unit: int, seeds: np.ndarray, texts: list[bytes], places: np.
                 again.append(k)
                 place_again.append(places[i])
         data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
-        yield bucket, unit, b"S" + pack(seeds[own], data, np.array([len(texts[i]) for i in own], "<u4"), places[own].astype("<u4"), np.array(again, "<u4"), np.array(place_again, "<u4"))
-
-
-def _send_hot(unit: int, seed: np.ndarray, whole: np.ndarray, at: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """One of each of the unit's hot windows; those that the unit has again go along as (window, place)."""
-    order = np.lexsort((at, whole, seed))
-    new = np.ones(len(order), bool)
-    new[1:] = (whole[order[1:]] != whole[order[:-1]]) | (seed[order[1:]] != seed[order[:-1]])
-    first = np.empty(len(order), np.int64)
-    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    own = first == np.arange(len(first))
-    for bucket, members in by_bucket((mix(whole) % np.uint64(n_buckets)).astype(np.int64)):
-        a, b = members[own[members]], members[~own[members]]
-        zeros = np.zeros(len(a))
-        index = pack(seed[a], whole[a], zeros.astype("<i8"), zeros.astype("<u4"), at[a].astype("<u4"))
-        yield bucket, unit, b"H" + np.array([len(index)], "<u4").tobytes() + index + pack(np.searchsorted(a, first[b]).astype("<u4"), at[b].astype("<u4"))
+        yield bucket, unit, pack(seeds[own], data, np.array([len(texts[i]) for i in own], "<u4"), places[own].astype("<u4"), np.array(again, "<u4"), np.array(place_again, "<u4"))
 
 
 def _keys(data: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    """The rank among all, in 16 bits, of the STEP bytes from each place on; follow[i] is the place after i, within its segment."""
+    """The rank among all of the STEP bytes from each place on; follow[i] is the place after i, within its segment."""
     key, at = np.zeros(len(data), np.uint64), np.arange(len(data))
     for _ in range(STEP):
         key = key << np.uint64(8) | data[at]
         at = follow[at]
-    return np.unique(key, return_inverse=True)[1].astype(np.uint16)
+    distinct, rank = np.unique(key, return_inverse=True)
+    return rank.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
 
 
 def shard_transform(places: np.ndarray, key: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +175,7 @@ def merge_transforms(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]
     column = np.concatenate(symbols)
     source = np.repeat(np.arange(len(symbols), dtype=np.uint8), [len(s) for s in symbols])
     block = np.zeros(len(source), np.int64)
-    merged = np.empty(len(source), np.uint16)
+    merged = np.empty(len(source), column.dtype)
     for _ in range(WINDOW // STEP):
         merged[np.argsort(source, kind="stable")] = column
         order = np.argsort(merged, kind="stable")
@@ -216,27 +217,11 @@ def repeated_windows(segments: list[bytes], times: list[int], shard: list[int])
 def _answer(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """For each unit the intervals (begin, end) of places where repeated windows start."""
     replies: dict[int, list[np.ndarray]] = {}
-    if hot := [(u, p[1:]) for u, p in held if p[:1] == b"H"]:
-        _answer_hot(hot, replies)
-    if cold := [(u, p[1:]) for u, p in held if p[:1] == b"S"]:
-        _answer_segments(cold, replies)
+    _answer_segments(held, replies)
     for unit, parts in replies.items():
         yield unit, pack(np.concatenate(parts).astype("<u4"))
 
 
-def _answer_hot(held: list[tuple[int, bytes]], replies: dict[int, list[np.ndarray]]) -> None:
-    split = [(u, p[4 : 4 + (n := int(np.frombuffer(p[:4], "<u4")[0]))], unpack(p[4 + n :], "<u4", "<u4")) for u, p in held]
-    index, begin = PhraseIndex([(u, p) for u, p, _ in split]), 0
-    for (unit, _, (window, place)), end in zip(split, index.ends.tolist(), strict=True):
-        here = np.arange(begin, end)
-        begin = end
-        often = index.times[here] >= 2
-        often[window] = True
-        at = np.sort(np.concatenate([index.place[here][often], place])).astype(np.int64)
-        if len(at):
-            replies.setdefault(unit, []).append(_intervals(at))
-
-
 def _intervals(at: np.ndarray) -> np.ndarray:
     """Sorted places as rows (begin, end) of runs."""
     cut = np.flatnonzero(np.diff(at) != 1)
@@ -320,15 +305,14 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Bytes of every string of WINDOW bytes that also starts anywhere else, in whichever row, are removed; kept is what remains (it may cut a
     character, hence binary). A null or empty text, or one shorter than a window, loses nothing. Repeated rows remove each
-    other. Other columns are ignored; an empty table gives an empty result.
+    other. A long text is one unit and takes memory in proportion. Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    packed = units(docs, id_col, text_col)
-    n_buckets = bucket_count(packed)
-    seeds = repeated_seeds(packed, n_buckets, _seeds_of, HOT)
+    packed, n_buckets = placed(units(docs, id_col, text_col))
+    marked_units = candidates(packed, n_buckets, _seeds_of, _hot_windows_of, HOT)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, more in of_batches(batches):
-            yield sent_rows(list(_send(unit, more["payloads"], n_buckets)))
+            yield sent_rows(list(_send(unit, more["seeds"], more["windows"], n_buckets)))
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
@@ -336,5 +320,5 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for unit, more in of_batches(batches):
             yield record_batch(schema, list(zip(*_removed(unit, more["payloads"]), strict=True)))
 
-    found = exchange(packed.join(seeds, "unit").mapInArrow(send, SENT_DDL), n_buckets, _answer)
+    found = exchange(marked_units.mapInArrow(send, SENT_DDL), n_buckets, _answer)
     return packed.join(found, "unit", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -6,8 +6,11 @@ short grams in it. Equal windows have equal seeds, so only windows whose seed oc
 all others are settled after one small exchange of seed hashes. Consecutive windows mostly share a seed and travel together.
 
 Seeds and windows that repeat inside a unit are summed up there before anything is shuffled: a passage in a third of all
-documents reaches a bucket once per unit. Seeds with more than `hot` occurrences are marked, so that
-operators deal out their windows by window hash instead of by seed.
+documents reaches a bucket once per unit. Around a seed with more than `hot` occurrences there may be as many different
+windows; these are thinned by one more exchange, of hashes dealt out by themselves, to those that can repeat. What is left of
+them goes to its bucket as bytes like everything else, and only bytes decide.
+
+All exchanges have a partition for each `BUCKET_BYTES` of text. The units themselves are shuffled once; passes over them share that shuffle.
 """
 
 from __future__ import annotations
@@ -100,9 +103,11 @@ def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Unit, dict]]
             yield load_unit(row.pop("unit"), row.pop("ids"), row.pop("sizes"), row.pop("data")), row
 
 
-def bucket_count(packed: DataFrame) -> int:
+def placed(packed: DataFrame) -> tuple[DataFrame, int]:
+    """The units dealt out by number, and into how many parts."""
     total = packed.agg(F.sum("bytes")).first()[0] or 0
-    return max(1, -(-total // BUCKET_BYTES))
+    n_buckets = max(1, -(-total // BUCKET_BYTES))
+    return packed.repartition(n_buckets, "unit"), n_buckets
 
 
 def sliding_seeds(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,18 +165,18 @@ def exchange(sent: DataFrame, n_buckets: int, answer: Callable[[list[tuple[int,
             yield reply_rows(list(answer(held)))
 
     replies = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY_DDL)
-    return replies.groupBy("unit").agg(F.collect_list("payload").alias("payloads"))
+    return replies.repartition(n_buckets, "unit").groupBy("unit").agg(F.collect_list("payload").alias("payloads"))
 
 
-def repeated_seeds(packed: DataFrame, n_buckets: int, seeds_of: Callable[[Unit], tuple[np.ndarray, np.ndarray]], hot: int) -> DataFrame:
-    """(unit, payloads): of each unit the seeds that occur twice or more anywhere. A payload is (seeds, whether hot), sorted by seed.
+def repeated_hashes(rows: DataFrame, n_buckets: int, hashes_of: Callable[[Unit, dict], tuple[np.ndarray, np.ndarray]], hot: int = 0) -> DataFrame:
+    """(unit, payloads): of each unit the hashes that occur twice or more anywhere. A payload is (hashes, whether hot), sorted by hash.
 
-    seeds_of gives a unit's distinct seeds, sorted, and the number of their places.
+    rows are units, with further columns maybe; hashes_of gives a unit's distinct hashes, sorted, and the number of their places.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, _ in of_batches(batches):
-            seeds, counts = seeds_of(unit)
+        for unit, more in of_batches(batches):
+            seeds, counts = hashes_of(unit, more)
             rows = [(b, unit.unit, pack(seeds[m], np.minimum(counts[m], 65535).astype("<u2"))) for b, m in by_bucket((seeds % np.uint64(n_buckets)).astype(np.int64))]
             yield sent_rows(rows)
 
@@ -187,11 +192,17 @@ def repeated_seeds(packed: DataFrame, n_buckets: int, seeds_of: Callable[[Unit],
             if (keep := mine >= 2).any():
                 yield unit, pack(part[0][keep], mine[keep] > hot)
 
-    return exchange(packed.mapInArrow(send, SENT_DDL), n_buckets, answer)
+    return exchange(rows.mapInArrow(send, SENT_DDL), n_buckets, answer)
+
+
+def has_hot(payloads: list[bytes] | None) -> bool:
+    return any(unpack(p, "<u8", "?")[1].any() for p in payloads or ())
 
 
-def marked(seeds: np.ndarray, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def marked(seeds: np.ndarray, payloads: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
     """For each of seeds: whether it repeats, and whether it is hot."""
+    if not payloads:
+        return np.zeros(len(seeds), bool), np.zeros(len(seeds), bool)
     parts = [unpack(p, "<u8", "?") for p in payloads]
     known, hot = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(known)
@@ -201,22 +212,14 @@ def marked(seeds: np.ndarray, payloads: list[bytes]) -> tuple[np.ndarray, np.nda
     return found, found & hot[at]
 
 
-class PhraseIndex:
-    """One bucket's windows: equal (seed, hash) is an equal window. Finds, for each, the first in document order."""
-
-    DTYPES = ("<u8", "<u8", "<i8", "<u4", "<u4")  # seed, hash, document id, row in unit, place
-
-    def __init__(self, held: list[tuple[int, bytes]]):
-        parts = [unpack(p, *self.DTYPES) for _, p in held]
-        self.seed, self.hash, self.doc, self.row, self.place = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        self.unit = np.repeat(np.array([u for u, _ in held], np.int64), [len(p[0]) for p in parts])
-        self.ends = np.cumsum([len(p[0]) for p in parts])
-        order = np.lexsort((self.place, self.row, self.unit, self.doc, self.hash, self.seed))
-        new = np.ones(len(order), bool)
-        new[1:] = (self.hash[order[1:]] != self.hash[order[:-1]]) | (self.seed[order[1:]] != self.seed[order[:-1]])
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        self.first = np.empty(len(order), np.int64)
-        self.first[order] = order[starts][group]
-        self.times = np.empty(len(order), np.int64)
-        self.times[order] = np.diff(np.concatenate([starts, [len(order)]]))[group]
+def candidates(packed: DataFrame, n_buckets: int, seeds_of: Callable[[Unit], tuple[np.ndarray, np.ndarray]], hot_windows_of: Callable[[Unit, list[bytes]], np.ndarray], hot: int) -> DataFrame:
+    """packed with `seeds`, the unit's repeated seeds, and `windows`, the hashes of its windows around hot seeds that may repeat; both may be null."""
+    seeds = repeated_hashes(packed, n_buckets, lambda unit, _: seeds_of(unit), hot).withColumnRenamed("payloads", "seeds")
+    marked_units = packed.join(seeds, "unit", "left")
+
+    def windows_of(unit: Unit, more: dict) -> tuple[np.ndarray, np.ndarray]:
+        found = hot_windows_of(unit, more["seeds"]) if has_hot(more["seeds"]) else np.zeros(0, np.uint64)
+        return np.unique(found, return_counts=True)
+
+    windows = repeated_hashes(marked_units, n_buckets, windows_of).withColumnRenamed("payloads", "windows")
+    return marked_units.join(windows, "unit", "left")

@@ -1,7 +1,7 @@
 """Words of many texts as arrays: hashes, positions, and hashes of runs of words.
 
-The hash of bytes a..b is a polynomial over a fixed random table, from differences of one prefix sum, so all words (or
-all windows of bytes) of a block of texts take a few array operations.
+Words are hashed eight bytes at a time, all words of a block of texts at once, and long words by XXH64. The hash of a window of bytes
+a..b is a polynomial over a fixed random table, from differences of one prefix sum.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 #: Texts are handled together until they have so many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 18
@@ -74,6 +75,30 @@ def blocks(texts: list[bytes], at_most: int = BLOCK_BYTES) -> Iterator[tuple[int
         yield first, len(texts)
 
 
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+
+
+def word_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[begin[i]:end[i]], none of them empty."""
+    size = end - begin
+    out = size.astype(np.uint64) * np.uint64(MULTIPLIER)
+    if not len(out):
+        return out
+    eights = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(8), np.uint8), 8)
+    live, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        chunk = eights[begin[live] + at].view("<u8")[:, 0]
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        chunk &= np.uint64((1 << 64) - 1) >> ((np.uint64(8) - left) * np.uint64(8))
+        out[live] = mix(out[live] ^ chunk) + np.uint64(INVERSE)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[begin[i] : end[i]], 20_240_229)
+    return out
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -89,8 +114,7 @@ class Words:
         if len(data) and not space[0]:
             change = np.concatenate([[0], change])
         self.begin, self.end = change[::2], change[1::2]
-        sums, down = prefix_hashes(data)
-        self.hash = mix((sums[self.end] - sums[self.begin]) * down[self.begin])
+        self.hash = word_hashes(self.data, self.begin, self.end)
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         self.text = np.searchsorted(starts, self.begin, side="right") - 1
         self.first = np.searchsorted(self.text, np.arange(len(texts)))

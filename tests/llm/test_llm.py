@@ -182,6 +182,7 @@ def test_masks_replace_runs_of_spans(spark, spans):
 def test_rlz(docs, monkeypatch, unit_bytes, hot):
     monkeypatch.setattr(repeats, "UNIT_BYTES", unit_bytes)
     monkeypatch.setattr(rlz, "HOT", hot)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 20_000)
     one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).cache()
     seen, want = set(), []
     for i, t in sorted(_rows(one)):
@@ -203,6 +204,28 @@ def test_rlz(docs, monkeypatch, unit_bytes, hot):
     assert rlz.drop_repeats(docs).count() == docs.count() and rlz.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_rlz_compares_words_and_not_hashes(spark):
+    thue = "ab"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(19)]
+    texts = [" ".join([*words, thue]), " ".join([*words, thue.translate(str.maketrans("ab", "ba"))]), " ".join([*words, thue])]
+    got = {r.doc_id: r.n_removed for r in rlz.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 20}
+
+
+def test_rlz_factors_are_the_longest(spark):
+    w = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w[100:140]), " ".join(w[:300]), " ".join(["x", *w[100:200], "y", *w[50:75], *w[240:300]])]
+    got = {r.doc_id: r for r in rlz.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    factors = [(f.first_word, f.n_words) for f in got[2].factors]
+    assert got[2].kept == "x y" and factors[-2:] == [(102, 25), (127, 60)] and factors[0][0] == 1
+    index = rlz.BlockIndex(3)
+    for k, text in enumerate(["a b c d", "b c d e f", "x b c d e"]):
+        index.add(k, text.encode().split())
+    assert list(index.factors(b"q a b c d e f z b c d e".split())) == [(1, 4, 0, 0), (3, 4, 1, 1), (8, 4, 1, 0)]
+
+
 def _brute_bytes(rows: list[tuple]) -> list[tuple]:
     count = collections.Counter(t.encode()[k : k + 200] for _, t in rows for k in range(len(t.encode()) - 199))
     out = []
@@ -220,6 +243,7 @@ def _brute_bytes(rows: list[tuple]) -> list[tuple]:
 def test_bwt(docs, monkeypatch, unit_bytes, hot):
     monkeypatch.setattr(repeats, "UNIT_BYTES", unit_bytes)
     monkeypatch.setattr(bwt, "HOT", hot)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 20_000)
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in bwt.drop_repeats(docs).collect()]
     _same(got, _brute_bytes(_rows(docs)))
     assert bwt.drop_repeats(docs.limit(0)).count() == 0
@@ -231,8 +255,11 @@ def test_merged_transforms_find_repeated_windows():
     segments = [common, b"q" + common[:230], common[30:] + b"zz", bytes(rnd.randrange(97, 123) for _ in range(250)), b"\xc3\xa9" * 120]
     flat = [s[k : k + 200] for s in segments for k in range(len(s) - 199)]
     count = collections.Counter(flat)
-    for shard in ([0, 0, 0, 0, 0], [0, 1, 2, 3, 0], [3, 2, 1, 0, 0]):
-        got = bwt.repeated_windows(segments, [1] * 5, shard)
+    segments += [bytes(rnd.randrange(97, 123) for _ in range(300)) + common for _ in range(130)]  # more symbols than 16 bits can rank
+    flat = [s[k : k + 200] for s in segments for k in range(len(s) - 199)]
+    count = collections.Counter(flat)
+    for shard in ([0] * 135, [k % 4 for k in range(135)], [3, 2, 1] + [0] * 132):
+        got = bwt.repeated_windows(segments, [1] * len(segments), shard)
         assert [bool(x) for x in got] == [count[w] > 1 for w in flat]
 
 
