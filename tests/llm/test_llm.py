@@ -400,22 +400,50 @@ def test_outliers_equal_a_direct_estimate(spark):
         share = lambda a, b: a / max(b, 1)
         x.append([np.log(share(r.word_chars, r.n_words)), np.sqrt(share(r.n_symbols, r.word_chars)), np.sqrt(share(r.n_dup_lines, r.n_lines)), np.sqrt(share(r.n_repeat_words, r.n_words))])
     x = np.round(np.array(x) * quality.SCALE) / quality.SCALE
-    floors = np.diag(np.square(quality.FLOORS))
-    v = np.floor(x * 256)
-    mean = np.array([(np.sort(v[:, k])[int(np.ceil(len(x) / 2)) - 1] + 0.5) / 256 for k in range(4)])
-    cov = floors
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        bins = np.minimum(np.floor(np.log1p(d) * quality.BINS_PER_E), 4095)
-        near = bins <= np.sort(bins)[int(np.ceil(len(x) * quality.SUPPORT)) - 1]
-        mean = x[near].mean(axis=0)
-        cov = quality._consistency(quality.SUPPORT) * np.cov(x[near].T, bias=True) + floors
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    d = _mcd(x)
     assert np.allclose(d, [got[i].distance for i in range(len(texts))], rtol=1e-6)
     assert [got[i].kept for i in range(len(texts))] == (d <= quality.CUTOFF).tolist()
     assert all(got[i].kept for i in range(150)) and not any(got[i].kept for i in range(150, 170))
 
 
+def _mcd(x: np.ndarray) -> np.ndarray:
+    """Distances under the least determinant of three starts, each followed until it settles."""
+    floors = np.diag(np.square(quality.FLOORS))
+    v = np.floor(x * 256)
+    median = np.array([(np.sort(v[:, k])[int(np.ceil(len(x) / 2)) - 1] + 0.5) / 256 for k in range(4)])
+    whole = np.cov(x.T, bias=True).reshape(4, 4) + floors
+    far = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    best = None
+    for mean, cov in ((median, floors), (median, np.diag(np.diag(whole))), (x.mean(axis=0), whole)):
+        old = None
+        while True:
+            bins = np.minimum(np.floor(np.log1p(far(mean, cov)) * quality.BINS_PER_E), 4095)
+            near = x[bins <= np.sort(bins)[int(np.ceil(len(x) * quality.SUPPORT)) - 1]]
+            mean, cov = near.mean(axis=0), quality._consistency(quality.SUPPORT) * np.cov(near.T, bias=True).reshape(4, 4) + floors
+            det = np.linalg.det(cov)
+            if old and det >= old[0] * (1 - quality.LEAST_GAIN):
+                break
+            old = (det, mean, cov)
+        if best is None or old[0] < best[0]:
+            best = old
+    return far(*best[1:])
+
+
+def test_estimates_of_groups_of_every_size(spark):
+    """No size is treated otherwise; where the starts lead to different subsets the least determinant counts."""
+    rnd = np.random.default_rng(8)
+    groups = {n: rnd.normal(size=(n, 4)) * [0.3, 0.2, 0.3, 0.3] for n in (1, 2, 3, 5, 19, 20, 21, 60)}
+    two = np.concatenate([rnd.normal(size=(70, 4)) * 0.2, rnd.normal(size=(60, 4)) * 0.05 + 3])
+    groups[130] = two
+    rows = [(str(n), *np.round(v * quality.SCALE).astype(int).tolist()) for n, x in groups.items() for v in x]
+    fitted = {r.grp: r for r in quality.estimates(spark.createDataFrame(rows, "grp string, x0 long, x1 long, x2 long, x3 long")).collect()}
+    for n, x in groups.items():
+        x = np.round(x * quality.SCALE) / quality.SCALE
+        r = fitted[str(n)]
+        mean, cov = np.array([r[m] for m in quality._M]), np.array([[r[quality._C[min(i, j), max(i, j)]] for j in range(4)] for i in range(4)])
+        assert np.allclose(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), _mcd(x), rtol=1e-5), n
+
+
 # decontamination
 
 
