@@ -2,21 +2,21 @@
 
 Documents and items are compared as lower-case words without ASCII punctuation. First pass: how many documents have each n-gram of the
 benchmark. Seeds are the rare ones, and in each stretch of an item the rarest that occurs at all, so that an item has
-seeds all along it even if many documents copy it. Second pass: where a document has a seed, the words around it are
-aligned with the item; edits, omissions and insertions cost a little each and don't end the alignment. No text is shuffled.
+seeds all along it even if many documents copy it. An item shorter than an n-gram is a seed as a whole. Second pass: where a document has a seed, the words around it are
+aligned with the item; edits, omissions and insertions cost a little each and don't end the alignment.
 
-The benchmark is the query set: it meets all documents in blocks of at most `BLOCK_GRAMS` n-grams, each of which is sent to
-the executors; there are as many passes as blocks.
+Both passes read the documents once, however large the benchmark is: n-grams and seeds meet them by joins. Before these a filter of bounded size, a
+bit table of the benchmark's n-grams, drops nearly all n-grams of the corpus (with a benchmark far beyond its size it drops fewer,
+and the joins get larger). Only documents with a seed are shuffled as texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, record_batch, table
@@ -27,10 +27,11 @@ GRAM = 3
 RARE, RARE_SHARE = 20, 1e-5
 #: Of each stretch of so many n-grams of an item, the rarest that occurs is a seed in any case.
 STRETCH = 4
-BLOCK_GRAMS = 1 << 18
+#: Bits of the filter: sixteen for each n-gram, within these bounds.
+LEAST_BITS, MOST_BITS = 20, 27
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Least score, as a share of the item's own, and least number of points.
-LEAST_SHARE, LEAST_SCORE = 0.5, 12
+#: Least score, as a share of the item's own, and least number of points; what aligns in so many points is a leak of any item.
+LEAST_SHARE, LEAST_SCORE, LONG_SCORE = 0.5, 12, 40
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -43,65 +44,98 @@ def _as_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _grams(words: Words, widths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place among all words, hash) of the n-grams of each width."""
+    for width in widths:
+        gram, whole = words.grams(width)
+        at = np.flatnonzero(whole)
+        yield at, gram[at]
+
+
 def benchmark_grams(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, place, gram) of each item; an item with fewer than GRAM words has none."""
-    schema = pa.schema([("item_id", pa.int64()), ("place", pa.int64()), ("gram", pa.int64())])
+    """(item_id, text, place, gram, width) of each item; one of fewer words than GRAM is a gram of its own width, one without words has none."""
+    bounded_batches(benchmark.sparkSession)
+    schema = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("place", pa.int64()), ("gram", pa.int64()), ("width", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words([normalized(t.as_py()) for t in batch.column(1)])
-            gram, whole = words.grams(GRAM)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[words.text[: len(gram)]]
-            yield record_batch(schema, [ids[whole], words.place[: len(gram)][whole], _as_signed(gram)[whole]])
+            for width in range(1, GRAM + 1):
+                for at, gram in _grams(words, [width]):
+                    mine = at if width == GRAM else at[words.count[words.text[at]] == width]
+                    gram = gram if width == GRAM else gram[np.isin(at, mine)]
+                    item = words.text[mine]
+                    yield record_batch(schema, [batch.column(0).take(pa.array(item)), batch.column(1).take(pa.array(item)), words.place[mine], _as_signed(gram), np.full(len(mine), width)])
 
     own = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text")).where("item_id is not null and text is not null")
-    return own.mapInArrow(run, "item_id long, place long, gram long")
+    return own.distinct().mapInArrow(run, "item_id long, text string, place long, gram long, width long")
+
 
+class GramFilter:
+    """A bit table of 64-bit hashes, made by Spark and broadcast: tells which hashes are certainly not among them."""
 
-class _Members:
-    """Which of many hashes are in a set: a bit table first, then the sorted set."""
+    def __init__(self, grams: DataFrame):
+        n = grams.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+        self.widths = sorted(r.width for r in grams.select("width").distinct().collect())
+        mask = (1 << self.bits) - 1
+        places = F.array(F.col("gram").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("gram", 32).bitwiseAND(F.lit(mask)))
+        put = grams.select(F.explode(places).alias("at")).groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        words = np.zeros(1 << (self.bits - 6), np.uint64)
+        found = put.toArrow()  # one row at most for each word of the table
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        self.table = grams.sparkSession.sparkContext.broadcast(words)
 
-    def __init__(self, members: np.ndarray):
-        self.sorted = np.unique(members)
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.sorted & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        table, mask = self.table.value, np.uint64((1 << self.bits) - 1)
+        has = lambda at: (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+        out = np.flatnonzero(has(hashes & mask))
+        return out[has(hashes[out] >> np.uint64(32) & mask)]
 
-    def positions(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.table[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if not len(at):
-            return at
-        found = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
-        return at[self.sorted[found] == hashes[at]]
 
+def _hits(texts: list[bytes], known: GramFilter) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray]]:
+    """(number of the first text, words, places among them, n-grams that the filter lets through), a block of texts at a time."""
+    for first, end in blocks(texts) if known.widths else ():
+        words = Words(texts[first:end])
+        parts = [(at[keep], gram[keep]) for at, gram in _grams(words, known.widths) for keep in [known.may_have(gram)]]
+        yield first, words, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-def _document_counts(docs: DataFrame, grams: list[int]) -> DataFrame:
-    """(gram, n_docs) for those of grams that occur; docs (text)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(np.array(grams, np.int64))
+
+def _document_counts(docs: DataFrame, known: GramFilter) -> DataFrame:
+    """(gram, n_docs) of n-grams that the filter lets through; docs (text)."""
     schema = pa.schema([("gram", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members = _Members(shipped.value.view(np.uint64))
         for batch in batches:
-            texts = [normalized(t.as_py()) for t in batch.column(0)]
-            for first, end in blocks(texts):
-                words = Words(texts[first:end])
-                gram, whole = words.grams(GRAM)
-                at = members.positions(gram)
-                at = at[whole[at]]
-                pairs = np.unique(np.column_stack([words.text[at].astype(np.uint64), gram[at]]), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
+            for _, words, at, gram in _hits([normalized(t.as_py()) for t in batch.column(0)], known):
+                pairs = np.unique(np.column_stack([words.text[at].astype(np.uint64), gram]), axis=0)
                 yield record_batch(schema, [_as_signed(np.ascontiguousarray(pairs[:, 1]))])
 
     return docs.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n_docs"))
 
 
-@dataclass
-class Items:
-    """Some items on an executor: their words' hashes, and where their seeds are."""
+_HITS = "hits array<struct<gram:long,at:long>>"
+
 
-    ids: np.ndarray
-    words: list[np.ndarray]
-    seeds: dict[int, list[tuple[int, int]]]
-    members: _Members
+def _with_hits(own: DataFrame, known: GramFilter) -> DataFrame:
+    """The documents of own (doc_id, row_key, text) that may have a seed, with `hits`: n-grams and the words where they begin."""
+    hit = pa.struct([("gram", pa.int64()), ("at", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("text", pa.string()), ("hits", pa.list_(hit))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lists = [], []
+            for first, words, at, gram in _hits([normalized(t.as_py()) for t in batch.column(2)], known):
+                text, place, gram = words.text[at], words.place[at], _as_signed(gram)
+                for t in np.unique(text).tolist():
+                    mine = text == t
+                    rows.append(first + t)
+                    lists.append(pa.StructArray.from_arrays([pa.array(gram[mine]), pa.array(place[mine])], names=["gram", "at"]))
+            sizes = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            values = pa.concat_arrays(lists) if lists else pa.array([], hit)
+            yield record_batch(schema, [*(batch.column(i).take(pa.array(rows, pa.int64())) for i in range(3)), pa.ListArray.from_arrays(sizes, values)])
+
+    return own.mapInArrow(run, f"doc_id long, row_key long, text string, {_HITS}")
 
 
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -119,114 +153,86 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
-def _matches(items: Items, words: Words, least_share: float) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, score, first word, end word) of each text and item that align well enough; the best place of each pair."""
-    gram, whole = words.grams(GRAM)
-    at = items.members.positions(gram)
-    hits: dict[tuple[int, int], list[int]] = {}
-    for p in at[whole[at]].tolist():
-        for k, q in items.seeds.get(int(gram[p]), ()):
-            hits.setdefault((int(words.text[p]), k), []).append(p - q)
-    found, scores = [], {}
-    for (text, k), offsets in hits.items():
-        item = items.words[k]
-        m = len(item)
-        low, high = int(words.first[text]), int(words.first[text] + words.count[text])
-        best = (0, 0, 0)
-        offsets.sort()
-        spans: list[list[int]] = []
-        for o in offsets:
-            a, b = max(low, o - m // 2), min(high, o + m + m // 2)
-            if spans and a <= spans[-1][1] and b - spans[-1][0] <= 8 * m:
-                spans[-1][1] = b
-            else:
-                spans.append([a, b])
-        for a, b in spans:
-            window = words.hash[a:b]
-            if MATCH * int(np.isin(item, window).sum()) < max(least_share * MATCH * m, LEAST_SCORE):
-                continue
-            key = (k, window.tobytes())
-            if key not in scores:
-                scores[key] = smith_waterman(item, window)
-            score, end = scores[key]
-            if score > best[0]:
-                best = (score, a - low, a - low + end)
-        if best[0] >= max(least_share * MATCH * m, LEAST_SCORE):
-            found.append((text, k, *best))
-    return found
+def least_score(m: int, least_share: float) -> float:
+    """Points from which an alignment with an item of m words counts; a very short item must be there as it is."""
+    return min(max(least_share * MATCH * m, min(LEAST_SCORE, MATCH * m)), LONG_SCORE)
+
+
+def _best(item: np.ndarray, words: np.ndarray, offsets: list[int], least: float, scores: dict) -> tuple[int, int, int]:
+    """(score, first word, end word) of the best alignment of item near the given places of its first word, zeros if none reaches least."""
+    m, best = len(item), (0, 0, 0)
+    spans: list[list[int]] = []
+    for o in sorted(offsets):
+        a, b = max(0, o - m // 2), min(len(words), o + m + m // 2)
+        if spans and a <= spans[-1][1] and b - spans[-1][0] <= 8 * m:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
+    for a, b in spans:
+        window = words[a:b]
+        if MATCH * int(np.isin(item, window).sum()) < least:
+            continue
+        key = (item.tobytes(), window.tobytes())
+        if key not in scores:
+            scores[key] = smith_waterman(item, window)
+        score, end = scores[key]
+        if score > best[0]:
+            best = (score, a, a + end)
+    return best if best[0] >= least else (0, 0, 0)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, row_key, item_id, score, share, first_word, end_word): each document and item that align, at their best place.
 
-    share is the score over the item's score with itself, score at least LEAST_SCORE. row_key is a hash of id and text. Null or empty texts and items match
-    nothing, nor do items with fewer than GRAM words. Items with a null id are left out. Repeated rows are each reported. Empty tables give
-    an empty result; other columns are ignored.
+    share is the score over the item's score with itself. An alignment counts from least_share of that on (but from LEAST_SCORE points, or all of a
+    shorter item), and in any case from LONG_SCORE points. row_key is a hash of id and text. Null or empty texts and items match
+    nothing. Items with a null id are left out; items with one id and different texts are each looked for. Repeated rows are each reported. Empty tables give
+    an empty result; other columns, whatever their names, are ignored. Long texts are hashed a block at a time; around seeds only, words are aligned.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), row_key(docs[id_col], docs[text_col]).alias("row_key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     grams = table(benchmark_grams(benchmark, item_col, item_text_col), "grams")
-    total = grams.count()
-    result = spark.createDataFrame([], "doc_id long, row_key long, item_id long, score long, share double, first_word long, end_word long")
-    if not total:
-        return result
-    n_blocks = -(-total // BLOCK_GRAMS)
-    n_docs = own.count()
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("item_id is not null and text is not null")
-    for block in range(n_blocks):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block
-        here = grams.where(mine)
-        counts = _document_counts(own, [r.gram for r in here.select("gram").distinct().collect()])
-        stretch = Window.partitionBy("item_id", F.floor(F.col("place") / STRETCH))
-        counted = here.join(table(counts, "counts"), "gram", "left").fillna(0, ["n_docs"]).withColumn("least", F.min(F.when(F.col("n_docs") > 0, F.col("n_docs"))).over(stretch))
-        seeds = counted.where((F.col("n_docs") > 0) & ((F.col("n_docs") <= max(RARE, RARE_SHARE * n_docs)) | (F.col("n_docs") == F.col("least")))).select("item_id", "place", "gram").collect()
-        result = result.unionAll(_aligned(own, items.where(mine).collect(), seeds, least_share))
-    return result
-
-
-def _aligned(own: DataFrame, items: list, seeds: list, least_share: float) -> DataFrame:
-    ids = [r.item_id for r in items]
-    texts = [r.text for r in items]
-    shipped = own.sparkSession.sparkContext.broadcast((ids, texts, [(r.item_id, r.place, r.gram) for r in seeds]))
+    counts = _document_counts(own, GramFilter(grams.select("gram", "width")))
+    counted = grams.join(counts, "gram").withColumn("least", F.min("n_docs").over(Window.partitionBy("item_id", "text", F.floor(F.col("place") / STRETCH))))
+    rare = F.greatest(F.lit(RARE).cast("double"), F.lit(RARE_SHARE) * own.count())
+    seeds = table(counted.where((F.col("n_docs") <= rare) | (F.col("n_docs") == F.col("least"))).select("item_id", "text", "place", "gram", "width"), "seeds")
+    hit = table(_with_hits(own, GramFilter(seeds.select("gram", "width"))), "hits")
+    met = hit.select("doc_id", "row_key", F.explode("hits").alias("h")).select("doc_id", "row_key", "h.*").distinct().join(seeds, "gram")
+    pairs = met.groupBy("doc_id", "row_key", "item_id", F.col("text").alias("item")).agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
+    wanted = pairs.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("item_id", "item", "offsets")).alias("items"))
+    return _aligned(hit.select("doc_id", "row_key", "text"), wanted, least_share)
+
+
+def _aligned(hit: DataFrame, wanted: DataFrame, least_share: float) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.int64()), ("share", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
-    def load() -> Items:
-        ids, texts, seeds = shipped.value
-        words = Words([normalized(t) for t in texts])
-        number: dict[int, list[int]] = {}
-        for k, item in enumerate(ids):
-            number.setdefault(item, []).append(k)
-        places: dict[int, list[tuple[int, int]]] = {}
-        own_grams, whole = words.grams(GRAM)
-        for item, place, gram in seeds:
-            for k in number[item]:  # repeated item ids may have different texts
-                at = int(words.first[k]) + place
-                if at < len(own_grams) and whole[at] and place < words.count[k] and int(_as_signed(own_grams)[at]) == gram:
-                    places.setdefault(gram & ((1 << 64) - 1), []).append((k, place))
-        each = [words.hash[f : f + c] for f, c in zip(words.first.tolist(), words.count.tolist(), strict=True)]
-        return Items(np.array(ids, np.int64), each, {g: sorted(set(p)) for g, p in places.items()}, _Members(np.array(list(places), np.uint64)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = load()
         for batch in batches:
-            texts = [normalized(t.as_py()) for t in batch.column(2)]
-            rows = []
-            for first, end in blocks(texts):
-                for text, k, score, a, b in _matches(known, Words(texts[first:end]), least_share):
-                    i = first + text
-                    rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), int(known.ids[k]), score, score / (MATCH * len(known.words[k])), a, b))
+            rows, scores, items = [], {}, {}
+            for k in range(batch.num_rows):
+                words = Words([normalized(batch.column(2)[k].as_py())]).hash
+                for w in batch.column(3)[k].as_py():
+                    if w["item"] not in items:
+                        items[w["item"]] = Words([normalized(w["item"])]).hash
+                    item = items[w["item"]]
+                    score, a, b = _best(item, words, w["offsets"], least_score(len(item), least_share), scores)
+                    if score:
+                        rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["item_id"], score, score / (MATCH * len(item)), a, b))
             yield record_batch(schema, list(zip(*rows, strict=True)) or [[]] * len(schema))
 
-    return own.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, item_id long, score long, share double, first_word long, end_word long")
+    other = wanted.select(F.col("doc_id").alias("of"), F.col("row_key").alias("key"), "items")
+    joined = hit.join(other, hit["doc_id"].eqNullSafe(other["of"]) & (hit["row_key"] == other["key"]))
+    aligned = joined.select("doc_id", "row_key", "text", "items").mapInArrow(run, "doc_id long, row_key long, item_id long, score long, share double, first_word long, end_word long")
+    return aligned
 
 
-def row_key(id_col: str, text_col: str) -> F.Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def row_key(id_col: Column, text_col: Column) -> Column:
+    return F.xxhash64(id_col.cast("long"), F.coalesce(text_col.cast("string"), F.lit("")))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs in which no item was found, with the columns of docs."""
-    found = table(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("row_key").distinct(), "leaks")
-    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
-    return keyed.join(found, keyed["_row_key"] == found["row_key"], "left_anti").select(*docs.columns)
+    """The rows of docs in which no item was found, with the columns of docs. Cases are those of find_leaks(); columns of any name are handed through."""
+    found = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("of"), "row_key").distinct()
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].cast("long").alias("id"), row_key(docs[id_col], docs[text_col]).alias("key"))
+    leaks = table(found, "leaks")
+    return keyed.join(leaks, keyed["id"].eqNullSafe(leaks["of"]) & (keyed["key"] == leaks["row_key"]), "left_anti").select("doc.*")

@@ -456,9 +456,10 @@ def test_leaks(spark, monkeypatch):
     del edited[11]
     texts = [None, "", make(200), make(50) + " " + items[0].title() + ". " + make(50), make(20) + " " + " ".join(edited), items[2] + "\n" + items[3], " ".join(items[4].split()[:8]), "two words"]
     texts += [items[5] + " " + make(5) for _ in range(40)]  # a leak in many documents is still found
-    df = _clashing(_docs(spark, texts)).drop("gram")
-    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(None, items[0], "x"), (90, None, "x"), (91, "short", "x"), (1, items[1], "x")], "item_id long, text string, gram string")
-    monkeypatch.setattr(decontam, "BLOCK_GRAMS", 60)  # several passes
+    df = _clashing(_docs(spark, texts)).select("*", *[F.lit("x").alias(c) for c in ("row_key", "_row_key", "id", "key", "doc", "hits")])
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(None, items[0], "x"), (90, None, "x"), (91, "", "x"), (1, items[1], "x")], "item_id long, text string, gram string")
+    monkeypatch.setattr(decontam, "LEAST_BITS", 6)  # a filter that lets much through
+    monkeypatch.setattr(decontam, "MOST_BITS", 8)
     found = decontam.find_leaks(df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in found if r.doc_id is not None} == {(3, 0), (4, 1), (5, 2), (5, 3)} | {(k, 5) for k in range(8, 48)}
     assert all(r.share == 1 for r in found if r.doc_id in (3, 5))
@@ -467,6 +468,40 @@ def test_leaks(spark, monkeypatch):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0 and decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items_and_long_excerpts(spark):
+    rnd = random.Random(14)
+    make = lambda n: [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
+    long, around = make(90), make(30)
+    items = {1: "alpha beta gamma delta epsilon", 2: "zeta eta", 3: "theta", 4: "one two three", 5: " ".join(long)}
+    texts = {10: "Alpha, beta gamma delta epsilon!", 11: "alpha beta gamma delta", 12: "x zeta eta y", 13: "zeta x eta", 14: "Theta.", 15: "one two four three", 16: " ".join(around + long[20:45] + around), 17: " ".join(around + long[20:35] + around)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = decontam.find_leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(10, 1), (12, 2), (14, 3), (16, 5)}
+
+
+def test_leaks_equal_an_alignment_of_all_pairs(spark):
+    """Every pair that aligns well enough and shares an n-gram at all is found, and nothing else."""
+    rnd = random.Random(15)
+    items = [[rnd.choice("abcdefghijklmnop") + rnd.choice("abcdefghijk") for _ in range(rnd.randint(8, 30))] for _ in range(8)]
+    texts = []
+    for k in range(60):
+        part = list(items[k % 8])
+        for _ in range(rnd.randint(0, 8)):
+            part[rnd.randrange(len(part))] = rnd.choice("qrstuv")
+        texts.append(" ".join([rnd.choice("abcdef") for _ in range(10)] + part[rnd.randint(0, 6) :] + [rnd.choice("ghijk") for _ in range(10)]))
+    want = set()
+    for d, t in enumerate(texts):
+        words = t.split()
+        grams = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+        for i, item in enumerate(items):
+            code = {w: n for n, w in enumerate(sorted({*item, *words}))}
+            score = decontam.smith_waterman(np.array([code[w] for w in item]), np.array([code[w] for w in words]))[0]
+            if score >= decontam.least_score(len(item), 0.5) and any(tuple(item[j : j + 3]) in grams for j in range(len(item) - 2)):
+                want.add((d, i, score))
+    found = decontam.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.score) for r in found.collect()} == want and len(want) > 20
+
+
 def test_edited_leaks_in_many_documents(spark):
     rnd = random.Random(6)
     make = lambda n: [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
