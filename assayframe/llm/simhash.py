@@ -6,7 +6,8 @@ more blocks to agree in, keys are longer and buckets smaller, but each fingerpri
 Equal fingerprints count once from the start, so a group of exact copies is one row here.
 
 A bucket of the join yields a spanning forest of its links, not all pairs. A bucket with more than
-`TILE` fingerprints is dealt out over tiles: its fingerprints fall into chunks, and each pair of chunks is a task's
+`TILE` fingerprints is cut further: those of its bits that are not in the key become blocks again, of which a close pair agrees in
+`FURTHER` more. A finer bucket that is still too large is dealt out over tiles: its fingerprints fall into chunks, and each pair of chunks is a task's
 group of bounded size. All links of a large bucket are still found, and no bucket is capped.
 """
 
@@ -27,6 +28,8 @@ from .components import connected_components
 
 SEED = 42
 TILE = 2048
+#: Blocks to agree in besides, inside a large bucket.
+FURTHER = 3
 #: Buckets up to this size are compared by shifting the whole sorted column.
 SMALL = 8
 
@@ -77,13 +80,26 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return hashed.mapInArrow(run, "doc_id long, text_hash long, fp long" + ", sig binary" * signed)
 
 
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _choices(bits: list[int], max_bits: int, agree: int) -> list[int]:
+    """The given bits (places) in max_bits + agree blocks: a mask for each choice of `agree` of these."""
+    n = max_bits + agree
+    cuts = [len(bits) * i // n for i in range(n + 1)]
+    blocks = [sum(1 << b for b in bits[a:c]) for a, c in zip(cuts, cuts[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(blocks, agree)]
+
+
 def block_masks(max_bits: int, agree: int = 2) -> list[int]:
     """A mask for each choice of `agree` blocks out of max_bits + agree, as signed 64-bit integers."""
-    n = max_bits + agree
-    cuts = [64 * i // n for i in range(n + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    unsigned = [sum(chosen) for chosen in combinations(blocks, agree)]
-    return [m - (1 << 64) if m >> 63 else m for m in unsigned]
+    return [_signed(m) for m in _choices(list(range(64)), max_bits, agree)]
+
+
+def finer_masks(max_bits: int, agree: int = 2) -> list[list[int]]:
+    """For each mask of block_masks() the masks that cut its large buckets further, all of its bits included."""
+    return [[_signed(m | more) for more in _choices([b for b in range(64) if not m >> b & 1], max_bits, FURTHER)] for m in _choices(list(range(64)), max_bits, agree)]
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[np.ndarray]:
@@ -122,18 +138,22 @@ def _bucket_links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndarr
 
 def close_links(distinct: DataFrame, max_bits: int, agree: int = 2) -> DataFrame:
     """distinct (fp): links (a, b) that connect all fingerprints at max_bits or fewer, through others if need be."""
-    masks = block_masks(max_bits, agree)
-    rows = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k")
-    ).select("k.pair", "k.bits", "fp")
-    large = rows.groupBy("pair", "bits").count().where(F.col("count") > TILE).select("pair", "bits", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
+    masks, finer = block_masks(max_bits, agree), finer_masks(max_bits, agree)
+    key = lambda i, m: F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
+    rows = distinct.select("fp", F.explode(F.array(*[key(i, m) for i, m in enumerate(masks)])).alias("k")).select("k.pair", "k.bits", "fp")
+    large = rows.groupBy("pair", "bits").count().where(F.col("count") > TILE).select("pair", "bits", F.lit(True).alias("large"))
+    dealt = rows.join(large, ["pair", "bits"], "left")
+    of_pair = F.get(F.array(*[F.array(*[F.lit(m) for m in more]) for more in finer]), F.col("pair"))
+    numbered = F.transform(of_pair, lambda m, i: F.struct((F.lit(len(masks)) + F.col("pair") * len(finer[0]) + i).cast("int").alias("pair"), F.col("fp").bitwiseAND(m).alias("bits")))
+    split = dealt.where("large").select("fp", F.explode(numbered).alias("k")).select("k.pair", "k.bits", "fp")
+    still = split.groupBy("pair", "bits").count().where(F.col("count") > TILE).select("pair", "bits", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks").cast("long")).cast("int")
     tiled = (
-        rows.join(large, ["pair", "bits"], "left")
+        split.join(still, ["pair", "bits"], "left")
         .withColumn("mine", F.coalesce(mine, F.lit(0)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
         .select("pair", "bits", F.least("mine", "other").alias("t0"), F.greatest("mine", "other").alias("t1"), "fp")
-    )
+    ).unionAll(dealt.where("large is null").select("pair", "bits", F.lit(0).alias("t0"), F.lit(0).alias("t1"), "fp"))
     keys = ["pair", "bits", "t0", "t1"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -171,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest doc_id that links of `max_bits` or fewer differing bits reach. Null and empty texts, and
     texts without words, have fingerprint zero and link like any other. A null doc_id takes part but never names a
-    component unless all its ids are null. Repeated rows stay. An empty table gives an empty result.
+    component unless all its ids are null. Repeated rows stay. An empty table gives an empty result. Other columns, whatever their names, are ignored.
     n_copies: rows with the same fingerprint; n_linked: distinct fingerprints in the component.
     """
     fps, named = _components(docs, id_col, text_col, width, max_bits)
@@ -196,18 +216,19 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, max_bit
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, agree: int = 2, similarity: float | None = None) -> DataFrame:
     """The row with the smallest id of each component, with the columns of docs; of rows alike in id and text, any one.
 
-    With `similarity`, texts of that shingle similarity and more are linked by MinHash besides. Null ids come after all others.
+    With `similarity`, texts of that shingle similarity and more are linked by MinHash besides. Null ids come after all others. Null and empty
+    texts, and texts without words, are one component. Columns of docs, whatever their names, are handed through. An empty table gives an empty
+    result. A long text is hashed a block of words at a time.
     """
     fps, named = _components(docs, id_col, text_col, width, max_bits, agree, similarity)
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     repeated = fps.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first.*")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.withColumn("_id", docs[id_col].cast("long")).withColumn("_hash", F.xxhash64(text))
-    same = lambda other: keyed["_id"].eqNullSafe(other["doc_id"]) & (keyed["_hash"] == other["text_hash"])
-    out = keyed.join(kept, same(kept), "left_semi")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].cast("long").alias("key_id"), F.xxhash64(text).alias("key_hash"))
+    out = keyed.join(kept, keyed["key_id"].eqNullSafe(kept["doc_id"]) & (keyed["key_hash"] == kept["text_hash"]), "left_semi")
     if not repeated.isEmpty():
-        out = out.dropDuplicates(["_id", "_hash"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["key_id", "key_hash"])
+    return out.select("doc.*")
 
 
 def hex_digits(column: str) -> F.Column:

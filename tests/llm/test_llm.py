@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from assayframe.llm import bpe, bwt, components, decontam, minhash, quality, repeats, rlz, secrets, sharding, simhash, token_counts, token_files
@@ -38,7 +39,7 @@ def _docs(spark, texts=None):
 
 def _clashing(df):
     """The same with columns that the operators use inside."""
-    return df.select("*", *[F.lit("x").alias(c) for c in ("fp", "row", "unit", "bin", "ids", "stats", "tokens", "words", "path", "cell", "kept", "gram")])
+    return df.select("*", *[F.lit("x").alias(c) for c in ("fp", "row", "unit", "bin", "ids", "stats", "tokens", "words", "path", "cell", "kept", "gram", "_bytes", "_h", "_h2", "_shard", "doc", "bytes", "grp", "failed", "x0", "distance", "base", "weak", "clean")])
 
 
 @pytest.fixture(scope="module")
@@ -83,9 +84,16 @@ def _brute_components(fps: list[int], ids: list, bits: int) -> list:
     return [least.get(find(i)) for i in range(len(fps))]
 
 
+def _plain_fingerprint(text: str, width: int) -> int:
+    words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+    grams = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_simhash(docs):
     rows = _rows(docs)
-    fps = [int(x) for x in simhash.fingerprint([t.encode() for _, t in rows], 4)]
+    fps = [_plain_fingerprint(t, 4) for _, t in rows]
     want = [(i, format(f, "016x"), c) for (i, _), f, c in zip(rows, fps, _brute_components(fps, [i for i, _ in rows], 4), strict=True)]
     got = simhash.near_duplicates(docs).select("doc_id", simhash.hex_digits("fp").alias("f"), "component_id").collect()
     _same([tuple(r) for r in got], want)
@@ -105,6 +113,7 @@ def test_close_links_find_every_component(spark, monkeypatch, bits, agree, tile)
 
 
 def test_keep_one(docs):
+    docs = docs.select("*", *[F.lit("x").alias(c) for c in ("_id", "_hash", "key_id", "key_hash", "text_hash")])
     kept = simhash.keep_one(docs, width=4).collect()
     found = simhash.near_duplicates(docs).collect()
     assert len(kept) == len({r.component_id for r in found})
@@ -456,7 +465,7 @@ def test_leaks(spark, monkeypatch):
     del edited[11]
     texts = [None, "", make(200), make(50) + " " + items[0].title() + ". " + make(50), make(20) + " " + " ".join(edited), items[2] + "\n" + items[3], " ".join(items[4].split()[:8]), "two words"]
     texts += [items[5] + " " + make(5) for _ in range(40)]  # a leak in many documents is still found
-    df = _clashing(_docs(spark, texts)).select("*", *[F.lit("x").alias(c) for c in ("row_key", "_row_key", "id", "key", "doc", "hits")])
+    df = _clashing(_docs(spark, texts)).select("*", *[F.lit("x").alias(c) for c in ("row_key", "_row_key", "id", "key", "hits")])
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(None, items[0], "x"), (90, None, "x"), (91, "", "x"), (1, items[1], "x")], "item_id long, text string, gram string")
     monkeypatch.setattr(decontam, "LEAST_BITS", 6)  # a filter that lets much through
     monkeypatch.setattr(decontam, "MOST_BITS", 8)
@@ -570,7 +579,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     rows = {r.doc_id: r.text for r in source.collect()}
     good = {r.doc_id for r in quality.judge(source).where("kept").collect()}
     ids = sorted(good)
-    fps = [int(x) for x in simhash.fingerprint([rows[i].encode() for i in ids], corpus_pipeline.SHINGLE)]
+    fps = [_plain_fingerprint(rows[i], corpus_pipeline.SHINGLE) for i in ids]
     ids = [i for i, c in zip(ids, _brute_components(fps, ids, corpus_pipeline.MAX_BITS), strict=True) if i == c]
     items = [" " + " ".join(decontam.normalized(r.text).decode().split()) + " " for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     left = [i for i in ids if not any(x in " " + " ".join(decontam.normalized(rows[i]).decode().split()) + " " for x in items)]
@@ -588,6 +597,33 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert set(got) <= set(want) and len(want) - len(got) <= 2 and all(got[i] == want[i] for i in got)
 
 
+def test_pipeline_stages_keep_columns_and_define_odd_rows(spark, monkeypatch):
+    """Null and empty texts, null ids, repeated rows, columns with the stages' own names, and no rows at all."""
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    prose = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(120)) for _ in range(6)]
+    texts = [*prose, None, "", prose[0], prose[1] + " password=hunter22x"]
+    df = _clashing(_docs(spark, texts)).drop("ids").unionByName(_clashing(_docs(spark, [prose[2]])).drop("ids"))
+    item = " ".join(prose[3].split()[20:60])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench.write.parquet(f"{(d := spark.conf.get('spark.checkpoint.dir'))}/stages/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, f"{d}/stages")
+        assert stage(spark, df.limit(0), f"{d}/stages").count() == 0
+        if name == "encode_and_decode":
+            assert out.count() == df.count()
+            break
+        assert out.columns == df.columns
+        if name == "quality_rules":
+            assert {r.doc_id for r in out.collect()} == {0, 1, 2, 3, 4, 5, 8, 9, None}
+        if name == "near_dedup":
+            assert sorted(r.doc_id for r in out.collect()) == [0, 0, 1, 3, 4, 5]
+        if name == "decontamination":
+            assert sorted(r.doc_id for r in out.collect()) == [0, 0, 1, 4, 5]
+        df = out.cache()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
     from tests.compare import differences, duck
