@@ -6,9 +6,8 @@ symbols have changed since is stale and skipped. Decoding concatenates vocabular
 The tokenizer file is read once on the driver and sent to the executors: its size doesn't depend on the data. What a
 worker has merged it remembers for later texts, in a table of bounded size, and merges anew what it has forgotten.
 
-Which characters are letters, and how they are composed and lower-cased, depends on the Unicode version of whoever asks. Words of ASCII are cut by the
-file's pattern here; all others by the library's pre-tokenizer, and texts with a character on which Python's Unicode data and the library's
-may differ are normalized by the library as well.
+Which characters are letters, and how they are composed and lower-cased, depends on the Unicode version of whoever asks. The driver finds out on which
+characters Python and the library differ or may differ; texts with one of these are normalized and cut into pre-tokens by the library.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, id_and_text, record_batch
@@ -116,33 +116,39 @@ def _cutter(content: bytes):
     return Tokenizer.from_str(json.dumps(spec | {"model": model, "added_tokens": []}))
 
 
-def doubtful_characters(content: bytes) -> str:
-    """A character class of the code points that Python's Unicode data doesn't know or normalizes otherwise than the library, alone or next to marks."""
-    normalize = _cutter(content).normalizer.normalize_str
+def doubtful_characters(content: bytes) -> tuple[str, str]:
+    """Two character classes, of the basic plane and of the others: code points that Python's Unicode data doesn't know, or that are normalized or cut otherwise
+    than by the library, alone or next to letters and marks."""
+    cutter = _cutter(content)
+    normalize, cut, find = cutter.normalizer.normalize_str, cutter.pre_tokenizer.pre_tokenize_str, regex.compile(PATTERN).findall
     space = re.compile(r"\s+")
     known, odd = [], []
     for c in range(0x80, 0x110000):
-        if 0xD800 <= c < 0xE000:
+        if 0xD800 <= c < 0xE000 or (kind := unicodedata.category(chr(c))) == "Co":
             continue
-        (odd if unicodedata.category(chr(c)) == "Cn" else known).append(c)
+        (odd if kind == "Cn" else known).append(c)
+
+    def differ(text: str) -> bool:
+        theirs = normalize(text)
+        return theirs != space.sub(" ", _normalized(text)) or [theirs[a:b] for _, (a, b) in cut(theirs)] != find(theirs)
+
     marks = [c for c in known if unicodedata.combining(chr(c))]
     for codes, form in ((known, "x{0}"), (marks, "a{0}\u0316"), (marks, "a\u0301{0}")):
         for k in range(0, len(codes), 1000):
             some = codes[k : k + 1000]
-            parts = [form.format(chr(c)) for c in some]
-            theirs, ours = normalize("\n".join(parts)), space.sub(" ", _normalized("\n".join(parts)))
-            if theirs != ours:
-                odd += [c for c, p in zip(some, parts, strict=True) if normalize(p) != space.sub(" ", _normalized(p))]
+            if differ("\n".join(form.format(chr(c)) for c in some)):
+                odd += [c for c in some if differ(form.format(chr(c)))]
     odd = sorted(set(odd))
-    begin = [c for k, c in enumerate(odd) if k == 0 or odd[k - 1] != c - 1]
-    end = [c for k, c in enumerate(odd) if k == len(odd) - 1 or odd[k + 1] != c + 1]
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begin, end, strict=True)) + "]"
+    begin = [c for k, c in enumerate(odd) if k == 0 or odd[k - 1] != c - 1 or c == 0x10000]
+    end = [c for k, c in enumerate(odd) if k == len(odd) - 1 or odd[k + 1] != c + 1 or c == 0xFFFF]
+    ranges = [(a, f"\\U{a:08x}-\\U{b:08x}") for a, b in zip(begin, end, strict=True)]
+    return "[" + "".join(r for a, r in ranges if a < 0x10000) + "]", "[" + "".join(r for a, r in ranges if a >= 0x10000) + "]"
 
 
 class WordBpe:
     """Encoder and decoder for one tokenizer file (JSON): NFC, white space, lower case, pattern, bytes, merges with word ends."""
 
-    def __init__(self, content: bytes, doubtful: str | None = None):
+    def __init__(self, content: bytes, doubtful: tuple[str, str] | None = None):
         spec = json.loads(content)
         model = spec["model"]
         if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER or spec["decoder"] is not None:
@@ -159,14 +165,16 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         stand_ins = byte_symbols()
-        self.of_ascii = dict(enumerate(stand_ins[:128]))
         self.inner = {s: vocab[s] for s in stand_ins}
         self.last = {s: vocab[s + end] for s in stand_ins}
-        self.find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall  # PATTERN, of lower-case ASCII
+        self.stand_in = dict(enumerate(stand_ins))
+        self.find = regex.compile(PATTERN).findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         cutter = _cutter(content)
         self.normalize, self.cut = cutter.normalizer.normalize_str, cutter.pre_tokenizer.pre_tokenize_str
-        self.is_doubtful = re.compile(doubtful or doubtful_characters(content)).search
+        basic, further = doubtful or doubtful_characters(content)
+        self.doubtful = [re.compile(x).search for x in (basic, "[\U00010000-\U0010ffff]", further)]  # the last class is slow to search for
+        self.careful = False  # whether the text at hand is left to the library
         self.words = Remembered()
 
     def _merged(self, token: str) -> list[int]:
@@ -179,10 +187,10 @@ class WordBpe:
         """The ids, as little-endian 32-bit numbers, of a normalized text without white space."""
         found = self.words.older.get(word)
         if found is None:
-            plain = word.isascii()
-            parts = self.find(word) if plain else [p for p, _ in self.cut(word)]
-            if not plain or (len(parts) == 1 and parts[0] == word):
-                found = np.array([i for p in parts for i in self._merged(p.translate(self.of_ascii) if plain else p)], "<u4").tobytes()
+            if self.careful and not word.isascii():
+                found = np.array([i for p, _ in self.cut(word) for i in self._merged(p)], "<u4").tobytes()
+            elif len(parts := self.find(word)) == 1 and parts[0] == word:
+                found = np.array(self._merged(word.encode().decode("latin-1").translate(self.stand_in)), "<u4").tobytes()
             else:  # a word between punctuation is most likely known by itself
                 found = b"".join([self.words.known.get(p) or self._word(p) for p in parts])
         self.words.add(word, found, len(found))
@@ -192,7 +200,9 @@ class WordBpe:
         if text.isascii():
             text = text.lower()
         else:
-            text = self.normalize(text) if self.is_doubtful(text) else _normalized(text)
+            basic, further, odd = self.doubtful
+            self.careful = bool(basic(text) or (further(text) and odd(text)))
+            text = self.normalize(text) if self.careful else _normalized(text)
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to split(), but not to the pattern
         words = re.split(r"[^\S\x1c-\x1f]+", text) if odd else text.split()
         known = self.words
@@ -211,12 +221,12 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def _loaded(digest: str, content: bytes, doubtful: str, kind: type) -> WordBpe:
+def _loaded(digest: str, content: bytes, doubtful: tuple[str, str], kind: type) -> WordBpe:
     return kind(content, doubtful)
 
 
 @lru_cache(maxsize=2)
-def _doubtful_once(content: bytes) -> str:
+def _doubtful_once(content: bytes) -> tuple[str, str]:
     return doubtful_characters(content)
 
 

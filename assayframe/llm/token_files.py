@@ -26,7 +26,7 @@ from .common import bounded_batches, id_and_text, record_batch
 class LibraryBpe(WordBpe):
     """The same encoder with the library's own merges; what counts here is the files."""
 
-    def __init__(self, content: bytes, doubtful: str | None = None):
+    def __init__(self, content: bytes, doubtful: tuple[str, str] | None = None):
         from tokenizers import Tokenizer
 
         super().__init__(content, doubtful)
