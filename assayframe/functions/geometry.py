@@ -48,8 +48,13 @@ def union_box(x: Column, y: Column, width: Column, height: Column) -> list[Colum
     return [F.min(x).alias("x"), F.min(y).alias("y"), (F.max(x + width) - F.min(x)).alias("width"), (F.max(y + height) - F.min(y)).alias("height")]
 
 
-def overlapping_bands(height: Column, band: int, stride: int) -> Column:
-    """array<struct<top, bottom>> of bands that cover a page of `height` rows, each `band` high, a new one each `stride`."""
+def overlapping_bands(height: Column, band: int, stride: int, keep_height: bool = False) -> Column:
+    """array<struct<top, bottom>> of bands that cover a page of `height` rows, each `band` high, a new one each `stride`.
+
+    The last one is clipped at the page's end, or with keep_height moved up to it.
+    """
     starts = F.sequence(F.lit(0).cast("int"), F.greatest(height.cast("int") - 1, F.lit(0)), F.lit(stride))
     needed = F.filter(starts, lambda s: (s == 0) | (s + (band - stride) < height))
+    if keep_height:
+        needed = F.transform(needed, lambda s: F.least(s, F.greatest(height.cast("int") - band, F.lit(0))))
     return F.transform(needed, lambda s: F.struct(s.alias("top"), F.least(s + band, height.cast("int")).alias("bottom")))

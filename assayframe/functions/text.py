@@ -64,8 +64,8 @@ def safe_token(text: Column) -> Column:
 
 
 def csv_cell(text: Column) -> Column:
-    """A quoted CSV cell; a text that a spreadsheet would read as a formula gets an apostrophe; null is NULL without quotes."""
-    harmless = F.when(text.rlike(r"^[\s﻿]*[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
+    """A quoted CSV cell; a mark that begins a formula, after white space maybe, gets an apostrophe right before it; null is NULL without quotes."""
+    harmless = F.regexp_replace(text, r"^([\s\uFEFF]*)([=+\-@])", "$1'$2")
     return F.coalesce(F.concat(F.lit('"'), F.replace(harmless, F.lit('"'), F.lit('""')), F.lit('"')), F.lit("NULL"))
 
 
@@ -76,19 +76,17 @@ def file_size(size: Column) -> Column:
 
 # Words for specimens in the languages of reports.
 SPECIMEN_WORDS = {
-    "serum": r"\b(?:serum|serumas|serume)\b",
-    "plasma": r"\b(?:plasma|plazma|plazmoje)\b",
-    "blood": r"\b(?:blood|vollblut|blut|kraujas|kraujyje)\b",
-    "urine": r"\b(?:urine|urin|slapimas|slapime)\b",
-    "stool": r"\b(?:stool|stuhl|ismatos)\b",
-    "saliva": r"\b(?:saliva|speichel|seiles)\b",
+    "plasma": r"\bplasma\b",
+    "serum": r"\b(?:serum|sérum|serumas)\b",
+    "urine": r"\b(?:urine|urin|orina|urina)\b",
+    "blood": r"\b(?:blood|whole blood|blut|vollblut|sang|sangue|bloed|krew|kraujas|kraujo)\b",
 }
 
 
 def specimen(text: Column) -> Column:
-    """The one specimen that text names; `unknown` if it names none or several."""
-    folded = fold(text)
-    named = F.array_compact(F.array(*[F.when(folded.rlike(p), name) for name, p in SPECIMEN_WORDS.items()]))
+    """The one specimen that text names, in any case; `unknown` if it names none or several."""
+    low = F.lower(text)
+    named = F.array_compact(F.array(*[F.when(low.rlike(p), name) for name, p in SPECIMEN_WORDS.items()]))
     return F.when(F.size(named) == 1, F.get(named, F.lit(0))).otherwise("unknown")
 
 

@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What must agree in each pass, strictest first; rows with a null page or date stay out of the passes that need it.
+from ..functions.text import neat
+
+#: What must agree in each pass, strictest first. A null page agrees with a null one; rows without a date stay out of the pass by date.
 PASSES = (("page", "value"), ("page",), ("date",), ())
 #: What a matching produced row is preferred for.
 WEIGHTS = {"date": 100, "specimen": 10, "page": 5, "unit": 2}
@@ -16,11 +18,11 @@ def match_cascade(expected: DataFrame, produced: DataFrame) -> DataFrame:
     """One-to-one pairs (report_id, expected_idx, produced_idx, pass).
 
     Both sides: report_id, idx, label, page, value, date, specimen, unit. Only rows of one report and label can match, so a group of these goes
-    through all passes by itself: one shuffle. Within a pass and key, expected rows take in their order the free produced row with the most
+    through all passes by itself: one shuffle. White space doesn't count, nor does a label's case. Within a pass and key, expected rows take in their order the free produced row with the most
     weight, on a tie the first. Rows without a label match nothing.
     """
     columns = ["label", "page", "value", "date", "specimen", "unit"]
-    side = lambda df, name: df.select(F.col("report_id").cast("string").alias("report_id"), F.lit(name).alias("side"), F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("string").alias(c) for c in columns])
+    side = lambda df, name: df.select(F.col("report_id").cast("string").alias("report_id"), F.lit(name).alias("side"), F.col("idx").cast("long").alias("idx"), *[neat(F.col(c).cast("string"), lower=c == "label").alias(c) for c in columns])
     both = side(expected, "e").unionByName(side(produced, "p")).where("label is not null")
     shared = both.groupBy("report_id", "label").agg(F.min("side").alias("_a"), F.max("side").alias("_b")).where("_a <> _b").select("report_id", "label")
     return both.join(shared, ["report_id", "label"], "left_semi").groupBy("report_id", "label").applyInPandas(_matched, "report_id string, expected_idx long, produced_idx long, pass int")
@@ -37,12 +39,12 @@ def _matched(rows: pd.DataFrame) -> pd.DataFrame:
         unmatched = []
         for e in wanted:
             key = tuple(e[k] for k in keys)
-            known = all(v is not None for k, v in zip(keys, key, strict=True) if k != "value")
+            known = all(v is not None for k, v in zip(keys, key, strict=True) if k == "date")
             candidates = held.get(key, []) if known else []
             if not candidates:
                 unmatched.append(e)
                 continue
-            weight = [sum(w for c, w in WEIGHTS.items() if p[c] is not None and p[c] == e[c]) for p in candidates]
+            weight = [sum(w for c, w in WEIGHTS.items() if p[c] == e[c] and (c == "page" or e[c] is not None)) for p in candidates]
             p = candidates.pop(weight.index(max(weight)))
             out.append((e["report_id"], e["idx"], p["idx"], n + 1))
         wanted, used = unmatched, {o[2] for o in out}

@@ -90,7 +90,7 @@ def balances(ledger: DataFrame, keys: list[str], now: Column) -> DataFrame:
 
 def usage_warning(remaining: Column, included: Column) -> Column:
     used = 1 - remaining / F.nullif(included, F.lit(0))
-    return F.when((remaining <= 0) | (included <= 0), "exhausted").when(used >= 0.95, "critical").when(used >= 0.8, "near-limit").otherwise("ok")
+    return F.when((remaining <= 0) | (included <= 0), "exhausted").when(used >= 0.95, "critical").when(used >= 0.8, "near-limit").otherwise("normal")
 
 
 def pick_grant(grants: DataFrame, keys: list[str]) -> DataFrame:

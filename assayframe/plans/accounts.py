@@ -45,10 +45,10 @@ def ledger_balance(spark: SparkSession, d: str) -> DataFrame:
     return _balances(spark, d).select("account_id", "granted", "consumed", "reserved", "remaining", F.col("resets_at").cast("string").alias("resets_at"))
 
 
-@query(f"""WITH {BALANCES} SELECT account_id, CASE WHEN granted - reserved // 8 <= 0 OR granted <= 0 THEN 'exhausted' WHEN 1 - greatest(0, granted - reserved // 8) / granted >= 0.95 THEN 'critical'
-  WHEN 1 - greatest(0, granted - reserved // 8) / granted >= 0.8 THEN 'near-limit' ELSE 'ok' END AS warning FROM balances""")
+@query(f"""WITH {BALANCES} SELECT account_id, CASE WHEN granted - reserved <= 0 OR granted <= 0 THEN 'exhausted' WHEN 1 - greatest(0, granted - reserved) / granted >= 0.95 THEN 'critical'
+  WHEN 1 - greatest(0, granted - reserved) / granted >= 0.8 THEN 'near-limit' ELSE 'normal' END AS warning FROM balances""")
 def ledger_warning(spark: SparkSession, d: str) -> DataFrame:
-    left = F.greatest(F.lit(0), F.col("granted") - F.floor(F.col("reserved") / 8))
+    left = F.greatest(F.lit(0), F.col("granted") - F.col("reserved"))
     return _balances(spark, d).select("account_id", summaries.usage_warning(left, F.col("granted")).alias("warning"))
 
 
@@ -60,13 +60,13 @@ def grant_pick(spark: SparkSession, d: str) -> DataFrame:
     return summaries.pick_grant(g, ["user_id"]).select("user_id", "grant_id", "n_open")
 
 
-@query("""WITH RECURSIVE p AS (SELECT o_orderkey, o_orderdate AS period_start, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 400) AS period_end FROM orders WHERE o_orderkey % 7 = 0),
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey, o_orderdate AS period_start, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 400) AS period_end FROM orders),
 b AS (SELECT o_orderkey, 0 AS bucket, period_start AS bucket_start, CASE WHEN date_diff('day', period_start, period_end) > 45 THEN least(period_start + INTERVAL 1 MONTH, period_end) ELSE period_end END AS bucket_end, period_end FROM p
   UNION ALL SELECT o_orderkey, bucket + 1, bucket_end, least(bucket_end + INTERVAL 1 MONTH, period_end), period_end FROM b WHERE bucket_end < period_end AND bucket < 23)
 SELECT o_orderkey, bucket, CAST(CAST(bucket_start AS DATE) AS VARCHAR) AS bucket_start, CAST(CAST(bucket_end AS DATE) AS VARCHAR) AS bucket_end FROM b""")
 def subscription_buckets(spark: SparkSession, d: str) -> DataFrame:
     start = F.col("o_orderdate").cast("timestamp")
-    p = s.read(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", start.alias("period_start"), (start + F.make_interval(days=(F.col("o_orderkey") % 400).cast("int"))).alias("period_end"))
+    p = s.read(spark, d, "orders").select("o_orderkey", start.alias("period_start"), (start + F.make_interval(days=(F.col("o_orderkey") % 400).cast("int"))).alias("period_end"))
     return summaries.month_buckets(p, ["o_orderkey"]).select("o_orderkey", "bucket", F.to_date("bucket_start").cast("string").alias("bucket_start"), F.to_date("bucket_end").cast("string").alias("bucket_end"))
 
 

@@ -17,7 +17,7 @@ query, QUERIES, ORACLES = _own.query, _own.queries, _own.oracles
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
     """Supplier and part cells as a page of text: three columns per line, with a little noise in their places."""
-    item = s.read(spark, d, "lineitem").where("l_orderkey % 40 = 3")
+    item = s.read(spark, d, "lineitem")
     noise = (F.col("l_partkey") % 7) / 2000.0
     y = F.row_number().over(_by_line()) * 0.03
     row = item.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (y + noise).alias("y"), "l_quantity")
@@ -38,13 +38,13 @@ def _by_line():
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS report_id, n AS line, 'Part ' || l_partkey AS label, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value, 'mg/dL' AS unit
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem WHERE l_orderkey % 40 = 3)""")
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)""")
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = layout.row_candidates(layout.roles(layout.lattice(_observations(spark, d))))
     return rows.select("report_id", F.col("line").cast("long").alias("line"), "label", "value", "unit")
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS report_id, string_agg('Part ' || l_partkey || ' ' || CAST(l_quantity AS INTEGER) || ' mg/dL', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM lineitem WHERE l_orderkey % 40 = 3 GROUP BY 1""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS report_id, string_agg('Part ' || l_partkey || ' ' || CAST(l_quantity AS INTEGER) || ' mg/dL', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM lineitem GROUP BY 1""")
 def line_reading_order(spark: SparkSession, d: str) -> DataFrame:
     return layout.page_text(layout.lattice(_observations(spark, d))).select("report_id", "text")
 
@@ -67,12 +67,15 @@ def truncated_json(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.explode("items").alias("i")).select("event_id", "i.k")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS issue, CAST(NULL AS VARCHAR) AS subject WHERE FALSE")
+@query("""WITH e AS (SELECT DISTINCT p_brand AS id FROM part WHERE p_brand NOT LIKE '%5'), a AS (SELECT DISTINCT p_brand AS id, lower(split_part(p_name, ' ', 1)) AS alias FROM part)
+SELECT 'alias-collision' AS issue, alias AS subject FROM a GROUP BY 2 HAVING count(DISTINCT id) > 1 UNION SELECT 'alias-of-unknown', alias FROM a WHERE id LIKE '%5'
+UNION SELECT 'wording', alias FROM a WHERE regexp_matches(alias, 'hot|small') UNION SELECT 'conversion-unit', id || ':mmol/L:g/L' FROM e WHERE id LIKE '%2'""")
 def catalogue_release_issues(spark: SparkSession, d: str) -> DataFrame:
-    """The catalogue in this package has none."""
-    entries = catalogue.biomarkers(spark)
-    aliases = entries.select("biomarker_id", F.replace("biomarker_id", F.lit("_"), F.lit(" ")).alias("alias_norm"))
-    return catalogue.release_issues(entries, aliases, catalogue.unit_conversions(spark), ["cure", "guarantee"])
+    """A catalogue of brands that has every kind of fault."""
+    entries = s.entries(spark, d)
+    aliases = s.read(spark, d, "part").select(F.col("p_brand").alias("biomarker_id"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("alias_norm")).distinct()
+    conversions = entries.where(F.col("biomarker_id").endswith("2")).select("biomarker_id", F.lit("mmol/L").alias("from_unit"), F.lit("g/L").alias("to_unit"))
+    return catalogue.release_issues(entries, aliases, conversions, ["hot|small"])
 
 
 @query(f"""WITH {LINES} SELECT doc_id, count(*) AS n_lines, count(CASE WHEN length(text) <= 96 AND regexp_matches(text, '[a-zA-Z]') THEN 1 END) AS n_short FROM lines GROUP BY 1""")
@@ -89,6 +92,14 @@ def page_bands(spark: SparkSession, d: str) -> DataFrame:
     return bands.select("s_suppkey", F.col("b.top").cast("long").alias("top"))
 
 
+@query("""SELECT s_suppkey, unnest(list_transform(range(0, greatest(1, CAST(ceil((s_suppkey + 100 - 200) / 150.0) AS BIGINT) + 1)), lambda i: least(i * 150, greatest(0, s_suppkey + 100 - 200)))) AS top FROM supplier""")
+def page_bands_of_equal_height(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.geometry import overlapping_bands
+
+    bands = s.read(spark, d, "supplier").select("s_suppkey", F.explode(overlapping_bands(F.col("s_suppkey") + 100, 200, 150, keep_height=True)).alias("b"))
+    return bands.select("s_suppkey", F.col("b.top").cast("long").alias("top"))
+
+
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'cold|hot') THEN 'cold|hot' WHEN regexp_matches(p_name, 'wid') THEN 'wid' END AS wording FROM part""")
 def forbidden_words(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import forbidden_wording
@@ -96,10 +107,10 @@ def forbidden_words(spark: SparkSession, d: str) -> DataFrame:
     return s.read(spark, d, "part").select("p_partkey", forbidden_wording(F.col("p_name"), ["cold|hot", "wid"]).alias("wording"))
 
 
-@query("""SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 THEN 'laboratory-table' WHEN max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) = 1 THEN 'imaging-narrative' ELSE 'unknown' END AS page_class FROM events WHERE event_id % 400 = 7 GROUP BY 1""")
+@query("""SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 THEN 'laboratory-table' WHEN max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) = 1 THEN 'imaging-narrative' ELSE 'unknown' END AS page_class FROM events GROUP BY 1""")
 def page_classes(spark: SparkSession, d: str) -> DataFrame:
     said = F.when(F.col("event_type") == "error", "Result mg/dL").when(F.col("event_type") == "view", "Findings: MRI").otherwise("note")
-    pages = s.events(spark, d).where("event_id % 400 = 7").select(F.col("user_id").alias("report_id"), F.lit(0).alias("page_index"), said.alias("text"))
+    pages = s.events(spark, d).select(F.col("user_id").alias("report_id"), F.lit(0).alias("page_index"), said.alias("text"))
     return layout.page_class(pages).select(F.col("report_id").alias("user_id"), "page_class")
 
 

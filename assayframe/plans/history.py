@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import catalogue, summaries, trends
+from ..operators import catalogue, scans, summaries, trends
 from . import standins as s
 from .registry import Registry
 from .standins import ENTRIES, MEASUREMENTS, NORMALIZED, RECORDS
@@ -195,17 +195,14 @@ def next_blocking_row(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("record_id").agg(F.min_by("measurement_id", F.struct((F.col("line") - 3 + 7) % 7, "measurement_id")).alias("next_blocking"))
 
 
-@query("""WITH t AS (SELECT event_id AS id, 'event' AS kind, CASE WHEN event_id % 7 <> 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS date FROM events WHERE user_id < 50
-  UNION ALL SELECT o_orderkey, 'record', CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders WHERE o_custkey < 50)
+@query("""WITH t AS (SELECT event_id AS id, 'event' AS kind, CASE WHEN event_id % 7 <> 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS date FROM events
+  UNION ALL SELECT o_orderkey, 'record', CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders)
 SELECT id, kind, date, row_number() OVER (ORDER BY date ASC NULLS LAST, kind, id) AS position FROM t""")
 def timeline_merge(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     day = lambda c: F.to_date(c).cast("string")
-    events = s.events(spark, d).where("user_id < 50").select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), F.when(F.col("event_id") % 7 != 0, day("ts")).alias("date"))
-    orders = s.read(spark, d, "orders").where("o_custkey < 50").select(F.col("o_orderkey").alias("id"), F.lit("record").alias("kind"), day("o_orderdate").alias("date"))
-    order = Window.orderBy(F.asc_nulls_last("date"), "kind", "id")
-    return events.unionByName(orders).withColumn("position", F.row_number().over(order).cast("long"))
+    events = s.events(spark, d).select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), F.when(F.col("event_id") % 7 != 0, day("ts")).alias("date"))
+    orders = s.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("record").alias("kind"), day("o_orderdate").alias("date"))
+    return scans.numbered(events.unionByName(orders), [F.asc_nulls_last("date"), F.asc("kind"), F.asc("id")])
 
 
 @query("""WITH alias AS (SELECT DISTINCT p_brand AS entry_id, split_part(p_name, ' ', 1) AS word FROM part), one AS (SELECT word, min(entry_id) AS entry_id FROM alias GROUP BY word HAVING count(DISTINCT entry_id) = 1)

@@ -121,12 +121,12 @@ def nearest_context(spark: SparkSession, d: str) -> DataFrame:
     return joins.nearest_by_position(e.where("event_type = 'purchase'").select("event_id", "user_id", "at"), contexts, ["user_id"], "at", "context_id").select("event_id", "context_id")
 
 
-@query("""WITH c AS (SELECT a.event_id, b.event_type AS context, abs(a.value - b.value) AS dist FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_id % 50 = 0),
+@query("""WITH c AS (SELECT a.event_id, b.event_type AS context, abs(a.value - b.value) AS dist FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id),
 n AS (SELECT * FROM (SELECT *, min(dist) OVER (PARTITION BY event_id) AS m FROM c) WHERE dist <= m + 0.5)
 SELECT event_id, count(*) AS n_near, CASE WHEN count(DISTINCT context) = 1 THEN min(context) END AS context, count(DISTINCT context) > 1 AS ambiguous FROM n GROUP BY 1""")
 def tie_band_context(spark: SparkSession, d: str) -> DataFrame:
     e = s.events(spark, d)
-    a = e.where("event_id % 50 = 0").select("user_id", "event_id", F.col("value").alias("v"))
+    a = e.select("user_id", "event_id", F.col("value").alias("v"))
     met = a.join(e.select("user_id", F.col("event_id").alias("other"), F.col("event_type").alias("context"), "value"), "user_id").where("event_id <> other")
     return joins.tie_band(met.withColumn("dist", F.abs(F.col("v") - F.col("value"))), ["event_id"], "dist", 0.5, "context")
 
@@ -146,10 +146,10 @@ def interval_join(spark: SparkSession, d: str) -> DataFrame:
     return joins.interval_join(cells, joins.column_intervals(h, ["k"], "c", "a", "b"), ["k"], "x", "low", "high", 2.0).select("s_suppkey", "n_nationkey")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 49), x AS (SELECT a FROM p GROUP BY 1 HAVING count(*) = 1), y AS (SELECT b FROM p GROUP BY 1 HAVING count(*) = 1)
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.07 AND l_discount < 0.02), x AS (SELECT a FROM p GROUP BY 1 HAVING count(*) = 1), y AS (SELECT b FROM p GROUP BY 1 HAVING count(*) = 1)
 SELECT a, b FROM p WHERE a IN (SELECT a FROM x) AND b IN (SELECT b FROM y)""")
 def unique_grounding(spark: SparkSession, d: str) -> DataFrame:
-    return joins.unique_match(s.read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")), "a", "b")
+    return joins.unique_match(s.read(spark, d, "lineitem").where("l_quantity > 49 and l_tax > 0.07 and l_discount < 0.02").select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")), "a", "b")
 
 
 @query("""WITH r AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderkey % 40)) AS ids, min(o_orderkey % 40) AS anchor FROM orders GROUP BY 1), c AS (SELECT DISTINCT list_sort(list(DISTINCT l_linenumber * 5 + l_orderkey % 5)) AS ids FROM lineitem GROUP BY l_suppkey)
@@ -160,17 +160,17 @@ def containment_anti(spark: SparkSession, d: str) -> DataFrame:
     return joins.not_contained(r, cover, "k", "ids", "anchor").select("k")
 
 
-@query(f"""WITH {LINES}, t AS (SELECT trim(text) AS text, doc_id, line FROM lines WHERE trim(text) <> '' AND length(text) < 60)
+@query(f"""WITH {LINES}, t AS (SELECT trim(text) AS text, doc_id, line FROM lines WHERE trim(text) <> '')
 SELECT text, arg_min(doc_id, doc_id * 100000 + line) AS doc_id, arg_min(line, doc_id * 100000 + line) AS line, count(*) - 1 AS n_duplicates FROM t GROUP BY 1""")
 def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    t = s.lines(spark, d).withColumn("t", F.btrim("text", F.lit(" "))).where("t <> '' and length(text) < 60").select(F.col("t").alias("text"), "doc_id", "line")
+    t = s.lines(spark, d).withColumn("t", F.btrim("text", F.lit(" "))).where("t <> ''").select(F.col("t").alias("text"), "doc_id", "line")
     return dedup.keep_first(t, ["text"], ["doc_id", "line"])
 
 
 @query("""SELECT user_id, event_type, min(event_id) AS event_id, count(*) - 1 AS n_duplicates FROM events
-WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events GROUP BY user_id, event_type HAVING count(DISTINCT event_id // 5000) = 1) GROUP BY 1, 2""")
+WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events GROUP BY user_id, event_type HAVING count(DISTINCT value > 2) = 1) GROUP BY 1, 2""")
 def dedup_drop_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    e = s.events(spark, d).select("user_id", "event_type", "event_id", F.floor(F.col("event_id") / 5000).alias("v"))
+    e = s.events(spark, d).select("user_id", "event_type", "event_id", (F.col("value") > 2).alias("v"))
     return dedup.drop_conflicts(e, ["user_id", "event_type"], "v", ["event_id"]).select("user_id", "event_type", "event_id", "n_duplicates")
 
 
@@ -227,11 +227,11 @@ def scope_breaks(spark: SparkSession, d: str) -> DataFrame:
     return clustering.scopes_by_gap(e, ["user_id"], "us", ["event_id"]).select("user_id", "event_id", "scope")
 
 
-_DAY = """d AS (SELECT user_id, event_id, dayofyear(ts) AS day, value, row_number() OVER (PARTITION BY user_id, dayofyear(ts) ORDER BY value, event_id) AS pos FROM events WHERE event_id % 4 = 0)"""
+_DAY = """d AS (SELECT user_id, event_id, dayofyear(ts) AS day, value, row_number() OVER (PARTITION BY user_id, dayofyear(ts) ORDER BY value, event_id) AS pos FROM events)"""
 
 
 def _day(spark: SparkSession, d: str) -> DataFrame:
-    return s.events(spark, d).where("event_id % 4 = 0").select("user_id", F.dayofyear("ts").alias("day"), "event_id", "value", F.lit(10.0).alias("height"))
+    return s.events(spark, d).select("user_id", F.dayofyear("ts").alias("day"), "event_id", "value", F.lit(10.0).alias("height"))
 
 
 @query(f"""WITH RECURSIVE {_DAY}, f AS (SELECT user_id, day, pos, event_id, value AS anchor, 1 AS line FROM d WHERE pos = 1 UNION ALL

@@ -96,17 +96,17 @@ def parse_month_name(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, [r[0] for r in NAMED]).select("x", dates.month_name_date(F.col("x")).cast("string").alias("day"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(word, 'ß', '?'), 'ẞ', '?'))), '[^a-z0-9]+', ' ', 'g')) AS alias_key FROM (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ')[1] AS word FROM documents)""")
+@query("""SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(word, 'ß', '?'), 'ẞ', '?'))), '[^a-z0-9]+', ' ', 'g')) AS alias_key FROM (SELECT doc_id, text AS word FROM documents)""")
 def normalize_alias(spark: SparkSession, d: str) -> DataFrame:
-    word = F.get(F.split(F.get(F.split("text", "\n"), F.lit(0)), " "), F.lit(0))
-    return s.read(spark, d, "documents").select("doc_id", text.alias_key(word).alias("alias_key"))
+    return s.read(spark, d, "documents").select("doc_id", text.alias_key(F.col("text")).alias("alias_key"))
 
 
-@query("""SELECT n_nationkey, CASE WHEN regexp_matches(x, '^[\\s]*[=+\\-@]') THEN '"''' || replace(x, '"', '""') || '"' WHEN x IS NULL THEN 'NULL' ELSE '"' || replace(x, '"', '""') || '"' END AS cell
-FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '=' || n_name WHEN 1 THEN n_name || '"x"' WHEN 2 THEN n_name END AS x FROM nation)""")
+@query("""SELECT n_nationkey, CASE WHEN x IS NOT NULL AND ltrim(x)[1] IN ('=', '+', '-', '@') THEN '"' || x[1 : length(x) - length(ltrim(x))] || '''' || replace(ltrim(x), '"', '""') || '"' WHEN x IS NULL THEN 'NULL' ELSE '"' || replace(x, '"', '""') || '"' END AS cell
+FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN ['=', '  +', '-', ' @'][1 + n_nationkey % 3] || n_name WHEN 1 THEN n_name || '"x"' WHEN 2 THEN n_name END AS x FROM nation)""")
 def csv_cell_neutralise(spark: SparkSession, d: str) -> DataFrame:
     k, name = F.col("n_nationkey") % 4, F.col("n_name")
-    x = F.when(k == 0, F.concat(F.lit("="), name)).when(k == 1, F.concat(name, F.lit('"x"'))).when(k == 2, name)
+    mark = F.get(F.array(F.lit("="), F.lit("  +"), F.lit("-"), F.lit(" @")), F.col("n_nationkey") % 3)
+    x = F.when(k == 0, F.concat(mark, name)).when(k == 1, F.concat(name, F.lit('"x"'))).when(k == 2, name)
     return s.read(spark, d, "nation").select("n_nationkey", text.csv_cell(x).alias("cell"))
 
 
@@ -131,12 +131,18 @@ def safe_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, TOKENS).select("x", text.safe_token(F.col("x")).alias("safe"), text.is_canonical_id(F.col("x")).alias("canonical"))
 
 
-SPECIMENS = [("Serum iron", "serum"), ("Vollblut EDTA", "blood"), ("Serum / Plasma", "unknown"), ("kraujas", "blood"), ("šlapimas", "urine"), ("note", "unknown")]
+_NAMES = {"plasma": "plasma", "serum": "serum|sérum|serumas", "urine": "urine|urin|orina|urina", "blood": "blood|whole blood|blut|vollblut|sang|sangue|bloed|krew|kraujas|kraujo"}
+_SAID = ["Serum iron", "Vollblut EDTA", "Serum / Plasma", "kraujas", "Sangue e urina", "URINA", "bloodline", "note", "krew pelna"]
 
 
-@query(_table(SPECIMENS, "x, specimen", ["VARCHAR"] * 2))
+@query(f"""WITH t AS (SELECT doc_id, CAST(i AS INTEGER) AS i, text || ' ' || ['{"', '".join(_SAID)}'][i] AS x FROM documents, range(1, {len(_SAID) + 1}) r(i) UNION ALL SELECT doc_id, 0, text FROM documents),
+n AS (SELECT doc_id, i, {", ".join(f"regexp_matches(' ' || lower(coalesce(x, '')) || ' ', '[^a-z0-9_](?:{p})[^a-z0-9_]') AS {k}" for k, p in _NAMES.items())} FROM t)
+SELECT doc_id, i, CASE WHEN CAST(plasma AS INT) + CAST(serum AS INT) + CAST(urine AS INT) + CAST(blood AS INT) <> 1 THEN 'unknown' WHEN plasma THEN 'plasma' WHEN serum THEN 'serum' WHEN urine THEN 'urine' ELSE 'blood' END AS specimen FROM n""")
 def specimen_from_text(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, [r[0] for r in SPECIMENS]).select("x", text.specimen(F.col("x")).alias("specimen"))
+    docs = s.read(spark, d, "documents")
+    said = F.array(F.lit(""), *[F.lit(f" {x}") for x in _SAID])
+    each = docs.select("doc_id", "text", F.posexplode(said).alias("i", "more")).withColumn("x", F.concat("text", "more"))
+    return each.select("doc_id", "i", text.specimen(F.col("x")).alias("specimen"))
 
 
 VERSIONS = [("1.2.3", "1.10.0", True), ("2.0.0", "1.9.9", False), ("1.0.0", "1.0.0", False)]
