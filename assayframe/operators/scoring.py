@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +27,27 @@ def match_cascade(expected: DataFrame, produced: DataFrame) -> DataFrame:
     columns = ["label", "page", "value", "date", "specimen", "unit"]
     side = lambda df, name: df.select(F.col("report_id").cast("string").alias("report_id"), F.lit(name).alias("side"), F.col("idx").cast("long").alias("idx"), *[neat(F.col(c).cast("string"), lower=c == "label").alias(c) for c in columns])
     both = side(expected, "e").unionByName(side(produced, "p")).where("label is not null")
-    shared = both.groupBy("report_id", "label").agg(F.min("side").alias("_a"), F.max("side").alias("_b")).where("_a <> _b").select("report_id", "label")
-    return both.join(shared, ["report_id", "label"], "left_semi").groupBy("report_id", "label").applyInPandas(_matched, "report_id string, expected_idx long, produced_idx long, pass int")
+    return both.select(*_ROW).repartition("report_id", "label").sortWithinPartitions("report_id", "label", "side", "idx").mapInArrow(_matches, "report_id string, expected_idx long, produced_idx long, pass int")
+
+
+_ROW = ["report_id", "label", "side", "idx", "page", "value", "date", "specimen", "unit"]
+_PAIRS = pa.schema([("report_id", pa.string()), ("expected_idx", pa.int64()), ("produced_idx", pa.int64()), ("pass", pa.int32())])
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by report and label; a group of these at a time."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    out: list[tuple] = []
+    for _, group in groupby(rows, key=lambda r: (r["report_id"], r["label"])):
+        out += _matched(list(group))
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_pylist([dict(zip(_PAIRS.names, o, strict=True)) for o in out], _PAIRS)
+            out = []
+    yield pa.RecordBatch.from_pylist([dict(zip(_PAIRS.names, o, strict=True)) for o in out], _PAIRS)
 
 
-def _matched(rows: pd.DataFrame) -> pd.DataFrame:
+def _matched(rows: list[dict]) -> list[tuple]:
     """All passes over the rows of one report and label."""
-    rows = rows.sort_values("idx").astype(object).where(rows.notna(), None).to_dict("records")
     wanted, free, out = [r for r in rows if r["side"] == "e"], [r for r in rows if r["side"] == "p"], []
     for n, keys in enumerate(PASSES):
         held: dict[tuple, list[dict]] = {}
@@ -49,7 +66,7 @@ def _matched(rows: pd.DataFrame) -> pd.DataFrame:
             out.append((e["report_id"], e["idx"], p["idx"], n + 1))
         wanted, used = unmatched, {o[2] for o in out}
         free = [p for p in free if p["idx"] not in used]
-    return pd.DataFrame(out, columns=["report_id", "expected_idx", "produced_idx", "pass"])
+    return out
 
 
 def field_status(expected: Column, produced: Column, ambiguous: Column) -> Column:

@@ -134,3 +134,35 @@ def test_streams_count_an_event_once(spark, tmp_path):
     q = events.daily_counts(stream, "at", ["kind"]).writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(str(r.day), r.kind, r.n) for r in spark.table("daily").collect()} == {("2024-01-01", "a", 2), ("2024-01-02", "b", 1)}
+
+
+def _plain_cascade(expected, produced):
+    """The passes over whole lists, as a reader of one report at a time goes."""
+    free, wanted, out = list(range(len(produced))), list(range(len(expected))), set()
+    keys = [lambda r: (r[1], r[2], r[3]), lambda r: (r[1], r[2]), lambda r: r[4] and (r[1], r[4]), lambda r: (r[1],)]
+    for n, key in enumerate(keys):
+        for e in list(wanted):
+            x = expected[e]
+            near = [p for p in free if key(x) is not None and produced[p][0] == x[0] and key(produced[p]) == key(x)]
+            if near:
+                score = lambda p: 100 * (x[4] is not None and produced[p][4] == x[4]) + 10 * (x[5] is not None and produced[p][5] == x[5]) + 5 * (produced[p][2] == x[2]) + 2 * (x[6] is not None and produced[p][6] == x[6])  # noqa: B023, E731
+                best = max(near, key=lambda p: (score(p), -p))
+                out.add((x[0], e, best, n + 1))
+                free.remove(best)
+                wanted.remove(e)
+    return out
+
+
+def test_match_cascade_equals_plain_passes(spark):
+    rnd = random.Random(12)
+    row = lambda: (rnd.choice("rs"), rnd.choice(["iron", "lead"]), rnd.choice([None, 1, 2]), rnd.choice("123"), rnd.choice([None, "2024-01-01", "2024-02-01"]), rnd.choice([None, "serum"]), rnd.choice([None, "g/L", "mg/dL"]))
+    e, p = [row() for _ in range(60)], [row() for _ in range(70)]
+    ddl = "report_id string, label string, page int, value string, date string, specimen string, unit string, idx long"
+    df = lambda rows: spark.createDataFrame([(*r[:1], f" {r[1].upper() if i % 2 else r[1]} ", *r[2:], i) for i, r in enumerate(rows)], ddl)
+    assert {tuple(r) for r in scoring.match_cascade(df(e), df(p)).collect()} == _plain_cascade(e, p)
+
+
+def test_numbered_queries_are_told_from_others():
+    import bench
+
+    assert bench.numbered(["open_drafts", "op10_a", "op2_b", "op_c", "operators"]) == ["op2_b", "op10_a"]
