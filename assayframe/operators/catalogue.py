@@ -80,21 +80,19 @@ def first_alias(rows: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     return rows.join(aliases.groupBy(key).agg(F.min_by("entry_id", F.struct("ordinal", "entry_id")).alias("entry_id")), key, "left")
 
 
-def aliases_in_text(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, longest: int = 4) -> DataFrame:
+def aliases_in_text(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, entry_id, alias, start): the best alias in each text, on token boundaries: the leftmost, then the longest, then the lowest entry.
 
-    Texts become runs of one to `longest` tokens, which meet the aliases in an equi-join. aliases (entry_id, alias): lower case, single
-    spaces, at most `longest` tokens.
+    Each token, with those that follow it as far as the longest alias goes, meets the aliases that begin with it in an equi-join on that one token; what
+    follows is compared then. aliases (entry_id, alias): lower case, single spaces, of any length.
     """
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     tokens = F.split(F.btrim(F.regexp_replace(F.lower(F.col(text_col)), "[^a-z0-9]+", " ")), " ")
-
-    def runs(t: F.Column) -> F.Column:
-        of = lambda n: F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(0))), lambda _, i: F.struct(i.alias("start"), F.array_join(F.slice(t, i + 1, n), " ").alias("alias")))
-        return F.concat(*[of(n) for n in range(1, longest + 1)])
-
+    here = lambda t: F.transform(t, lambda x, i: F.struct(i.alias("start"), x.alias("first"), F.array_join(F.slice(t, i + 1, F.lit(longest)), " ").alias("ahead")))
     # the array is bound to a variable of a lambda, lest it be computed anew for each token
-    at = texts.select(F.col(id_col).alias("id"), F.explode(F.transform(F.array(tokens), runs)[0]).alias("r")).select("id", "r.*")
-    met = at.join(aliases.select("entry_id", "alias"), "alias")
+    at = texts.select(F.col(id_col).alias("id"), F.explode(F.transform(F.array(tokens), here)[0]).alias("r")).select("id", "r.*")
+    known = aliases.select("entry_id", "alias", F.split_part("alias", F.lit(" "), F.lit(1)).alias("first"))
+    met = at.join(known, "first").where((F.col("ahead") == F.col("alias")) | F.startswith("ahead", F.concat("alias", F.lit(" "))))
     best = F.min(F.struct("start", (-F.length("alias")).alias("shortness"), "entry_id", "alias")).alias("b")
     return met.groupBy("id").agg(best).select("id", "b.entry_id", "b.alias", F.col("b.start").cast("long").alias("start"))
 

@@ -162,13 +162,18 @@ def is_permutation(pages: Column, order: Column) -> Column:
 
 
 def bounded_chunks(rows: DataFrame, keys: list[str], order: str, payload: Column, limit: int) -> DataFrame:
-    """(keys, block, json, n_bytes): rows as JSON arrays of at most `limit` bytes each, in order; a row over the limit is left out."""
+    """(keys, block, json, n_bytes, rejected): rows as JSON arrays of at most `limit` bytes each, in order.
+
+    A row that alone is over the limit is rejected: it comes by itself, block null, rejected true.
+    """
     from .clustering import packed_blocks
 
     sized = rows.select(*keys, order, payload.alias("_json")).withColumn("_bytes", F.octet_length("_json") + 1).withColumn("_one", F.lit(""))
-    blocks = packed_blocks(sized, keys, order, "_bytes", limit - 1, "_one").where("block is not null")
+    blocks = packed_blocks(sized, keys, order, "_bytes", limit - 1, "_one")
     json = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_json"))), lambda r: r["_json"]), ","), F.lit("]"))
-    return blocks.groupBy(*keys, "block").agg(json.alias("json")).withColumn("n_bytes", F.octet_length("json").cast("long"))
+    single = F.when(F.col("block").isNull(), F.col(order))
+    chunks = blocks.groupBy(*keys, "block", single.alias("_single")).agg(json.alias("json")).drop("_single")
+    return chunks.withColumn("n_bytes", F.octet_length("json").cast("long")).withColumn("rejected", F.col("block").isNull())
 
 
 def current_pipeline(rows: DataFrame, versions: Column, stored: str) -> DataFrame:

@@ -124,9 +124,11 @@ def specimen_contexts(spark: SparkSession, d: str) -> DataFrame:
     return layout.specimen_of_rows(rows, headings).groupBy("specimen").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_regionkey, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) GROUP BY 1""")
+@query("""SELECT n_regionkey, strlen('[{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}]') > 42 AS rejected, count(*) AS n_rows FROM nation GROUP BY 1, 2""")
 def bounded_json(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 42 bytes hold one nation; one with a long name is rejected, not left out."""
     nation = s.read(spark, d, "nation")
-    chunks = layout.bounded_chunks(nation, ["n_regionkey"], "n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")), 120)
+    chunks = layout.bounded_chunks(nation, ["n_regionkey"], "n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")), 42)
     rows = F.size(F.from_json("json", "array<struct<n_nationkey:int>>"))
-    return chunks.where("n_bytes <= 120").groupBy("n_regionkey").agg(F.sum(rows).alias("n_rows"))
+    return chunks.where("n_bytes <= 42 or rejected").groupBy("n_regionkey", "rejected").agg(F.sum(rows).cast("long").alias("n_rows"))
+
