@@ -1,9 +1,9 @@
 """Every query of the measurement engine, and its SQL."""
 
-from . import accounts, evaluation, export, history, relational, scalars, scans
+from . import accounts, associations, evaluation, export, history, relational, scalars, scans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (history, relational, accounts, evaluation, scalars, export, scans):
+for module in (history, relational, accounts, evaluation, scalars, export, scans, associations):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
