@@ -119,3 +119,31 @@ def fingerprint(*columns: Column) -> Column:
 def canonical_json(*columns: Column) -> Column:
     """JSON with the given columns in their order, nulls kept; name them in alphabetical order."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def header_key(text: Column) -> Column:
+    """What spellings of a header share: folded, a space between a letter and the digit after it, all else but letters and digits a single space."""
+    split = F.regexp_replace(fold(text), r"(?<=\p{L})(?=\p{N})", " ")
+    return F.btrim(F.regexp_replace(split, r"[^\p{L}\p{N}]+", " "))
+
+
+# Qualitative results that may end a line, and further ones that only count as a whole cell.
+CORE_RESULTS = [
+    "not detected", "positive", "negative", "detected", "normal", "abnormal", "nicht nachgewiesen", "nicht nachweisbar", "nachgewiesen", "positiv", "negativ", "auffällig", "unauffällig",
+    "teigiamas", "neigiamas", "aptikta", "neaptikta", "nenustatyta", "normalus", "nenormalus",
+]
+CELL_RESULTS = [
+    "present", "absent", "reactive", "non-reactive", "non reactive", "nonreactive", "susceptible", "sensitive", "resistant", "intermediate", "growth", "no growth", "equivocal", "borderline",
+    "vorhanden", "nicht vorhanden", "reaktiv", "nicht reaktiv", "sensibel", "empfindlich", "resistent", "intermediär", "intermediaer", "wachstum", "kein wachstum", "grenzwertig",
+]
+
+
+def is_qualitative(cell: Column) -> Column:
+    """Whether a whole cell is a qualitative result; null for null."""
+    return F.lower(F.btrim(cell)).isin(CORE_RESULTS + CELL_RESULTS)
+
+
+def qualitative_suffix(line: Column) -> Column:
+    """The qualitative result that ends a line, as written, the longest one where several do; null if none does."""
+    found = F.regexp_extract(line, r"(?iu)(?:^|\s)(" + "|".join(sorted(CORE_RESULTS, key=len, reverse=True)) + r")\s*$", 1)
+    return F.nullif(found, F.lit(""))

@@ -171,3 +171,19 @@ def turned_boxes(spark: SparkSession, d: str) -> DataFrame:
     rows = s.read(spark, d, "part").select("p_partkey", (F.col("p_size") / 100.0).alias("x"), (F.col("p_partkey") % 50 / 100.0).alias("y"), F.explode(F.array(*[F.lit(t) for t in (0, 90, 180, 270)])).alias("turn"))
     box = geometry.turned(F.col("x"), F.col("y"), F.lit(0.2), F.lit(0.1), F.col("turn"))
     return rows.withColumn("b", box).select("p_partkey", "turn", F.round("b.x", 9).alias("x"), F.round("b.y", 9).alias("y"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '(\pL)(\pN)', '\1 \2', 'g'), '[^\pL\pN]+', ' ', 'g')) AS header_key FROM documents""")
+def header_keys(spark: SparkSession, d: str) -> DataFrame:
+    return s.read(spark, d, "documents").select("doc_id", text.header_key(F.col("text")).alias("header_key"))
+
+
+_ENDS = "CASE p_size % 7 WHEN 0 THEN ' not detected' WHEN 1 THEN ' Negative ' WHEN 2 THEN ' nicht nachgewiesen' WHEN 3 THEN ' UNAUFFÄLLIG' WHEN 4 THEN ' present' WHEN 5 THEN 'positive' ELSE '' END"
+_LIST = lambda values: "('" + "', '".join(values) + "')"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, p_name || {_ENDS} AS line, {_ENDS} AS cell FROM part)
+SELECT p_partkey, nullif(regexp_extract(line, '(?i)(?:^|\\s)({"|".join(text.CORE_RESULTS)})\\s*$', 1), '') AS suffix, lower(trim(cell)) IN {_LIST(text.CORE_RESULTS + text.CELL_RESULTS)} AS qualitative FROM x""")
+def qualitative_results(spark: SparkSession, d: str) -> DataFrame:
+    x = s.read(spark, d, "part").select("p_partkey", F.expr(f"concat(p_name, {_ENDS})").alias("line"), F.expr(_ENDS).alias("cell"))
+    return x.select("p_partkey", text.qualitative_suffix(F.col("line")).alias("suffix"), text.is_qualitative(F.col("cell")).alias("qualitative"))

@@ -31,3 +31,12 @@ def test_gate_with_skipped_rows_only_and_empty_table(spark):
     gate = a.confirmation_gate(df, ["k"], F.col("decision"), F.col("attention"))
     assert sorted((r.k, r.included, r.needs_review, r.can_confirm, r.blocked_reason) for r in gate.collect()) == [(1, 0, 0, False, "no-included-rows"), (2, 1, 0, True, None), (3, 1, 1, False, "rows-need-resolution")]
     assert a.confirmation_gate(df.limit(0), ["k"], F.col("decision"), F.col("attention")).count() == 0
+
+
+def test_header_keys_and_qualitative_results(spark):
+    from assayframe.functions import text
+
+    rows = [("Größe1 – Hämo-B12", "grosse", "x not detected "), (None, None, None), ("", "  Non-Reactive ", "undetected")]
+    df = spark.createDataFrame(rows, "h string, cell string, line string")
+    found = [tuple(r) for r in df.select(text.header_key(F.col("h")), text.is_qualitative(F.col("cell")), text.qualitative_suffix(F.col("line"))).collect()]
+    assert found == [("große 1 hamo b 12", False, "not detected"), (None, None, None), ("", True, None)]
