@@ -123,7 +123,8 @@ def close_links(docs: DataFrame, signed: DataFrame, similarity: float, width: in
     found = durable(_candidates(signed, agreeing(similarity - MARGIN)).distinct())
     sure = F.col("agree") >= agreeing(similarity + MARGIN)
     doubtful = found.where(~sure)
-    wanted = doubtful.select(F.explode(F.array("ta", "tb")).alias("h")).distinct()
+    # Written, so that its size is known before the join: few hashes are broadcast, and the other texts aren't shuffled.
+    wanted = table(doubtful.select(F.explode(F.array("ta", "tb")).alias("h")).distinct(), "wanted")
     texts = table(docs.select(F.xxhash64("text").alias("h"), "text").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "texts")
     pairs = doubtful.join(texts.select(F.col("h").alias("ta"), F.col("text").alias("one")), "ta").join(texts.select(F.col("h").alias("tb"), F.col("text").alias("two")), "tb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
