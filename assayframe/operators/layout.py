@@ -176,8 +176,8 @@ def bounded_chunks(rows: DataFrame, keys: list[str], order: str, payload: Column
     return chunks.withColumn("n_bytes", F.octet_length("json").cast("long")).withColumn("rejected", F.col("block").isNull())
 
 
-def current_pipeline(rows: DataFrame, versions: Column, stored: str) -> DataFrame:
-    """rows with is_current: whether their stored fingerprint is that of the versions."""
+def current_pipeline(rows: DataFrame, versions: list[Column], stored: str) -> DataFrame:
+    """rows with is_current: whether their stored fingerprint is that of the versions, named in alphabetical order."""
     from ..functions.text import fingerprint
 
-    return rows.withColumn("is_current", F.col(stored) == fingerprint(versions))
+    return rows.withColumn("is_current", F.col(stored) == fingerprint(*versions))
