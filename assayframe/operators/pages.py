@@ -106,7 +106,10 @@ def associated(rows: DataFrame) -> DataFrame:
     They have one value outside ranges, a label, and a unit or a reference.
     """
     whole = (F.col("n_values") == 1) & F.col("label").isNotNull() & (F.col("unit").isNotNull() | F.col("reference").isNotNull())
-    return rows.where(whole).withColumn("value_type", F.when(F.col("value").rlike("^[<>≤≥]"), "bounded").otherwise("numeric"))
+    kind = F.when(F.col("value").rlike("^[<>≤≥]"), "bounded").otherwise("numeric")
+    # A filter on columns that are long expressions would repeat these; one on what a generator gives can't be pushed into them.
+    kept = rows.select(F.inline_outer(F.when(whole, F.array(F.struct(*rows.columns, kind.alias("value_type"))))))
+    return kept.where(F.col("n_values").isNotNull())
 
 
 def decoded_answers(answers: DataFrame, raw: str) -> DataFrame:
