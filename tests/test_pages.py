@@ -64,3 +64,10 @@ def test_no_route_without_words_or_origin(spark):
     df = spark.createDataFrame([(0, None, None), (1, " \n", None), (1, None, "a"), (1, "t", None), (1, "t", "b"), (1, "t", "a")], "n int, text string, origin string")
     got = [r[0] for r in df.select(pages.route_reason(F.col("n"), F.col("text"), {"origin": (F.col("origin"), "a")})).collect()]
     assert got == ["empty-observations", "empty-source-text", "mixed-or-unknown-provenance", "mixed-or-unknown-provenance", "no-selectable-text-provenance", "bound-selectable-text-source"]
+
+
+def test_measurements_have_a_value_a_label_and_unit_or_reference(spark):
+    rows = [("a", "1", "g/L", None, 1), ("b", "<2", None, "1-3", 1), (None, "1", "g/L", None, 1), ("c", "1", None, None, 1), ("d", None, "g/L", None, 0), ("e", None, "g/L", "1-3", 2), ("a", "1", "g/L", None, 1)]
+    df = spark.createDataFrame(rows, "label string, value string, unit string, reference string, n_values int")
+    got = sorted((r.label, r.value_type) for r in pages.associated(df).collect())
+    assert got == [("a", "numeric"), ("a", "numeric"), ("b", "bounded")] and pages.associated(df.where("false")).count() == 0
