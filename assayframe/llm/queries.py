@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt, decontam, divergence, importance, quality, rlz, secrets, sharding, simhash, token_counts, token_files
+from . import bpe, bwt, decontam, divergence, importance, quality, rlz, secrets, sharding, simhash, templates, token_counts, token_files
 from .common import documents, scratch_path
 
 
@@ -78,9 +78,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir), least_docs=3, top=200)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_secret_scan, op3_substring_dedup_rlz, op4_token_counts, op5_sharding, op6_substring_dedup_bwt, op7_quality_rules, op8_bpe_round_trip, op9_decontamination, op10_token_files, op11_importance_resampling, op12_source_divergence)
+    for f in (op1_simhash_near_dedup, op2_secret_scan, op3_substring_dedup_rlz, op4_token_counts, op5_sharding, op6_substring_dedup_bwt, op7_quality_rules, op8_bpe_round_trip, op9_decontamination, op10_token_files, op11_importance_resampling, op12_source_divergence, op13_html_extraction)
 }
 #: The others need hashes, merges or estimates that SQL does not have (or, for 200-byte strings, hours): they are tested by brute force in tests/llm.
 ORACLES: dict[str, str] = {
