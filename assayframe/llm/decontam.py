@@ -5,7 +5,11 @@ benchmark. Seeds are the rare ones, and in each stretch of an item the rarest th
 seeds all along it even if many documents copy it. An item shorter than an n-gram is a seed as a whole. Second pass: where a document has a seed, the words around it are
 aligned with the item; edits, omissions and insertions cost a little each and don't end the alignment.
 
-Both passes read the documents once, however large the benchmark is: n-grams and seeds meet them by joins. Before these a filter of bounded size, a
+Copies of an item raise the counts of its n-grams, and n-grams that edited copies lack have lower counts than those they keep. So documents that
+aligned are taken out of the item's counts, and the n-grams that are rare, or the rarest of their stretch, in what is left are the seeds of a further
+pass, until there are none. A stretch has four n-grams, so this ends after as many passes; an item that few documents copy needs the first only.
+
+Each pass reads the documents once, however large the benchmark is: n-grams and seeds meet them by joins. Before these a filter of bounded size, a
 bit table of the benchmark's n-grams, drops nearly all n-grams of the corpus (with a benchmark far beyond its size it drops fewer,
 and the joins get larger). Only documents with a seed are shuffled as texts.
 """
@@ -52,23 +56,34 @@ def _grams(words: Words, widths: list[int]) -> Iterator[tuple[np.ndarray, np.nda
         yield at, gram[at]
 
 
-def benchmark_grams(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, text, place, gram, width) of each item; one of fewer words than GRAM is a gram of its own width, one without words has none."""
-    bounded_batches(benchmark.sparkSession)
-    schema = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("place", pa.int64()), ("gram", pa.int64()), ("width", pa.int64())])
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, item, item_key): the different items that have a text, with or without an id, of whatever type."""
+    item_id, text = benchmark[item_col], benchmark[text_col].cast("string")
+    return benchmark.select(item_id.alias("item_id"), text.alias("item"), F.xxhash64(item_id.cast("string"), text).alias("item_key")).where("item is not null").dropDuplicates(["item_key"])
+
+
+def _item_grams(words: Words, text: int = 0) -> np.ndarray:
+    """The n-grams of one of the texts; of fewer words than GRAM, all of them as one; of none, none."""
+    width = min(GRAM, int(words.count[text]))
+    if not width:
+        return np.empty(0, np.uint64)
+    ((at, gram),) = _grams(words, [width])
+    return gram[words.text[at] == text]
+
+
+def benchmark_grams(items: DataFrame) -> DataFrame:
+    """(item_key, place, gram, width) of each item; one of fewer words than GRAM is a gram of its own width, one without words has none."""
+    bounded_batches(items.sparkSession)
+    schema = pa.schema([("item_key", pa.int64()), ("place", pa.int64()), ("gram", pa.int64()), ("width", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words([normalized(t.as_py()) for t in batch.column(1)])
-            for width in range(1, GRAM + 1):
-                for at, gram in _grams(words, [width]):
-                    mine = at if width == GRAM else at[words.count[words.text[at]] == width]
-                    gram = gram if width == GRAM else gram[np.isin(at, mine)]
-                    item = words.text[mine]
-                    yield record_batch(schema, [batch.column(0).take(pa.array(item)), batch.column(1).take(pa.array(item)), words.place[mine], _as_signed(gram), np.full(len(mine), width)])
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                words = Words([normalized(text.as_py())])
+                gram = _item_grams(words)
+                yield record_batch(schema, [[key.as_py()] * len(gram), np.arange(len(gram)), _as_signed(gram), np.full(len(gram), min(GRAM, int(words.count[0])))])
 
-    own = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text")).where("item_id is not null and text is not null")
-    return own.distinct().mapInArrow(run, "item_id long, text string, place long, gram long, width long")
+    return items.select("item_key", "item").mapInArrow(run, "item_key long, place long, gram long, width long")
 
 
 class GramFilter:
@@ -186,44 +201,81 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     share is the score over the item's score with itself. An alignment counts from least_share of that on (but from LEAST_SCORE points, or all of a
     shorter item), and in any case from LONG_SCORE points. row_key is a hash of id and text. Null or empty texts and items match
-    nothing. Items with a null id are left out; items with one id and different texts are each looked for. Repeated rows are each reported. Empty tables give
-    an empty result; other columns, whatever their names, are ignored. Long texts are hashed a block at a time; around seeds only, words are aligned.
+    nothing. Items with a null id are looked for like others; item ids are of any type and kept as they are, document ids are whole numbers. Items with one
+    id and different texts are each looked for. Repeated rows are each reported. Empty tables give an empty result; other columns, whatever their
+    names, are ignored. Long texts are hashed a block at a time; around seeds only, words are aligned.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), row_key(docs[id_col], docs[text_col]).alias("row_key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    grams = table(benchmark_grams(benchmark, item_col, item_text_col), "grams")
-    counts = _document_counts(own, GramFilter(grams.select("gram", "width")))
-    counted = grams.join(counts, "gram").withColumn("least", F.min("n_docs").over(Window.partitionBy("item_id", "text", F.floor(F.col("place") / STRETCH))))
-    rare = F.greatest(F.lit(RARE).cast("double"), F.lit(RARE_SHARE) * own.count())
-    seeds = table(counted.where((F.col("n_docs") <= rare) | (F.col("n_docs") == F.col("least"))).select("item_id", "text", "place", "gram", "width"), "seeds")
+    items = table(benchmark_items(benchmark, item_col, item_text_col), "items")
+    grams = table(benchmark_grams(items), "grams")
+    counted = table(grams.join(_document_counts(own, GramFilter(grams.select("gram", "width"))), "gram"), "gram_counts")
+    rare = max(float(RARE), RARE_SHARE * own.count())
+    used, found, rest = None, None, counted.withColumn("n_rest", F.col("n_docs"))
+    while True:
+        seeds = table(_seeds(rest, used, rare), "seeds")
+        if seeds.isEmpty():
+            break
+        more = table(_leaks_at(own, items, seeds, found, least_share), "leaks_of_a_pass")
+        used = seeds if used is None else used.unionAll(seeds)
+        found = more if found is None else found.unionAll(more)
+        held = found.select("item_key", F.explode("held").alias("gram")).groupBy("item_key", "gram").agg(F.count("*").alias("n_found"))
+        rest = counted.join(held, ["item_key", "gram"], "left").withColumn("n_rest", F.col("n_docs") - F.coalesce("n_found", F.lit(0)))
+    if found is None:
+        found = spark.createDataFrame([], LEAKS)
+    return found.join(items.select("item_key", "item_id"), "item_key").select("doc_id", "row_key", "item_id", "score", "share", "first_word", "end_word")
+
+
+def _seeds(rest: DataFrame, used: DataFrame | None, rare: float) -> DataFrame:
+    """(item_key, place, gram, width): n-grams that n_rest documents have and that are rare, or the rarest of their stretch, without those that were seeds before."""
+    occurring = rest.where("n_rest > 0").withColumn("least", F.min("n_rest").over(Window.partitionBy("item_key", F.floor(F.col("place") / STRETCH))))
+    seeds = occurring.where((F.col("n_rest") <= rare) | (F.col("n_rest") == F.col("least"))).select("item_key", "place", "gram", "width")
+    return seeds if used is None else seeds.join(used.select("item_key", "gram"), ["item_key", "gram"], "left_anti").select("item_key", "place", "gram", "width")
+
+
+def _leaks_at(own: DataFrame, items: DataFrame, seeds: DataFrame, found: DataFrame | None, least_share: float) -> DataFrame:
+    """The leaks that align around these seeds, without pairs found before."""
     hit = table(_with_hits(own, GramFilter(seeds.select("gram", "width"))), "hits")
     met = hit.select("doc_id", "row_key", F.explode("hits").alias("h")).select("doc_id", "row_key", "h.*").distinct().join(seeds, "gram")
-    pairs = met.groupBy("doc_id", "row_key", "item_id", F.col("text").alias("item")).agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
-    wanted = pairs.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("item_id", "item", "offsets")).alias("items"))
+    pairs = met.groupBy("doc_id", "row_key", "item_key").agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
+    if found is not None:
+        pairs = pairs.join(found.select("row_key", "item_key").distinct(), ["row_key", "item_key"], "left_anti")
+    wanted = pairs.join(items.select("item_key", "item"), "item_key").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("item_key", "item", "offsets")).alias("items"))
     return _aligned(hit.select("doc_id", "row_key", "text"), wanted, least_share)
 
 
+#: held: the item's n-grams that the document has anywhere.
+LEAKS = "doc_id long, row_key long, item_key long, score long, share double, first_word long, end_word long, held array<long>"
+
+
 def _aligned(hit: DataFrame, wanted: DataFrame, least_share: float) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.int64()), ("share", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("item_key", pa.int64()), ("score", pa.int64()), ("share", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("held", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, scores, items = [], {}, {}
             for k in range(batch.num_rows):
-                words = Words([normalized(batch.column(2)[k].as_py())]).hash
+                words = Words([normalized(batch.column(2)[k].as_py())])
+                grams: dict[int, np.ndarray] = {}
                 for w in batch.column(3)[k].as_py():
-                    if w["item"] not in items:
-                        items[w["item"]] = Words([normalized(w["item"])]).hash
-                    item = items[w["item"]]
-                    score, a, b = _best(item, words, w["offsets"], least_score(len(item), least_share), scores)
+                    if w["item_key"] not in items:
+                        own = Words([normalized(w["item"])])
+                        items[w["item_key"]] = own.hash, np.unique(_item_grams(own))
+                    item, held = items[w["item_key"]]
+                    score, a, b = _best(item, words.hash, w["offsets"], least_score(len(item), least_share), scores)
                     if score:
-                        rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["item_id"], score, score / (MATCH * len(item)), a, b))
+                        width = min(GRAM, len(item))
+                        if width not in grams:
+                            ((_, gram),) = _grams(words, [width])
+                            grams[width] = np.unique(gram)
+                        held = _as_signed(held[np.isin(held, grams[width])])
+                        rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["item_key"], score, score / (MATCH * len(item)), a, b, held))
             yield record_batch(schema, list(zip(*rows, strict=True)) or [[]] * len(schema))
 
     other = wanted.select(F.col("doc_id").alias("of"), F.col("row_key").alias("key"), "items")
     joined = hit.join(other, hit["doc_id"].eqNullSafe(other["of"]) & (hit["row_key"] == other["key"]))
-    aligned = joined.select("doc_id", "row_key", "text", "items").mapInArrow(run, "doc_id long, row_key long, item_id long, score long, share double, first_word long, end_word long")
-    return aligned
+    return joined.select("doc_id", "row_key", "text", "items").mapInArrow(run, LEAKS)
 
 
 def row_key(id_col: Column, text_col: Column) -> Column:
