@@ -6,7 +6,8 @@ in one of `BANDS` bands of `ROWS` bytes are compared: 0.998 of the pairs of J =
 the texts themselves decide.
 
 A bucket of a band yields the spanning forest of its most similar pairs, and a large one is dealt out over tiles, as in `simhash`. Signatures
-are joined only to keys that occur more than once.
+are joined only to keys that occur more than once. The texts may refuse an edge of a forest whose ends a pair beside it would have connected. So
+the links that hold are followed to their components, and then every doubtful pair of a bucket is decided whose ends these leave apart.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, durable, record_batch, table, text_bytes
+from .components import connected_components
 from .windows import Words, blocks
 
 HASHES, BANDS, ROWS = 256, 16, 5
@@ -120,9 +122,32 @@ def close_links(docs: DataFrame, signed: DataFrame, similarity: float, width: in
 
     docs (text) without nulls; signed (node long, text_hash long, sig binary), no two rows alike in sig and node, no nulls: one text of each.
     """
-    found = durable(_candidates(signed, agreeing(similarity - MARGIN)).distinct())
-    sure = F.col("agree") >= agreeing(similarity + MARGIN)
-    doubtful = found.where(~sure)
+    keyed, counts = _keys(signed)
+    need, sure = agreeing(similarity - MARGIN), agreeing(similarity + MARGIN)
+    found = durable(_candidates(signed, keyed, counts.where("n > 1"), need).distinct())
+    doubtful = found.where(F.col("agree") < sure)
+    links = durable(found.where(F.col("agree") >= sure).select("a", "b").unionAll(_close_enough(docs, doubtful, similarity, width)))
+    # In buckets of up to SMALL rows every pair has been decided.
+    large = table(counts.where(F.col("n") > SMALL), "large_buckets")
+    if large.isEmpty():
+        return links
+    named = signed.join(connected_components(links).withColumnRenamed("component", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    named = durable(named)
+    members = keyed.join(large, "key").join(named.select("text_hash", "grp"), "text_hash")
+    apart = table(members.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.first("n").alias("n")).where("g0 <> g1").select("key", "n"), "apart")
+    rest = _candidates(named, keyed, apart, need, below=sure).distinct().join(doubtful.select("a", "b"), ["a", "b"], "left_anti")
+    return links.unionAll(_close_enough(docs, durable(rest), similarity, width))
+
+
+def _keys(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text_hash, key) for each band of each signature, and (key, n)."""
+    band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS))
+    keyed = signed.select("text_hash", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
+    return keyed, keyed.groupBy("key").agg(F.count("*").alias("n"))
+
+
+def _close_enough(docs: DataFrame, doubtful: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b) of the doubtful pairs (a, b, ta, tb) whose texts, found by their hashes, are that similar."""
     # Written, so that its size is known before the join: few hashes are broadcast, and the other texts aren't shuffled.
     wanted = table(doubtful.select(F.explode(F.array("ta", "tb")).alias("h")).distinct(), "wanted")
     texts = table(docs.select(F.xxhash64("text").alias("h"), "text").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "texts")
@@ -134,22 +159,38 @@ def close_links(docs: DataFrame, signed: DataFrame, similarity: float, width: in
             close = [similarity_of(x, y, width) >= similarity for x, y in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True)]
             yield record_batch(schema, [batch.column(i).filter(pa.array(close, pa.bool_())) for i in range(2)])
 
-    return found.where(sure).select("a", "b").unionAll(pairs.select("a", "b", "one", "two").mapInArrow(check, "a long, b long"))
+    return pairs.select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
+
 
+def _apart(edge: np.ndarray, sigs: np.ndarray, grp: np.ndarray, need: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both ends of every pair of a bucket that agrees in need bytes, in fewer than below, and is of two groups."""
+    starts = np.flatnonzero(edge)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(edge)], strict=True):
+        for x in range(at, end - 1):
+            others = np.flatnonzero(grp[x + 1 : end] != grp[x]) + x + 1
+            agree = np.count_nonzero(sigs[others] == sigs[x], axis=1)
+            others = others[(agree >= need) & (agree < below)]
+            left.append(np.full(len(others), x))
+            right.append(others)
+    return np.concatenate(left), np.concatenate(right)
 
-def _candidates(signed: DataFrame, need: int) -> DataFrame:
-    """(a, b, ta, tb, agree): pairs of nodes, their texts' hashes and the number of bytes in common, need at least."""
+
+def _candidates(signed: DataFrame, keyed: DataFrame, counts: DataFrame, need: int, below: int | None = None) -> DataFrame:
+    """(a, b, ta, tb, agree): pairs of nodes, their texts' hashes and the number of bytes in common, need at least; from the buckets of counts (key, n).
+
+    They connect what is connected at need. With below, they are all pairs under below whose grp in signed differs.
+    """
     bounded_batches(signed.sparkSession)
-    band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS))
-    keyed = signed.select("text_hash", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
+    grp = "grp" if below is not None else "node"
+    shared = counts.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("chunks"))
     mine = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("text_hash"), F.col("chunks").cast("long")).cast("int")).otherwise(0)
     tiled = (
         keyed.join(shared, "key")
         .withColumn("mine", mine)
         .join(signed, "text_hash")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("mine", "other").alias("t0"), F.greatest("mine", "other").alias("t1"), "node", "text_hash", "sig")
+        .select("key", F.least("mine", "other").alias("t0"), F.greatest("mine", "other").alias("t1"), "node", "text_hash", "sig", F.col(grp).alias("grp"))
     )
     keys = ["key", "t0", "t1"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("agree", pa.int64())])
@@ -162,8 +203,8 @@ def _candidates(signed: DataFrame, need: int) -> DataFrame:
             edge[1:] = False
             for c in columns[:3]:
                 edge[1:] |= c[1:] != c[:-1]
-            node, text, sigs = columns[3:]
-            left, right = _bucket_links(edge, sigs, need)
+            node, text, group, sigs = columns[3:]
+            left, right = _bucket_links(edge, sigs, need) if below is None else _apart(edge, sigs, group, need, below)
             other = node[left] != node[right]
             left, right = left[other], right[other]
             left, right = np.where(text[left] < text[right], left, right), np.where(text[left] < text[right], right, left)
@@ -173,7 +214,7 @@ def _candidates(signed: DataFrame, need: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             sigs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
-            columns = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), sigs]
+            columns = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 6)), sigs]
             if kept is not None:
                 columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)]
             differs = np.zeros(len(columns[0]), bool)
