@@ -470,7 +470,7 @@ def test_leaks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "LEAST_BITS", 6)  # a filter that lets much through
     monkeypatch.setattr(decontam, "MOST_BITS", 8)
     found = decontam.find_leaks(df, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in found if r.doc_id is not None} == {(3, 0), (4, 1), (5, 2), (5, 3)} | {(k, 5) for k in range(8, 48)}
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id is not None} == {(3, 0), (3, None), (4, 1), (5, 2), (5, 3)} | {(k, 5) for k in range(8, 48)}
     assert all(r.share == 1 for r in found if r.doc_id in (3, 5))
     kept = decontam.remove_leaks(df, bench)
     assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 6, 7} and kept.columns == df.columns
@@ -525,6 +525,29 @@ def test_edited_leaks_in_many_documents(spark):
     assert {(r.doc_id, r.item_id) for r in found if r.doc_id is not None} == {(i, i // 50) for i in range(150)}
 
 
+@pytest.mark.parametrize(("verbatim", "share", "edits"), [(0, 0, 4), (19, 0, 4), (21, 0, 4), (21, 0, 7), (1000, 0, 4), (1000, 60, 7)])
+def test_edited_leaks_beside_verbatim_ones(spark, verbatim, share, edits):
+    """Copies with and without the same edits, and one with edits of its own, whatever the number of verbatim copies; no clean document."""
+    rnd = random.Random(verbatim + edits)
+    make = lambda n: [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
+    item = make(34)
+    edited, own = list(item), list(item)
+    for k in range(edits):
+        edited[k * 34 // edits + 1] = f"changed{k}"
+        own[k * 34 // edits + 3] = f"other{k}"
+    leaks = [item] * verbatim + [edited] * share + [own]
+    texts = [" ".join(make(10) + x + make(10)) for x in leaks] + [" ".join(make(60)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.find_leaks(docs, spark.createDataFrame([("gsm-1", " ".join(item))], "item_id string, text string")).collect()
+    assert collections.Counter((r.doc_id, r.item_id) for r in found) == collections.Counter((i, "gsm-1") for i in range(len(leaks)))
+
+
+def test_leaks_of_common_items_equal_an_alignment_of_all_pairs(spark, monkeypatch):
+    """The same as test_leaks_equal_an_alignment_of_all_pairs with nothing rare, so that all seeds come from counts."""
+    monkeypatch.setattr(decontam, "RARE", 0)
+    test_leaks_equal_an_alignment_of_all_pairs(spark)
+
+
 def test_smith_waterman_against_the_plain_recurrence():
     rnd = random.Random(2)
     for _ in range(30):
@@ -554,6 +577,49 @@ def _similar_pairs(similarity: float, n: int, seed: int = 9) -> list[tuple[str,
     return pairs
 
 
+def _groups_around(similarity: float, n_groups: int, size: int, seed: int = 21) -> list[str]:
+    """Groups of texts of 300 words that come from one another by a few changed words, so that many pairs lie on both sides of the similarity."""
+    rnd = random.Random(seed)
+    texts = []
+    for _ in range(n_groups):
+        first = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        for _ in range(size):
+            mine = list(first)
+            for i in rnd.sample(range(300), rnd.choice([3, 4])):
+                mine[i] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(mine))
+    return texts
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_minhash_connects_what_all_pairs_connect(spark, monkeypatch, tile):
+    """Of groups whose pairs lie around 0.8, the components of the links are those of all pairs that share a bucket."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    texts = _groups_around(0.8, 40 if tile == 512 else 6, 30)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "node long, text string")
+    sigs = minhash.signatures([t.encode() for t in texts], 5)
+    signed = spark.createDataFrame([(i, s) for i, s in enumerate(sigs)], "node long, sig binary").join(docs, "node").select("node", F.xxhash64("text").alias("text_hash"), "sig")
+    got = {r.node: r.component for r in components.connected_components(minhash.close_links(docs, signed, 0.8, 5)).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    bands = [{sig[i * minhash.ROWS : (i + 1) * minhash.ROWS] + bytes([i]) for i in range(minhash.BANDS)} for sig in sigs]
+    size = 30
+    for g in range(0, len(texts), size):
+        for a in range(g, g + size):
+            for b in range(a + 1, g + size):
+                if bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {i: got.get(i, i) for i in range(len(texts))} == {i: find(i) for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("tile", [512, 8])
 def test_pipeline_links_near_copies_of_similarity_eight_tenths(spark, monkeypatch, tile):
     import corpus_pipeline
