@@ -145,36 +145,84 @@ def physical_rows(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*c.columns, "valid", *[F.round(x, 9).alias(x) for x in ("raw_recall", "recall", "precision", "review_burden")])
 
 
-_UNITS = ["mg/dL", "mmol/L", "U/L", "g/L"]
-_ROWS = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 7 AS form, p_brand AS brand, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, ['mg/dL', 'mmol/L', 'U/L'][1 + l_partkey % 3] AS u FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+#: Each line of an order as a line of a report in one of thirteen forms; %b is the brand, %q the quantity, %u the unit.
+_FORMS = ["%b %q %u 3.5 - 5.1", "%b 37 °C %q %u,", "%b <%q %u", "%b  %q <200 %u", "%b %q 7.5 %u", "%b %u", "%b %q 10–20", "%b < %q %u", "%b %q, %u", "%b -%q %u", "%q %u 70 - <99", "%b %q%u 70-99", "%b nicht nachgewiesen"]
+_ROWS = f"""f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, (l_orderkey + l_linenumber) % 13 AS form, translate(p_brand, '#0123456789', 'xabcdefghij') AS brand, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, ['mg/dL', 'mmol/L', 'U/L'][1 + l_partkey % 3] AS u FROM lineitem JOIN part ON p_partkey = l_partkey),
+r AS (SELECT *, replace(replace(replace({_FORMS!r}[1 + form], '%b', brand), '%q', q), '%u', u) AS text FROM f)"""
+
+
+def _lettered(brand: str) -> F.Column:
+    """A brand without digits, which would count as numbers of the line."""
+    return F.translate(brand, "#0123456789", "xabcdefghij")
 
 
 def _source_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of reports in seven forms."""
-    item, part = s.read(spark, d, "lineitem"), s.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
-    q, u, form = F.col("l_quantity").cast("int").cast("string"), F.get(F.array(F.lit("mg/dL"), F.lit("mmol/L"), F.lit("U/L")), (F.col("l_partkey") % 3).cast("int")), F.col("l_linenumber") % 7
-    said = F.array(
-        F.concat_ws(" ", "brand", q, u, F.lit("3.5 - 5.1")), F.concat_ws(" ", "brand", F.lit("37 °C"), q, F.concat(u, F.lit(","))), F.concat_ws(" ", "brand", F.concat(F.lit("<"), q), u), F.concat_ws("  ", "brand", q, F.lit("<200"), u),
-        F.concat_ws(" ", "brand", q, F.lit("7.5"), u), F.concat_ws(" ", "brand", u), F.concat_ws(" ", "brand", q, F.lit("10–20")),
-    )
-    return item.join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "brand", F.get(said, form.cast("int")).alias("text"))
-
-
-@query(f"""WITH {_ROWS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, brand AS label, CASE form WHEN 2 THEN '<' || q WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE q END AS value, CASE WHEN form <> 6 THEN u END AS unit,
-  CASE form WHEN 0 THEN '3.5 - 5.1' WHEN 6 THEN '10–20' END AS reference, CASE form WHEN 4 THEN 2 WHEN 5 THEN 0 ELSE 1 END AS n_values FROM r""")
+    item, part = s.read(spark, d, "lineitem"), s.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), _lettered("p_brand").alias("brand"))
+    said = F.get(F.array(*[F.lit(f) for f in _FORMS]), ((F.col("l_orderkey") + F.col("l_linenumber")) % 13).cast("int"))
+    units = F.get(F.array(F.lit("mg/dL"), F.lit("mmol/L"), F.lit("U/L")), (F.col("l_partkey") % 3).cast("int"))
+    for mark, value in (("%b", F.col("brand")), ("%q", F.col("l_quantity").cast("int").cast("string")), ("%u", units)):
+        said = F.replace(said, F.lit(mark), value)
+    return item.join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "brand", F.col("l_quantity").cast("int").alias("q"), said.alias("text"))
+
+
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    return s.entries(spark, d).select(_lettered("biomarker_id").alias("entry_id"), _lettered("biomarker_id").alias("alias"))
+
+
+@query(f"""WITH {_ROWS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN form IN (4, 5, 10, 11) THEN text WHEN form = 1 THEN brand || ' 37 °C' ELSE brand END AS label,
+  CASE form WHEN 2 THEN '<' || q WHEN 7 THEN '< ' || q WHEN 9 THEN '-' || q WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 11 THEN NULL WHEN 12 THEN 'nicht nachgewiesen' ELSE q END AS value, CASE WHEN form NOT IN (6, 11, 12) THEN u END AS unit,
+  CASE form WHEN 0 THEN '3.5 - 5.1' WHEN 3 THEN '<200' WHEN 6 THEN '10–20' WHEN 10 THEN '70 - <99' WHEN 11 THEN '70-99' END AS reference, CASE WHEN form = 4 THEN 2 WHEN form IN (5, 11, 12) THEN 0 ELSE 1 END AS n_values FROM r""")
 def source_row_reader(spark: SparkSession, d: str) -> DataFrame:
-    rows = source_rows.read_rows(_source_rows(spark, d), "text", _UNITS)
-    label = F.regexp_replace("label", " 37 °C$", "")  # the temperature stands between label and value
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", label.alias("label"), "value", "unit", "reference", "n_values")
+    return source_rows.read_rows(_source_rows(spark, d), "text").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "value", "unit", "reference", "n_values")
+
+
+_READ = f"""{_ROWS}, k AS (SELECT *, brand NOT LIKE '%f' AND form <> 10 AS known, u = 'U/L' AND form NOT IN (6, 11, 12) AS risk FROM r),
+e AS (SELECT *, risk AND (NOT known OR brand LIKE '%e') AS unsafe, known AND NOT (risk AND brand LIKE '%e') AS entry FROM k)"""
+
+
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    """With entries for brands; in those that end in e a unit of U/L is an unsafe alias."""
+    aliases = _aliases(spark, d)
+    return source_rows.read_rows(_source_rows(spark, d), "text", aliases, aliases.where("entry_id LIKE '%e'").select("entry_id", F.lit("u/l").alias("alias")))
 
 
-@query(f"""WITH {_ROWS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN form = 5 THEN 'missing-value' END, CASE WHEN form = 4 THEN 'unparseable-value' END, CASE WHEN form = 1 OR brand LIKE '%5' THEN 'unsupported-alias' END, CASE WHEN form = 6 THEN 'missing-unit' END,
-  CASE WHEN form NOT IN (1, 6) AND brand NOT LIKE '%5' AND u = 'U/L' THEN 'incompatible-unit' END, CASE WHEN l_orderkey % 11 = 0 THEN 'missing-collection-date' END) AS reasons,
-  form IN (4, 5, 6) OR (form NOT IN (1, 6) AND brand NOT LIKE '%5' AND u = 'U/L') AS blocked, NOT (form IN (1, 4, 5, 6) OR brand LIKE '%5' OR u = 'U/L' OR l_orderkey % 11 = 0) AS resolved FROM r""")
+@query(f"""WITH {_READ}, x AS (SELECT *, [CASE WHEN form IN (4, 5, 11) THEN 'missing-value' END, CASE WHEN form IN (4, 5, 11) THEN 'unparseable-value' END, CASE WHEN NOT entry THEN 'unsupported-alias' END, CASE WHEN form = 6 THEN 'missing-unit' END,
+  CASE WHEN entry AND risk THEN 'incompatible-unit' END, CASE WHEN entry AND brand LIKE '%b' AND l_linestatus <> 'F' THEN 'incompatible-specimen' END, CASE WHEN unsafe THEN 'ambiguous-assay' END, CASE WHEN entry AND brand LIKE '%c' AND form <> 1 THEN 'incompatible-method' END,
+  CASE WHEN l_orderkey % 11 = 0 THEN 'missing-collection-date' END, CASE WHEN l_orderkey % 7 = 0 THEN 'ambiguous-date' END, CASE WHEN form = 4 THEN 'unsupported-layout' END, CASE WHEN l_orderkey % 11 <> 0 AND l_orderkey % 5 = 0 THEN 'defaulted-collection-date' END] AS all_reasons FROM e),
+y AS (SELECT *, list_filter(all_reasons, lambda x: x IS NOT NULL) AS reasons FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(reasons, ',') AS reasons, list_has_any(reasons, {source_rows.BLOCKING_REASONS!r}) AS blocked, len(list_filter(reasons, lambda x: x <> 'defaulted-collection-date')) = 0 AS resolved FROM y""")
 def review_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = source_rows.read_rows(_source_rows(spark, d), "text", _UNITS)
-    entries = s.entries(spark, d).select(F.col("biomarker_id").alias("label"), "units", F.lit(True).alias("known"))
-    date = F.when(F.col("l_orderkey") % 11 != 0, F.lit("2024-01-01"))
-    found = rows.join(entries, "label", "left").withColumn("r", source_rows.review_reasons(F.col("label"), F.col("n_values"), F.col("unit"), F.col("known"), F.col("units"), date))
-    blocked, resolved = source_rows.blocks_confirmation(F.col("r"), F.lit("unresolved")), source_rows.default_decision(F.col("r")) == "resolve"
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("r", ",").alias("reasons"), blocked.alias("blocked"), resolved.alias("resolved"))
+    serum = F.when(F.col("entry_id").endswith("b"), F.array(F.lit("serum")))
+    entries = _aliases(spark, d).select("entry_id", F.array(F.lit("mg/dL"), F.lit("mmol/L")).alias("units"), serum.alias("specimens"))
+    order = F.col("l_orderkey")
+    date, specimen = F.when(order % 11 != 0, F.lit("2024-01-01")), F.when(F.col("l_linestatus") == "F", "serum").otherwise("blood")
+    method = F.when(F.col("entry_id").endswith("c"), F.col("text").contains("37 °C"))
+    found = source_rows.review_reasons(_read(spark, d), entries, date=date, date_defaulted=order % 5 == 0, date_ambiguous=order % 7 == 0, specimen=specimen, method_ok=method)
+    r = F.col("reasons")
+    blocked, resolved = source_rows.blocks_confirmation(r, F.lit("unresolved")), source_rows.default_decision(r) == "resolve"
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(r, ",").alias("reasons"), blocked.alias("blocked"), resolved.alias("resolved"))
+
+
+@query(f"""WITH {_READ} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN entry THEN brand WHEN form IN (4, 5, 10, 11) THEN text WHEN form = 1 THEN brand || ' 37 °C' ELSE brand END AS label, CASE WHEN entry THEN brand END AS entry_id FROM e
+WHERE entry AND form <> 5 OR form NOT IN (4, 5, 11)""")
+def measurement_shaped_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d).where(source_rows.is_measurement_shaped(F.col("text"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "entry_id")
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_orderkey + l_linenumber) % 6 AS k, translate(p_brand, '#0123456789', 'xabcdefghij') AS brand, CAST(l_quantity AS INTEGER) AS q FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN brand LIKE '%f' OR k = 4 THEN brand || [' ' || q || ' mg/dl', ' 1.5-' || q || ' MG / DL H', '  h ' || q, '', ' ' || (q + 1), ' mg/dL ' || q || ',0'][1 + k] ELSE brand END AS display FROM m""")
+def display_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that repeat fields of their row, in six forms; the fifth has a number that is not the row's value."""
+    rows = _source_rows(spark, d)
+    q, k = F.col("q").cast("string"), (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    said = F.array(F.concat(F.lit(" "), q, F.lit(" mg/dl")), F.concat(F.lit(" 1.5-"), q, F.lit(" MG / DL H")), F.concat(F.lit("  h "), q), F.lit(""), F.concat(F.lit(" "), (F.col("q") + 1).cast("string")), F.concat(F.lit(" mg/dL "), q, F.lit(",0")))
+    labels = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat("brand", F.get(said, k.cast("int"))).alias("label"), q.alias("value"), F.lit("mg/dL").alias("unit"), F.concat(F.lit("1.5-"), q).alias("reference"), F.lit("H").alias("flag"))
+    keyed = labels.withColumn("row_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value"))
+    return source_rows.display_labels(keyed, _aliases(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "display")
+
+
+#: Every line of documents through the reader of rows; SQL has no matches with places, so this is tested against plain regular expressions.
+@query()
+def source_values(spark: SparkSession, d: str) -> DataFrame:
+    lines = s.lines(spark, d).withColumnRenamed("line", "line_no")
+    return source_rows.read_rows(lines, "text").select("doc_id", "line_no", "label", "value", "value_kind", "unit", "reference", "flag", "n_values", "n_references")
