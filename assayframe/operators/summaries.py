@@ -72,33 +72,11 @@ def less_planned(counts: DataFrame, planned: DataFrame, key: str) -> DataFrame:
     return counts.join(planned, key, "left").withColumn("left", F.greatest(F.lit(0), F.col("n") - F.coalesce("n_planned", F.lit(0))))
 
 
-def balances(ledger: DataFrame, keys: list[str], now: Column) -> DataFrame:
-    """Per account and kind: granted, consumed, reserved, remaining (never negative) and resets_at, the first end of a live grant.
-
-    ledger: entry_type (grant, reserve, release, consume), units, source_id, period_start, period_end. A reservation is live while no release or consume has its
-    source_id; grants count within their period.
-    """
-    from ..functions.dates import in_period
-
-    settled = ledger.where(F.col("entry_type").isin("release", "consume")).select(*keys, "source_id").where("source_id is not null").distinct()
-    live = ledger.where("entry_type = 'reserve'").join(settled, [*keys, "source_id"], "left_anti").groupBy(*keys).agg(F.sum("units").alias("reserved"))
-    grant = (F.col("entry_type") == "grant") & in_period(now, F.col("period_start"), F.col("period_end"))
-    sums = ledger.groupBy(*keys).agg(F.sum(F.when(grant, F.col("units")).otherwise(0)).alias("granted"), F.sum(F.when(F.col("entry_type") == "consume", F.col("units")).otherwise(0)).alias("consumed"), F.min(F.when(grant, F.col("period_end"))).alias("resets_at"))
-    out = sums.join(live, keys, "left").withColumn("reserved", F.coalesce("reserved", F.lit(0)))
-    return out.withColumn("remaining", F.greatest(F.lit(0), F.col("granted") - F.col("consumed") - F.col("reserved")))
-
-
 def usage_warning(remaining: Column, included: Column) -> Column:
-    used = 1 - remaining / F.nullif(included, F.lit(0))
+    used = (included - remaining) / F.nullif(included, F.lit(0))
     return F.when((remaining <= 0) | (included <= 0), "exhausted").when(used >= 0.95, "critical").when(used >= 0.8, "near-limit").otherwise("normal")
 
 
-def pick_grant(grants: DataFrame, keys: list[str]) -> DataFrame:
-    """The grant to draw from: with units left, starter grants first, then the earliest end, then the id."""
-    order = F.struct((F.col("kind") != "starter").alias("late"), F.coalesce("period_end", F.lit("9999-12-31").cast("timestamp")).alias("end"), "grant_id")
-    return grants.where("remaining > 0").groupBy(*keys).agg(F.min_by("grant_id", order).alias("grant_id"), F.count("*").alias("n_open"))
-
-
 def month_buckets(subscriptions: DataFrame, keys: list[str], limit: int = 24) -> DataFrame:
     """Periods of over 45 days as months, each beginning where the last ended (so an end of month drifts down), the last one clipped."""
     step = F.struct(F.lit(0).alias("n"), F.col("period_start").alias("at"), F.array().cast("array<struct<n:int,start:timestamp,end:timestamp>>").alias("done"))
