@@ -13,87 +13,123 @@ _own = Registry()
 query, QUERIES, ORACLES = _own.query, _own.queries, _own.oracles
 
 
-def _values(spark: SparkSession, rows: list[str | None]) -> DataFrame:
-    return spark.createDataFrame([(r,) for r in rows], "x string")
+def _literal(v: str | None) -> str:
+    return "(NULL)" if v is None else "('" + v.replace("'", "''") + "')"
 
 
-def _sql(rows: list[str | None], name: str = "v(x)") -> str:
-    return f"{name} AS (VALUES " + ", ".join("(NULL)" if r is None else "('" + r.replace("'", "''") + "')" for r in rows) + ")"
+def _tokens(spark: SparkSession, d: str, cases: list[str | None]) -> DataFrame:
+    """(x, n): every different token of documents and every case, with how often it occurs."""
+    words = s.read(spark, d, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r]+")).alias("x"))
+    return words.unionAll(spark.createDataFrame([(c,) for c in cases], "x string")).groupBy("x").agg(F.count("*").alias("n"))
 
 
-DECIMALS = ["1", " 2.5 ", "3,5", "1.234,5", "1,234.5", "1 234", "-7", "+.5", "4.", "1.2.3", "1,2,3", "abc", "", "12e3", "1.234.567,8", None]
+def _tokens_sql(cases: list[str | None]) -> str:
+    return f"t AS (SELECT x, count(*) AS n FROM (SELECT unnest(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+')) AS x FROM documents UNION ALL SELECT x FROM (VALUES {', '.join(map(_literal, cases))}) v(x)) GROUP BY 1)"
 
 
-@query(f"""WITH {_sql(DECIMALS)}, t AS (SELECT x, regexp_replace(x, '\\s', '', 'g') AS t FROM v),
-n AS (SELECT x, CASE WHEN contains(t, ',') AND contains(t, '.') THEN CASE WHEN strpos(reverse(t), ',') < strpos(reverse(t), '.') THEN regexp_replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END
-  WHEN contains(t, ',') THEN regexp_replace(t, ',', '.') ELSE t END AS n FROM t)
-SELECT x, CASE WHEN regexp_full_match(n, '[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN TRY_CAST(ltrim(n, '+') AS DOUBLE) END AS num FROM n""")
-def parse_decimal(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, DECIMALS).select("x", numbers.locale_decimal(F.col("x")).alias("num"))
+def _decimal_sql(x: str) -> str:
+    """The number that the text of the SQL expression x says: spaces go, of comma and dot the last is the sign, a lone comma too."""
+    t = f"regexp_replace({x}, '[\\s\\x{{0b}}\\x{{a0}}\\x{{202f}}]', '', 'g')"
+    plain = f"CASE WHEN contains({t}, ',') AND contains({t}, '.') THEN CASE WHEN strpos(reverse({t}), ',') < strpos(reverse({t}), '.') THEN regexp_replace(replace({t}, '.', ''), ',', '.') ELSE replace({t}, ',', '') END WHEN contains({t}, ',') THEN regexp_replace({t}, ',', '.') ELSE {t} END"
+    return f"(SELECT CASE WHEN regexp_full_match(p, '[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN TRY_CAST(ltrim(p, '+') AS DOUBLE) END FROM (SELECT {plain} AS p))"
 
 
-COMPARATORS = ["<5", "> 3,5", "≤ 7", "≥2.5 mg", "12 mg/dL", "negative", "", "  ", "-4", "<", "5 - 7", None]
-PARSED = [("<5", "bounded", "<", 5.0, None), ("> 3,5", "bounded", ">", 3.5, None), ("≤ 7", "bounded", "<", 7.0, None), ("≥2.5 mg", "bounded", ">", 2.5, None), ("12 mg/dL", "numeric", None, 12.0, None), ("negative", "free_text", None, None, "negative"), ("", None, None, None, None), ("  ", None, None, None, None), ("-4", "numeric", None, -4.0, None), ("<", "free_text", None, None, "<"), ("5 - 7", "numeric", None, 5.0, None), (None, None, None, None, None)]
+DECIMALS = ["1", " 2.5 ", "3,5", "1.234,5", "1,234.5", "1 234", "-7", "+.5", "4.", "1.2.3", "1,2,3", "abc", "", "12e3", "1.234.567,8", None]
 
 
-def _literal(v) -> str:
-    return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+@query(f"WITH {_tokens_sql(DECIMALS)} SELECT x, n, {_decimal_sql('x')} AS num FROM t")
+def parse_decimal(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d, DECIMALS).select("x", "n", numbers.locale_decimal(F.col("x")).alias("num"))
 
 
-def _table(rows: list[tuple], names: str, types: list[str]) -> str:
-    columns = names.split(", ")
-    return "SELECT " + ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in zip(columns, types, strict=True)) + " FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS w({names})"
+COMPARATORS = ["<5", "> 3,5", "≤ 7", "≥2.5 mg", "12 mg/dL", "negative", "", "  ", "-4", "<", "5 - 7", "1.2.3", "<1,234.5", None]
+_SHAPE = r"^([<>≤≥])?\s*([+-]?(?:[0-9][0-9\s\x{a0}\x{202f}.,]*|\.[0-9]+))\s*(.*)$"
 
 
-@query(_table(PARSED, "x, kind, comparator, num, text", ["VARCHAR", "VARCHAR", "VARCHAR", "DOUBLE", "VARCHAR"]))
+@query(f"""WITH {_tokens_sql(COMPARATORS)}, m AS (SELECT x, n, trim(x) AS t, regexp_extract(trim(x), '{_SHAPE}', 1) AS sign, regexp_extract(trim(x), '{_SHAPE}', 2) AS number FROM t), v AS (SELECT *, {_decimal_sql('number')} AS num, CASE WHEN sign IN ('<', '≤') THEN '<' WHEN sign IN ('>', '≥') THEN '>' END AS bound FROM m)
+SELECT x, n, CASE WHEN t <> '' THEN CASE WHEN num IS NULL THEN 'free_text' WHEN bound IS NOT NULL THEN 'bounded' ELSE 'numeric' END END AS kind, CASE WHEN num IS NOT NULL THEN bound END AS comparator, num, CASE WHEN num IS NULL AND t <> '' THEN t END AS text FROM v""")
 def parse_comparator(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, COMPARATORS).withColumn("v", numbers.comparator_value(F.col("x"))).select("x", "v.kind", "v.comparator", "v.num", "v.text")
+    return _tokens(spark, d, COMPARATORS).withColumn("v", numbers.comparator_value(F.col("x"))).select("x", "n", "v.kind", "v.comparator", "v.num", "v.text")
 
 
-SCALARS = [("<=5", None, "bounded", "<=", 5.0, None), ("≤ 5", None, "bounded", "<=", 5.0, None), ("=4,5", None, "bounded", "=", 4.5, None), ("12", None, "numeric", None, 12.0, None), ("Negative", "negative", "categorical", None, None, "Negative"), ("see note", "negative", "text", None, None, "see note"), ("", None, None, None, None, None)]
+SCALARS = ["<=5", "≤ 5", "=4,5", "12", "Negative", "negative", "see note", "a. b", "", "≥ -3.25", "> ", None]
 
 
-@query(_table(SCALARS, "x, ref, kind, comparator, num, text", ["VARCHAR", "VARCHAR", "VARCHAR", "VARCHAR", "DOUBLE", "VARCHAR"]))
+@query(f"""WITH {_tokens_sql(SCALARS)}, r AS (SELECT x, n, CASE WHEN length(x) % 2 = 0 THEN ' ' || lower(x) WHEN length(x) % 3 = 0 THEN 'negative' END AS ref, trim(regexp_replace(x, '[\\s\\x{{0b}}]+', ' ', 'g')) AS c, regexp_replace(x, '[\\s\\x{{0b}}]+', '', 'g') AS k FROM t),
+m AS (SELECT *, nullif(regexp_extract(k, '^(<=|>=|<|>|≤|≥|=)?([+-]?[0-9]+(?:[.,][0-9]+)?)$', 1), '') AS sign, TRY_CAST(replace(regexp_extract(k, '^(<=|>=|<|>|≤|≥|=)?([+-]?[0-9]+(?:[.,][0-9]+)?)$', 2), ',', '.') AS DOUBLE) AS num FROM r)
+SELECT x, n, ref, CASE WHEN c = '' OR c IS NULL THEN NULL WHEN num IS NOT NULL AND sign IS NULL THEN 'numeric' WHEN num IS NOT NULL THEN 'bounded' WHEN coalesce(lower(trim(ref)) = lower(c), false) AND NOT regexp_matches(c, '[.!?;]') THEN 'categorical' ELSE 'text' END AS kind,
+  CASE WHEN num IS NOT NULL THEN CASE sign WHEN '≤' THEN '<=' WHEN '≥' THEN '>=' ELSE sign END END AS comparator, num, CASE WHEN num IS NULL AND c <> '' THEN c END AS text FROM m""")
 def parse_scalar(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in SCALARS], "x string, ref string")
-    return rows.withColumn("v", numbers.scalar_value(F.col("x"), F.col("ref"))).select("x", "ref", "v.kind", "v.comparator", "v.num", "v.text")
+    x = F.col("x")
+    rows = _tokens(spark, d, SCALARS).withColumn("ref", F.when(F.length(x) % 2 == 0, F.concat(F.lit(" "), F.lower(x))).when(F.length(x) % 3 == 0, "negative"))
+    return rows.withColumn("v", numbers.scalar_value(x, F.col("ref"))).select("x", "n", "ref", "v.kind", "v.comparator", "v.num", "v.text")
 
 
-INTERVALS = [("70-99", "70-99"), (" 3.5 – 5 ", "3.5 – 5"), ("<5", "<5"), ("4 to 6", "4 to 6"), ("70-", None), ("abc", None), ("", None), ("≥ 3", "≥ 3"), ("1,5-2,5 mg", None), (None, None)]
+INTERVALS = ["70-99", " 3.5 – 5 ", "<5", "4 to 6", "70-", "abc", "", "≥ 3", "1,5-2,5 mg", "70 - <99", "4 TO 6", None]
+_NUM = r"[+-]?(?:[0-9][0-9\s\x{a0}\x{202f}.,]*|\.[0-9]+)"
 
 
-@query(_table(INTERVALS, "x, y", ["VARCHAR", "VARCHAR"]))
+@query(f"""WITH {_tokens_sql(INTERVALS)} SELECT x, n, CASE WHEN regexp_full_match(trim(x), '(?i)(?:[<>≤≥]\\s*)?{_NUM}(?:\\s*(?:-|–|—|to)\\s*[<>≤≥]?\\s*{_NUM})?') THEN trim(x) END AS y FROM t""")
 def parse_interval(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, [r[0] for r in INTERVALS]).select("x", numbers.reference_interval(F.col("x")).alias("y"))
+    return _tokens(spark, d, INTERVALS).select("x", "n", numbers.reference_interval(F.col("x")).alias("y"))
 
 
-UNITS = [("mg / dl", "mg/dL"), ("MMOL/L", "mmol/L"), ("μg/L", "µg/L"), ("ug/l", "µg/L"), ("U/l", "U/L"), ("cells  per  µL", "cells per µL"), ("%", "%"), ("", None), (None, None), ("fl", "fL")]
+UNITS = ["mg / dl", "MMOL/L", "μg/L", "ug/l", "U/l", "cells  per  µL", "%", "", "fl", "Mg Dl", None]
 
 
-@query(_table([(a, b, None if a is None else "".join(a.split()).lower()) for a, b in UNITS], "x, unit, unit_key", ["VARCHAR"] * 3))
+@query(f"""WITH {_tokens_sql(UNITS)}, c AS (SELECT x, n, regexp_replace(regexp_replace(replace(trim(x), 'μ', 'µ'), '\\s*/\\s*', '/', 'g'), '\\s+', ' ', 'g') AS neat FROM t)
+SELECT x, n, nullif(CASE lower(neat) {" ".join(f"WHEN '{low}' THEN '{usual}'" for low, usual in numbers.UNIT_SPELLINGS.items())} ELSE neat END, '') AS unit, lower(regexp_replace(x, '[\\s\\x{{0b}}]+', '', 'g')) AS unit_key FROM c""")
 def normalize_unit(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, [r[0] for r in UNITS]).select("x", numbers.unit(F.col("x")).alias("unit"), numbers.unit_key(F.col("x")).alias("unit_key"))
+    return _tokens(spark, d, UNITS).select("x", "n", numbers.unit(F.col("x")).alias("unit"), numbers.unit_key(F.col("x")).alias("unit_key"))
 
 
-DATES = [
-    ("2024-02-30", "en-US", None, None, None), ("2024-02-29", "de-DE", "2024-02-29", "2024-02-29", "2024-02-29"), ("13/02/2024", "en-US", "2024-02-13", None, None), ("02/13/2024", "de-DE", "2024-02-13", None, None),
-    ("03/04/2024", "en-US", "2024-03-04", "2024-03-04", "2024-03-04"), ("03/04/2024", "de-DE", "2024-04-03", "2024-04-03", "2024-04-03"), ("03/04/2024", "fr-FR", "2024-04-03", "2024-04-03", None), ("3.4.24", "de-DE", "2024-04-03", "2024-04-03", None),
-    ("3.4.2024", "en-US", "2024-03-04", "2024-03-04", "2024-04-03"), ("abc", "en-US", None, None, None), ("", "en-US", None, None, None), ("31.12.1999", "lt-LT", "1999-12-31", "1999-12-31", "1999-12-31"),
-]
+DATES = ["2024-02-30", "2024-02-29", "13/02/2024", "02/13/2024", "03/04/2024", "3.4.24", "3.4.2024", "abc", "", "31.12.1999", "1/2", "1-2-3-4", "0.0.0", "2024-13-01", None]
+LOCALES = ["en-US", "de-DE", "fr-FR", "lt-LT"]
+_DAYS = ["yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "d.M.yy", "dd/MM/yyyy", "d-M-yyyy"]
+_DAYS_SQL = ["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%-d.%-m.%y", "%d/%m/%Y", "%-d-%-m-%Y"]
 
 
-@query(_table(DATES, "x, locale, lab, typed, header", ["VARCHAR"] * 5))
+def _dates_sql() -> str:
+    of = lambda y, m, day: f"TRY_CAST(CASE WHEN {y} BETWEEN 1 AND 9999 THEN printf('%04d-%02d-%02d', {y}, {m}, {day}) END AS DATE)"
+    full = lambda y, m, day: of(f"(CASE WHEN {y} < 100 THEN {y} + 2000 ELSE {y} END)", m, day)
+    whole = "len(p) = 3 AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL"
+    us = "regexp_matches(locale, '^en-(?:US|CA)')"
+    number = lambda i: f"CASE WHEN regexp_full_match(trim(p[{i}]), '[+-]?[0-9]+') THEN TRY_CAST(trim(p[{i}]) AS INTEGER) END"
+    part = lambda i: f"TRY_CAST(regexp_extract(x, '([0-9]{{1,4}})[./-]([0-9]{{1,2}})[./-]([0-9]{{1,4}})', {i}) AS INTEGER)"
+    return f"""{_tokens_sql(DATES)}, o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT x, n FROM t UNION ALL SELECT unnest([{", ".join(f"strftime(day, '{f}')" for f in _DAYS_SQL)}]), n FROM o),
+g AS (SELECT x, sum(n)::BIGINT AS n FROM w GROUP BY 1), l AS (SELECT x, n, unnest({LOCALES!r}) AS locale, string_split_regex(trim(x), '[./-]') AS p FROM g), k AS (SELECT *, {number(1)} AS a, {number(2)} AS b, {number(3)} AS c, {part(1)} AS ha, {part(2)} AS hb, {part(3)} AS hc FROM l)
+SELECT x, n, locale, CAST(CASE WHEN {whole} THEN CASE WHEN length(CAST(a AS VARCHAR)) = 4 THEN {full("a", "b", "c")} WHEN a > 12 THEN {full("c", "b", "a")} WHEN b > 12 THEN {full("c", "a", "b")} WHEN {us} THEN {full("c", "a", "b")} ELSE {full("c", "b", "a")} END END AS VARCHAR) AS lab,
+  CAST(CASE WHEN {whole} THEN CASE WHEN length(CAST(a AS VARCHAR)) = 4 THEN {full("a", "b", "c")} WHEN {us} THEN {full("c", "a", "b")} ELSE {full("c", "b", "a")} END END AS VARCHAR) AS typed,
+  CAST(CASE WHEN ha >= 1000 THEN {of("ha", "hb", "hc")} WHEN hc >= 1000 AND contains(x, '/') THEN CASE WHEN locale = 'en-US' THEN {of("hc", "ha", "hb")} WHEN locale IN ('lt-LT', 'de-DE', 'de-CH') THEN {of("hc", "hb", "ha")} END WHEN hc >= 1000 THEN {of("hc", "hb", "ha")} END AS VARCHAR) AS header FROM k"""
+
+
+@query(f"WITH {_dates_sql()}")
 def parse_date(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of documents and the days of orders in six forms, each read in four locales."""
     x, locale = F.col("x"), F.col("locale")
-    return spark.createDataFrame([r[:2] for r in DATES], "x string, locale string").select("x", "locale", dates.lab_date(x, locale).cast("string").alias("lab"), dates.typed_date(x, locale).cast("string").alias("typed"), dates.header_date(x, locale).cast("string").alias("header"))
+    days = s.read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    said = days.select(F.explode(F.array(*[F.date_format("day", f) for f in _DAYS])).alias("x"), "n")
+    each = _tokens(spark, d, DATES).unionByName(said).groupBy("x").agg(F.sum("n").alias("n")).withColumn("locale", F.explode(F.array(*[F.lit(v) for v in LOCALES])))
+    return each.select("x", "n", "locale", dates.lab_date(x, locale).cast("string").alias("lab"), dates.typed_date(x, locale).cast("string").alias("typed"), dates.header_date(x, locale).cast("string").alias("header"))
 
 
-NAMED = [("3 March 2024", "2024-03-03"), ("3. März 2024", "2024-03-03"), ("March 31, 2024", "2024-03-31"), ("30 February 2024", None), ("Marzo 3 2024", None), ("on 12 Dezember 2020 at", "2020-12-12")]
+_EN = "January February March April May June July August September October November December".split()
+_DE = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 
 
-@query(_table(NAMED, "x, day", ["VARCHAR"] * 2))
+@query(f"""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS t FROM orders), p AS (SELECT t, year(t) AS y, month(t) AS m, day(t) AS d FROM o), f AS (SELECT t, unnest(range(7)) AS form, y, m, d FROM p)
+SELECT CAST(t AS VARCHAR) AS t, form, CASE form WHEN 0 THEN d || ' ' || {_EN!r}[m] || ' ' || y WHEN 1 THEN d || '. ' || {_DE!r}[m] || ' ' || y WHEN 2 THEN upper({_EN!r}[m]) || ' ' || d || ', ' || y WHEN 3 THEN 'on ' || d || ' ' || {_DE!r}[m] || ' ' || y || ' at'
+  WHEN 4 THEN '30 February ' || y WHEN 5 THEN 'Marzo ' || d || ' ' || y ELSE d || {_EN!r}[m] || y END AS x, CASE WHEN form < 4 THEN CAST(t AS VARCHAR) END AS day FROM f""")
 def parse_month_name(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, [r[0] for r in NAMED]).select("x", dates.month_name_date(F.col("x")).cast("string").alias("day"))
+    """The days of orders in seven forms, the last three of which name no day."""
+    t = s.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("t")).distinct()
+    name = lambda months: F.element_at(F.array(*[F.lit(m) for m in months]), F.month("t"))
+    day, year = F.dayofmonth("t").cast("string"), F.year("t").cast("string")
+    forms = F.array(
+        F.concat_ws(" ", day, name(_EN), year), F.concat(day, F.lit(". "), name(_DE), F.lit(" "), year), F.concat(F.upper(name(_EN)), F.lit(" "), day, F.lit(", "), year), F.concat_ws(" ", F.lit("on"), day, name(_DE), year, F.lit("at")),
+        F.concat(F.lit("30 February "), year), F.concat_ws(" ", F.lit("Marzo"), day, year), F.concat(day, name(_EN), year),
+    )
+    return t.select("t", F.posexplode(forms).alias("form", "x")).select(F.col("t").cast("string").alias("t"), F.col("form").cast("long").alias("form"), "x", dates.month_name_date(F.col("x")).cast("string").alias("day"))
 
 
 @query("""SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(word, 'ß', '?'), 'ẞ', '?'))), '[^a-z0-9]+', ' ', 'g')) AS alias_key FROM (SELECT doc_id, text AS word FROM documents)""")
@@ -123,12 +159,13 @@ def sha_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return s.read(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), n.alias("n_bytes"), shown.alias("size"))
 
 
-TOKENS = ["plain", "with space", "a.b-c_D9", "x" * 81, "", "é"]
+TOKENS = ["plain", "with space", "a.b-c_D9", "x" * 81, "", "é", "a..b", "-a", None]
 
 
-@query(_table([(t, t if t in ("plain", "a.b-c_D9") else "redacted", t == "plain" or set(t) == {"x"}) for t in TOKENS], "x, safe, canonical", ["VARCHAR", "VARCHAR", "BOOLEAN"]))
+@query(f"""WITH {_tokens_sql(TOKENS)} SELECT x, n, CASE WHEN length(x) BETWEEN 1 AND 80 AND translate(lower(x), 'abcdefghijklmnopqrstuvwxyz0123456789._-', '') = '' AND length(x) = strlen(x) THEN x ELSE 'redacted' END AS safe,
+  len(list_filter(string_split_regex(x, '[._-]'), lambda p: p = '' OR translate(p, 'abcdefghijklmnopqrstuvwxyz0123456789', '') <> '')) = 0 AS canonical FROM t""")
 def safe_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, TOKENS).select("x", text.safe_token(F.col("x")).alias("safe"), text.is_canonical_id(F.col("x")).alias("canonical"))
+    return _tokens(spark, d, TOKENS).select("x", "n", text.safe_token(F.col("x")).alias("safe"), text.is_canonical_id(F.col("x")).alias("canonical"))
 
 
 _NAMES = {"plasma": "plasma", "serum": "serum|sérum|serumas", "urine": "urine|urin|orina|urina", "blood": "blood|whole blood|blut|vollblut|sang|sangue|bloed|krew|kraujas|kraujo"}
@@ -145,12 +182,13 @@ def specimen_from_text(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", "i", text.specimen(F.col("x")).alias("specimen"))
 
 
-VERSIONS = [("1.2.3", "1.10.0", True), ("2.0.0", "1.9.9", False), ("1.0.0", "1.0.0", False)]
-
-
-@query(_table(VERSIONS, "a, b, older", ["VARCHAR", "VARCHAR", "BOOLEAN"]))
+@query("""WITH v AS (SELECT p_partkey, p_partkey % 3 || '.' || p_size || '.' || p_partkey % 12 || CASE WHEN p_partkey % 7 = 0 THEN '-rc.1' ELSE '' END AS a, p_partkey % 2 || '.' || (p_size + p_partkey) % 50 || '.' || p_partkey % 11 AS b, [p_partkey % 3, p_size, p_partkey % 12] AS la, [p_partkey % 2, (p_size + p_partkey) % 50, p_partkey % 11] AS lb FROM part)
+SELECT p_partkey, a, b, la[1] < lb[1] OR (la[1] = lb[1] AND (la[2] < lb[2] OR (la[2] = lb[2] AND la[3] < lb[3]))) AS older FROM v""")
 def version_order(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([r[:2] for r in VERSIONS], "a string, b string").select("a", "b", (text.version_triple(F.col("a")) < text.version_triple(F.col("b"))).alias("older"))
+    k, size, t = F.col("p_partkey"), F.col("p_size"), lambda c: c.cast("string")
+    a = F.concat(F.concat_ws(".", t(k % 3), t(size), t(k % 12)), F.when(k % 7 == 0, "-rc.1").otherwise(""))
+    v = s.read(spark, d, "part").select("p_partkey", a.alias("a"), F.concat_ws(".", t(k % 2), t((size + k) % 50), t(k % 11)).alias("b"))
+    return v.select("p_partkey", "a", "b", (text.version_triple(F.col("a")) < text.version_triple(F.col("b"))).alias("older"))
 
 
 @query("""SELECT p_partkey, round(greatest(0, least((p_size + 10) / 60.0, 0.6) - greatest(p_size / 60.0, 0.3)), 9) AS shared, round(greatest(0, greatest(p_size / 60.0, 0.3) - least((p_size + 10) / 60.0, 0.6)), 9) AS apart,
