@@ -112,13 +112,20 @@ def associated(rows: DataFrame) -> DataFrame:
     return kept.where(F.col("n_values").isNotNull())
 
 
+def whole_json(text: Column) -> Column:
+    """The variant that a text says as a whole; null for one with anything behind it, which the parser alone would pass over."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    alone = (F.size(listed) == 1) & F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_parse_json(text))
+
+
 def decoded_answers(answers: DataFrame, raw: str) -> DataFrame:
     """answers with `error` (null if there is none) and `rows`, an array of structs of ANSWER_FIELDS; an answer counts as a whole or not at all.
 
     It must be a JSON object with `rows` only, at most MOST_ROWS objects with just ANSWER_FIELDS, each a string of at most LONGEST_FIELD characters or
     null; the label is not blank. Fields are trimmed, blank ones null. A null answer and one with a key twice are malformed.
     """
-    whole = answers.withColumn("_v", F.try_parse_json(raw))
+    whole = answers.withColumn("_v", whole_json(F.col(raw)))
     is_a = lambda v, kind: F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
     keys = lambda m: F.coalesce(F.array_sort(F.map_keys(m)), F.array().cast("array<string>"))
     top = F.try_variant_get("_v", "$", "map<string,variant>")

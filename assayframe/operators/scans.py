@@ -95,6 +95,19 @@ def units_in_order(rows: DataFrame, keys: list[str], order: list[str], unit: str
     return listed.select(*keys, F.transform("_l", lambda r: r["_unit"]).alias("suggested"), rest.alias("others"))
 
 
+def locale_key(text: Column, locale: str = "UNICODE") -> Column:
+    """text so that it is sorted and compared as people of that locale do; without it strings are in the order of their code points."""
+    return F.collate(text, locale)
+
+
+def ends_of_order(rows: DataFrame, keys: list[str], text: str, locale: str = "UNICODE") -> DataFrame:
+    """(keys, first_local, last_local, first_code, last_code): the ends of a group's texts in both orders; texts that the locale holds equal are told apart by code points."""
+    w = F.col(text).cast("string")
+    pair = F.struct(locale_key(w, locale).alias("k"), w.alias("w"))
+    found = rows.groupBy(*keys).agg(F.min(pair).alias("a"), F.max(pair).alias("b"), F.min(w).alias("first_code"), F.max(w).alias("last_code"))
+    return found.select(*keys, F.col("a.w").alias("first_local"), F.col("b.w").alias("last_local"), "first_code", "last_code")
+
+
 def grant_purchases(grants: DataFrame, purchases: DataFrame) -> DataFrame:
     """grants (source) with the purchase (transaction_id) whose id follows `grant:` in it, up to the next colon; an equi-join on the id taken out."""
     with_id = grants.withColumn("transaction_id", F.regexp_extract("source", "^grant:([^:]+):", 1))

@@ -31,9 +31,11 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
 
 
 def truncated_array(rows: DataFrame, text_col: str, schema: str) -> DataFrame:
-    """rows with `items`: the complete objects of a JSON array that may break off; flat objects, as a row grammar writes them."""
-    objects = F.regexp_extract_all(F.col(text_col), F.lit(r"\{[^{}]*\}"), F.lit(0))
-    return rows.withColumn("items", F.filter(F.transform(objects, lambda o: F.from_json(o, schema)), lambda r: r.isNotNull()))
+    """rows with `items`: the complete objects of a JSON array that may break off, whatever is nested or quoted in them."""
+    from ..operators.recovery import complete_objects
+
+    parsed = F.transform(complete_objects(F.col(text_col)), lambda o: F.from_json(o, schema))
+    return rows.withColumn("items", F.filter(parsed, lambda r: r.isNotNull()))
 
 
 def word_boxes(spark: SparkSession, path: str) -> DataFrame:
