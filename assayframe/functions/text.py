@@ -71,7 +71,8 @@ def csv_cell(text: Column) -> Column:
 
 def file_size(size: Column) -> Column:
     """Bytes as B, KB or MB, by 1024, with one decimal from KB on."""
-    return F.when(size.isNull() | (size < 0), F.lit(None)).when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.concat(F.format_number(size / 1024, "0.0"), F.lit(" KB"))).otherwise(F.concat(F.format_number(size / 1024 / 1024, "0.0"), F.lit(" MB")))
+    shown = lambda n, unit: F.concat(F.format_string("%.1f", n), F.lit(f" {unit}"))
+    return F.when(size < 0, F.lit(None)).when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, shown(size / 1024, "KB")).when(size.isNotNull(), shown(size / 1024 / 1024, "MB"))
 
 
 # Words for specimens in the languages of reports.

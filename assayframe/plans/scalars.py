@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geometry, numbers, text
+from ..sources import readers
 from . import standins as s
 from .registry import Registry
 
@@ -100,7 +101,8 @@ def _dates_sql() -> str:
 g AS (SELECT x, sum(n)::BIGINT AS n FROM w GROUP BY 1), l AS (SELECT x, n, unnest({LOCALES!r}) AS locale, string_split_regex(trim(x), '[./-]') AS p FROM g), k AS (SELECT *, {number(1)} AS a, {number(2)} AS b, {number(3)} AS c, {part(1)} AS ha, {part(2)} AS hb, {part(3)} AS hc FROM l)
 SELECT x, n, locale, CAST(CASE WHEN {whole} THEN CASE WHEN length(CAST(a AS VARCHAR)) = 4 THEN {full("a", "b", "c")} WHEN a > 12 THEN {full("c", "b", "a")} WHEN b > 12 THEN {full("c", "a", "b")} WHEN {us} THEN {full("c", "a", "b")} ELSE {full("c", "b", "a")} END END AS VARCHAR) AS lab,
   CAST(CASE WHEN {whole} THEN CASE WHEN length(CAST(a AS VARCHAR)) = 4 THEN {full("a", "b", "c")} WHEN {us} THEN {full("c", "a", "b")} ELSE {full("c", "b", "a")} END END AS VARCHAR) AS typed,
-  CAST(CASE WHEN ha >= 1000 THEN {of("ha", "hb", "hc")} WHEN hc >= 1000 AND contains(x, '/') THEN CASE WHEN locale = 'en-US' THEN {of("hc", "ha", "hb")} WHEN locale IN ('lt-LT', 'de-DE', 'de-CH') THEN {of("hc", "hb", "ha")} END WHEN hc >= 1000 THEN {of("hc", "hb", "ha")} END AS VARCHAR) AS header FROM k"""
+  CAST(CASE WHEN ha >= 1000 THEN {of("ha", "hb", "hc")} WHEN hc >= 1000 AND contains(x, '/') THEN CASE WHEN locale = 'en-US' THEN {of("hc", "ha", "hb")} WHEN locale IN ('lt-LT', 'de-DE', 'de-CH') THEN {of("hc", "hb", "ha")} END WHEN hc >= 1000 THEN {of("hc", "hb", "ha")} END AS VARCHAR) AS header,
+  CAST(CASE WHEN regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST(x AS DATE) END AS VARCHAR) AS strict, coalesce({whole} AND a <= 12 AND b <= 12 AND length(CAST(a AS VARCHAR)) < 4, false) AS ambiguous FROM k"""
 
 
 @query(f"WITH {_dates_sql()}")
@@ -110,7 +112,7 @@ def parse_date(spark: SparkSession, d: str) -> DataFrame:
     days = s.read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
     said = days.select(F.explode(F.array(*[F.date_format("day", f) for f in _DAYS])).alias("x"), "n")
     each = _tokens(spark, d, DATES).unionByName(said).groupBy("x").agg(F.sum("n").alias("n")).withColumn("locale", F.explode(F.array(*[F.lit(v) for v in LOCALES])))
-    return each.select("x", "n", "locale", dates.lab_date(x, locale).cast("string").alias("lab"), dates.typed_date(x, locale).cast("string").alias("typed"), dates.header_date(x, locale).cast("string").alias("header"))
+    return each.select("x", "n", "locale", dates.lab_date(x, locale).cast("string").alias("lab"), dates.typed_date(x, locale).cast("string").alias("typed"), dates.header_date(x, locale).cast("string").alias("header"), dates.iso_date(x).cast("string").alias("strict"), F.coalesce(dates.ambiguous_date(x, F.lit(None).cast("string")), F.lit(False)).alias("ambiguous"))
 
 
 _EN = "January February March April May June July August September October November December".split()
@@ -152,11 +154,33 @@ def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     return s.read(spark, d, "nation").select("n_nationkey", text.canonical_json(F.col("n_nationkey").alias("key"), name.alias("name"), F.col("n_regionkey").alias("region")).alias("json"))
 
 
-@query("""SELECT doc_id, sha256(text) AS sha, strlen(text) AS n_bytes, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE printf('%.1f', round(strlen(text) / 1024, 1)) || ' KB' END AS size FROM documents""")
+@query("""SELECT doc_id, sha256(text) AS sha, strlen(text) AS n_bytes, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' WHEN strlen(text) < 1048576 THEN printf('%.1f', round(strlen(text) / 1024, 1)) || ' KB' ELSE printf('%.1f', round(strlen(text) / 1048576, 1)) || ' MB' END AS size FROM documents""")
 def sha_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     n = F.octet_length("text").cast("long")
-    shown = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", F.round(n / 1024, 1)), F.lit(" KB")))
-    return s.read(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), n.alias("n_bytes"), shown.alias("size"))
+    return s.read(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), n.alias("n_bytes"), text.file_size(n).alias("size"))
+
+
+@query(f"""WITH {s.MEASUREMENTS} SELECT record_id, measurement_id, CASE kind WHEN 'categorical' THEN flag ELSE CASE kind WHEN 'bounded' THEN '<' ELSE '' END || CASE WHEN line % 2 = 0 THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE CAST(CAST(num AS BIGINT) AS VARCHAR) || '.25' END END AS shown FROM measurements""")
+def measurement_texts(spark: SparkSession, d: str) -> DataFrame:
+    num = F.col("num") + F.when(F.col("line") % 2 == 0, 0.0).otherwise(0.25)
+    return s.measurements(spark, d).select("record_id", "measurement_id", numbers.value_text(F.col("kind"), F.lit("<"), num.cast("double"), F.col("flag")).alias("shown"))
+
+
+@query("""SELECT p_partkey, round(p_size / 100.0 + 0.4 * (p_partkey % 5) / length(p_name), 9) AS x, round(0.4 * 3 / length(p_name), 9) AS width FROM part""")
+def part_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Three characters of a name in the box of the whole."""
+    start = F.col("p_partkey") % 5
+    box = geometry.part_of_box(F.col("p_size") / 100.0, F.lit(0.4), start, start + 3, F.length("p_name"))
+    return s.read(spark, d, "part").select("p_partkey", F.round(box["x"], 9).alias("x"), F.round(box["width"], 9).alias("width"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 1""")
+def bound_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts of orders of which a third are unchanged, a third changed and a third not expected at all."""
+    o, k = s.read(spark, d, "orders"), F.col("o_orderkey")
+    made = o.withColumn("digest", F.sha2(F.col("o_orderpriority").cast("binary"), 256))
+    expected = o.where(k % 3 != 0).select("o_orderkey", F.sha2(F.when(k % 3 == 1, F.col("o_orderpriority")).otherwise("other").cast("binary"), 256).alias("digest"))
+    return readers.bound_to(made, expected, "o_orderkey", "digest").select("o_orderkey", "o_orderpriority")
 
 
 TOKENS = ["plain", "with space", "a.b-c_D9", "x" * 81, "", "é", "a..b", "-a", None]
