@@ -7,7 +7,8 @@ the texts themselves decide.
 
 A bucket of a band yields the spanning forest of its most similar pairs, and a large one is dealt out over tiles, as in `simhash`. Signatures
 are joined only to keys that occur more than once. The texts may refuse an edge of a forest whose ends a pair beside it would have connected. So
-the links that hold are followed to their components, and then every doubtful pair of a bucket is decided whose ends these leave apart.
+the links that hold are followed to their components, and in buckets that these leave apart every doubtful pair of two components is decided, by the hashes
+of the texts' shingles, where the bucket's rows are. A link joins its components at once, so a bucket gives fewer links than it has rows.
 """
 
 from __future__ import annotations
@@ -135,8 +136,70 @@ def close_links(docs: DataFrame, signed: DataFrame, similarity: float, width: in
     named = durable(named)
     members = keyed.join(large, "key").join(named.select("text_hash", "grp"), "text_hash")
     apart = table(members.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.first("n").alias("n")).where("g0 <> g1").select("key", "n"), "apart")
-    rest = _candidates(named, keyed, apart, need, below=sure).distinct().join(doubtful.select("a", "b"), ["a", "b"], "left_anti")
-    return links.unionAll(_close_enough(docs, durable(rest), similarity, width))
+    # First by signatures alone: most rows of such buckets have no doubtful partner, and need no shingles.
+    doubting = table(_doubting(_tiled(named, keyed, apart, "grp"), need, sure).distinct(), "doubting")
+    wanted = table(doubting.select("text_hash").distinct(), "wanted")
+    sets = table(shingle_sets(docs.withColumn("h", F.xxhash64("text")).join(wanted, F.col("h") == F.col("text_hash"), "left_semi").dropDuplicates(["h"]), width), "shingles")
+    few = doubting.groupBy("key").agg(F.count("*").alias("n"))
+    return links.unionAll(_links_apart(_tiled(named.join(sets, "text_hash"), doubting, few, "grp", "shingles"), similarity, need, sure))
+
+
+def _doubting(tiled: DataFrame, need: int, sure: int) -> DataFrame:
+    """(text_hash, key): the rows of tiles that agree in need bytes, and in fewer than sure, with a row of another component (grp)."""
+    schema = pa.schema([("text_hash", pa.int64()), ("key", pa.int64())])
+
+    def run(tile: pa.Table) -> pa.Table:
+        grp = tile.column("grp").to_numpy()
+        sigs = np.frombuffer(b"".join(tile.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        odd = np.zeros(len(grp), bool)
+        for x in range(len(grp) - 1):
+            others = np.flatnonzero(grp[x + 1 :] != grp[x]) + x + 1
+            agree = np.count_nonzero(sigs[others] == sigs[x], axis=1)
+            close = others[(agree >= need) & (agree < sure)]
+            odd[close] = True
+            odd[x] |= len(close) > 0
+        return pa.table([tile.column("text_hash").filter(pa.array(odd)), tile.column("key").filter(pa.array(odd))], schema=schema)
+
+    return tiled.groupBy("key", "t0", "t1").applyInArrow(run, "text_hash long, key long")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(text_hash, shingles) of docs (h, text): the different hashes of a text's shingles, ascending, eight bytes each."""
+    schema = pa.schema([("text_hash", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record_batch(schema, [batch.column(0), [np.unique(_shingles([t], width)[1]).tobytes() for t in text_bytes(batch.column(1))]])
+
+    return docs.select("h", "text").mapInArrow(run, "text_hash long, shingles binary")
+
+
+def _links_apart(tiled: DataFrame, similarity: float, need: int, sure: int) -> DataFrame:
+    """(a, b): links between the components (grp) of a tile's rows, by the exact similarity of pairs that agree in need bytes and in fewer than sure."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        node, root = tile.column("node").to_numpy(), tile.column("grp").to_numpy().copy()
+        sigs = np.frombuffer(b"".join(tile.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in tile.column("shingles")]
+        links = []
+        for x in range(len(node) - 1):
+            others = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
+            agree = np.count_nonzero(sigs[others] == sigs[x], axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for y, n in zip(others[order].tolist(), agree[order].tolist(), strict=True):
+                if n < need:
+                    break
+                if n >= sure or root[x] == root[y]:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both / max(1, len(sets[x]) + len(sets[y]) - both) >= similarity:
+                    links.append((node[x], node[y]))
+                    root[root == root[y]] = root[x]
+        return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], schema=schema)
+
+    return tiled.groupBy("key", "t0", "t1").applyInArrow(run, "a long, b long")
 
 
 def _keys(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,36 +225,23 @@ def _close_enough(docs: DataFrame, doubtful: DataFrame, similarity: float, width
     return pairs.select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
 
 
-def _apart(edge: np.ndarray, sigs: np.ndarray, grp: np.ndarray, need: int, below: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of both ends of every pair of a bucket that agrees in need bytes, in fewer than below, and is of two groups."""
-    starts = np.flatnonzero(edge)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(edge)], strict=True):
-        for x in range(at, end - 1):
-            others = np.flatnonzero(grp[x + 1 : end] != grp[x]) + x + 1
-            agree = np.count_nonzero(sigs[others] == sigs[x], axis=1)
-            others = others[(agree >= need) & (agree < below)]
-            left.append(np.full(len(others), x))
-            right.append(others)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _candidates(signed: DataFrame, keyed: DataFrame, counts: DataFrame, need: int, below: int | None = None) -> DataFrame:
-    """(a, b, ta, tb, agree): pairs of nodes, their texts' hashes and the number of bytes in common, need at least; from the buckets of counts (key, n).
-
-    They connect what is connected at need. With below, they are all pairs under below whose grp in signed differs.
-    """
-    bounded_batches(signed.sparkSession)
-    grp = "grp" if below is not None else "node"
+def _tiled(signed: DataFrame, keyed: DataFrame, counts: DataFrame, *more: str) -> DataFrame:
+    """(key, t0, t1, node, text_hash, sig, more...): the rows of the buckets of counts (key, n), a large bucket's once for each pair of its chunks with theirs."""
     shared = counts.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("chunks"))
     mine = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("text_hash"), F.col("chunks").cast("long")).cast("int")).otherwise(0)
-    tiled = (
+    return (
         keyed.join(shared, "key")
         .withColumn("mine", mine)
         .join(signed, "text_hash")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("mine", "other").alias("t0"), F.greatest("mine", "other").alias("t1"), "node", "text_hash", "sig", F.col(grp).alias("grp"))
+        .select("key", F.least("mine", "other").alias("t0"), F.greatest("mine", "other").alias("t1"), "node", "text_hash", "sig", *more)
     )
+
+
+def _candidates(signed: DataFrame, keyed: DataFrame, counts: DataFrame, need: int) -> DataFrame:
+    """(a, b, ta, tb, agree): pairs of nodes, their texts' hashes and the number of bytes in common, need at least; from the buckets of counts (key, n)."""
+    bounded_batches(signed.sparkSession)
+    tiled = _tiled(signed, keyed, counts)
     keys = ["key", "t0", "t1"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("agree", pa.int64())])
 
@@ -203,8 +253,8 @@ def _candidates(signed: DataFrame, keyed: DataFrame, counts: DataFrame, need: in
             edge[1:] = False
             for c in columns[:3]:
                 edge[1:] |= c[1:] != c[:-1]
-            node, text, group, sigs = columns[3:]
-            left, right = _bucket_links(edge, sigs, need) if below is None else _apart(edge, sigs, group, need, below)
+            node, text, sigs = columns[3:]
+            left, right = _bucket_links(edge, sigs, need)
             other = node[left] != node[right]
             left, right = left[other], right[other]
             left, right = np.where(text[left] < text[right], left, right), np.where(text[left] < text[right], right, left)
@@ -214,7 +264,7 @@ def _candidates(signed: DataFrame, keyed: DataFrame, counts: DataFrame, need: in
             if not batch.num_rows:
                 continue
             sigs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
-            columns = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 6)), sigs]
+            columns = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), sigs]
             if kept is not None:
                 columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)]
             differs = np.zeros(len(columns[0]), bool)
