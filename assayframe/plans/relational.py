@@ -245,7 +245,7 @@ def fold_clusters(spark: SparkSession, d: str) -> DataFrame:
   SELECT d.user_id, d.day, d.pos, d.event_id, CASE WHEN abs(d.value - f.mean) <= 12 THEN (f.mean * f.k + d.value) / (f.k + 1) ELSE d.value END, CASE WHEN abs(d.value - f.mean) <= 12 THEN f.k + 1 ELSE 1 END, CASE WHEN abs(d.value - f.mean) <= 12 THEN f.line ELSE f.line + 1 END
   FROM f JOIN d ON d.user_id = f.user_id AND d.day = f.day AND d.pos = f.pos + 1) SELECT user_id, day, event_id, line FROM f""")
 def running_mean_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.running_mean_lines(_day(spark, d), ["user_id", "day"], "value", "height", "event_id", 12.0).select("user_id", "day", "event_id", "line")
+    return clustering.running_mean_lines(_day(spark, d), ["user_id", "day"], "value", "event_id", 12.0).select("user_id", "day", "event_id", "line")
 
 
 @query(f"""WITH RECURSIVE {_DAY}, f AS (SELECT user_id, day, pos, event_id, value AS anchor, 1 AS col FROM d WHERE pos = 1 UNION ALL
@@ -255,6 +255,23 @@ def column_anchors(spark: SparkSession, d: str) -> DataFrame:
     return clustering.running_midpoint_anchors(_day(spark, d).drop("height"), ["user_id", "day"], "value", "event_id", 12.0, "col").select("user_id", "day", "event_id", "col")
 
 
+@query(f"""WITH RECURSIVE {_DAY}, h AS (SELECT *, greatest(1.25, (5 + event_id % 40) * 0.35) AS reach FROM d), f AS (SELECT user_id, day, pos, event_id, [value] AS sums, [1] AS ns, 1::BIGINT AS line FROM h WHERE pos = 1 UNION ALL
+  SELECT user_id, day, pos, event_id, CASE WHEN i = 0 THEN list_append(sums, value) ELSE list_transform(range(1, len(sums) + 1), lambda k: sums[k] + CASE WHEN k = i THEN value ELSE 0 END) END, CASE WHEN i = 0 THEN list_append(ns, 1) ELSE list_transform(range(1, len(ns) + 1), lambda k: ns[k] + CASE WHEN k = i THEN 1 ELSE 0 END) END, CASE WHEN i = 0 THEN len(ns) + 1 ELSE i END
+  FROM (SELECT h.user_id, h.day, h.pos, h.event_id, h.value, f.sums, f.ns, coalesce(list_position(list_transform(range(1, len(f.ns) + 1), lambda k: abs(f.sums[k] / f.ns[k] - h.value) <= h.reach), TRUE), 0)::BIGINT AS i FROM f JOIN h ON h.user_id = f.user_id AND h.day = f.day AND h.pos = f.pos + 1))
+SELECT user_id, day, event_id, line FROM f""")
+def mean_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _day(spark, d).withColumn("height", (F.col("event_id") % 40 + 5).cast("double"))
+    return clustering.mean_rows(rows, ["user_id", "day"], "value", "height", "event_id").select("user_id", "day", "event_id", "line")
+
+
+@query(f"""WITH RECURSIVE {_DAY}, f AS (SELECT user_id, day, pos, event_id, value, value AS anchor, 1 AS col FROM d WHERE pos = 1 UNION ALL
+  SELECT d.user_id, d.day, d.pos, d.event_id, d.value, CASE WHEN abs(d.value - f.anchor) <= 12 THEN (f.anchor + d.value) / 2 ELSE d.value END, CASE WHEN abs(d.value - f.anchor) <= 12 THEN f.col ELSE f.col + 1 END
+  FROM f JOIN d ON d.user_id = f.user_id AND d.day = f.day AND d.pos = f.pos + 1), e AS (SELECT user_id, day, col, arg_max(anchor, pos) AS anchor FROM f GROUP BY 1, 2, 3)
+SELECT f.user_id, f.day, event_id, CAST(arg_min(e.col, struct_pack(far := abs(value - e.anchor), col := e.col)) - 1 AS BIGINT) AS col FROM f JOIN e ON e.user_id = f.user_id AND e.day = f.day GROUP BY 1, 2, 3""")
+def nearest_columns(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.nearest_anchors(_day(spark, d).drop("height"), ["user_id", "day"], "value", "event_id", 12.0, "col").select("user_id", "day", "event_id", "col")
+
+
 @query("""SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS local_date, count(*) AS n, arg_max(event_id, ts) AS latest FROM events GROUP BY 1, 2""")
 def events_by_local_day(spark: SparkSession, d: str) -> DataFrame:
     e = s.events(spark, d).withColumn("local_date", F.to_date("ts").cast("string"))
