@@ -95,6 +95,13 @@ def units_in_order(rows: DataFrame, keys: list[str], order: list[str], unit: str
     return listed.select(*keys, F.transform("_l", lambda r: r["_unit"]).alias("suggested"), rest.alias("others"))
 
 
+def metadata_by_id(asked: DataFrame, measurements: DataFrame, records: DataFrame, of_measurement: list[str], of_record: list[str]) -> DataFrame:
+    """asked (measurement_id) with the record that has the measurement and the columns named of both; of several with the id, that of the first record counts. Null for an unknown or null id."""
+    first = measurements.groupBy("measurement_id").agg(F.min_by(F.struct("record_id", *of_measurement), F.struct("record_id", "measurement_ordinal")).alias("_m"))
+    held = first.select("measurement_id", "_m.*").join(records.select("record_id", *of_record), "record_id", "left")
+    return asked.join(held, "measurement_id", "left")
+
+
 def locale_key(text: Column, locale: str = "UNICODE") -> Column:
     """text so that it is sorted and compared as people of that locale do; without it strings are in the order of their code points."""
     return F.collate(text, locale)
