@@ -128,14 +128,17 @@ def close_links(docs: DataFrame, signed: DataFrame, similarity: float, width: in
     found = durable(_candidates(signed, keyed, counts.where("n > 1"), need).distinct())
     doubtful = found.where(F.col("agree") < sure)
     links = durable(found.where(F.col("agree") >= sure).select("a", "b").unionAll(_close_enough(docs, doubtful, similarity, width)))
-    # In buckets of up to SMALL rows every pair has been decided.
+    # In buckets of up to SMALL rows every pair has been decided; from here on only rows of larger ones are looked at.
     large = table(counts.where(F.col("n") > SMALL), "large_buckets")
     if large.isEmpty():
         return links
-    named = signed.join(connected_components(links).withColumnRenamed("component", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    named = durable(named)
-    members = keyed.join(large, "key").join(named.select("text_hash", "grp"), "text_hash")
-    apart = table(members.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.first("n").alias("n")).where("g0 <> g1").select("key", "n"), "apart")
+    members = table(keyed.join(large, "key"), "members")
+    labels = connected_components(links).withColumnRenamed("component", "grp")
+    of_large = signed.join(members.select("text_hash").distinct(), "text_hash", "left_semi")
+    named = durable(of_large.join(labels, "node", "left").withColumn("grp", F.coalesce("grp", "node")))
+    spread = members.join(named.select("text_hash", "grp"), "text_hash").groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.first("n").alias("n"))
+    apart = table(spread.where("g0 <> g1").select("key", "n"), "apart")
+    keyed = members.select("text_hash", "key")
     # First by signatures alone: most rows of such buckets have no doubtful partner, and need no shingles.
     doubting = table(_doubting(_tiled(named, keyed, apart, "grp"), need, sure).distinct(), "doubting")
     wanted = table(doubting.select("text_hash").distinct(), "wanted")
