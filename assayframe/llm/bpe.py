@@ -17,7 +17,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -101,6 +101,9 @@ class Remembered:
             self.known, self.older, self.size = {}, self.known, 0
         self.known[word] = value
 
+    def forget(self) -> None:
+        self.known, self.older, self.size = {}, {}, 0
+
 
 def _normalized(text: str) -> str:
     """NFC and lower case by Python's Unicode data; a sigma's place in its word doesn't count."""
@@ -262,6 +265,32 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
+def there_and_back(bpe: WordBpe, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, text) of batches (doc_id, text); at the end the encoder forgets its words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+    try:
+        for batch in batches:
+            ids = [bpe.encode(t.as_py()) for t in batch.column(1)]
+            yield record_batch(schema, [batch.column(0), ids, [bpe.decode(x) for x in ids]])
+    finally:
+        bpe.words.forget()
+        pa.default_memory_pool().release_unused()
+
+
+def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, text): decode(encode(docs)) by one worker a task, which forgets its words when the task ends.
+
+    Spark keeps idle workers for a minute, with what they hold; so a job that goes on to other work has their memory for that.
+    """
+    bounded_batches(docs.sparkSession)
+    model = Shipped(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from there_and_back(model.get(), batches)
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, text): the text of each row's ids.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import bounded_batches, durable, id_and_text, record_batch, text_bytes
+from .common import bounded_batches, durable, id_and_text, record_batch, table, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -141,19 +141,24 @@ def close_links(distinct: DataFrame, max_bits: int, agree: int = 2) -> DataFrame
     masks, finer = block_masks(max_bits, agree), finer_masks(max_bits, agree)
     key = lambda i, m: F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
     rows = distinct.select("fp", F.explode(F.array(*[key(i, m) for i, m in enumerate(masks)])).alias("k")).select("k.pair", "k.bits", "fp")
-    large = rows.groupBy("pair", "bits").count().where(F.col("count") > TILE).select("pair", "bits", F.lit(True).alias("large"))
-    dealt = rows.join(large, ["pair", "bits"], "left")
-    of_pair = F.get(F.array(*[F.array(*[F.lit(m) for m in more]) for more in finer]), F.col("pair"))
-    numbered = F.transform(of_pair, lambda m, i: F.struct((F.lit(len(masks)) + F.col("pair") * len(finer[0]) + i).cast("int").alias("pair"), F.col("fp").bitwiseAND(m).alias("bits")))
-    split = dealt.where("large").select("fp", F.explode(numbered).alias("k")).select("k.pair", "k.bits", "fp")
-    still = split.groupBy("pair", "bits").count().where(F.col("count") > TILE).select("pair", "bits", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks").cast("long")).cast("int")
-    tiled = (
-        split.join(still, ["pair", "bits"], "left")
-        .withColumn("mine", F.coalesce(mine, F.lit(0)))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
-        .select("pair", "bits", F.least("mine", "other").alias("t0"), F.greatest("mine", "other").alias("t1"), "fp")
-    ).unionAll(dealt.where("large is null").select("pair", "bits", F.lit(0).alias("t0"), F.lit(0).alias("t1"), "fp"))
+    whole = lambda df: df.select("pair", "bits", F.lit(0).alias("t0"), F.lit(0).alias("t1"), "fp")
+    # Written, as are the finer ones: buckets are counted once, and where few are large the rows meet them without a shuffle.
+    large = table(rows.groupBy("pair", "bits").count().where(F.col("count") > TILE).select("pair", "bits"), "large")
+    if large.isEmpty():
+        tiled = whole(rows)
+    else:
+        dealt = rows.join(large.withColumn("large", F.lit(True)), ["pair", "bits"], "left")
+        of_pair = F.get(F.array(*[F.array(*[F.lit(m) for m in more]) for more in finer]), F.col("pair"))
+        numbered = F.transform(of_pair, lambda m, i: F.struct((F.lit(len(masks)) + F.col("pair") * len(finer[0]) + i).cast("int").alias("pair"), F.col("fp").bitwiseAND(m).alias("bits")))
+        split = dealt.where("large").select("fp", F.explode(numbered).alias("k")).select("k.pair", "k.bits", "fp")
+        still = table(split.groupBy("pair", "bits").count().where(F.col("count") > TILE).select("pair", "bits", F.ceil(F.col("count") / TILE).cast("int").alias("chunks")), "still_large")
+        mine = F.pmod(F.xxhash64("fp"), F.col("chunks").cast("long")).cast("int")
+        tiled = (
+            split.join(still, ["pair", "bits"], "left")
+            .withColumn("mine", F.coalesce(mine, F.lit(0)))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
+            .select("pair", "bits", F.least("mine", "other").alias("t0"), F.greatest("mine", "other").alias("t1"), "fp")
+        ).unionAll(whole(dealt.where("large is null")))
     keys = ["pair", "bits", "t0", "t1"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -112,6 +113,15 @@ def test_close_links_find_every_component(spark, monkeypatch, bits, agree, tile)
     assert [got.get(f, f) for f in signed] == _brute_components(unsigned, signed, bits)
 
 
+def test_close_links_count_buckets_once(spark, monkeypatch):
+    """Rows are shuffled once to count buckets, where few are large, and once to their buckets."""
+    fps = spark.range(1 << 10).select(F.xxhash64("id").alias("fp")).unionAll(spark.range(1 << 10).select((F.col("id") * 64).alias("fp")))
+    for tile in (2048, 100):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        plan = simhash.close_links(fps, 6, 3)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 1
+
+
 def test_keep_one(docs):
     docs = docs.select("*", *[F.lit("x").alias(c) for c in ("_id", "_hash", "key_id", "key_hash", "text_hash")])
     kept = simhash.keep_one(docs, width=4).collect()
@@ -297,6 +307,28 @@ def test_bpe_equals_the_library(spark, monkeypatch):
     assert [small.encode(t) for _, t in _rows(df)] == [np.array(w[1], "<u4").tobytes() for w in want]
 
 
+def test_round_trip_is_one_worker_a_task_that_keeps_nothing(spark):
+    import corpus_pipeline
+
+    path = tokenizer_path(WORD_BPE)
+    df = _clashing(_docs(spark, _odd()))
+    want = [(r.doc_id, bytes(r.ids), r.text) for r in bpe.decode(bpe.encode(df, path), path).collect()]
+    _same([(r.doc_id, bytes(r.ids), r.text) for r in bpe.round_trip(df, path).collect()], want)
+    assert bpe.round_trip(df.limit(0), path).count() == 0
+    plan = corpus_pipeline.encode_and_decode(spark, df, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    own = bpe.WordBpe(open(path, "rb").read(), ("[\u0600]", "[\U00010600]"))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["plain words", ""])], names=["doc_id", "text"])
+    out = list(bpe.there_and_back(own, [batch]))
+    assert out[0].column(1).to_pylist() == [own.encode("plain words"), b""]
+    own.words.forget()
+    trip = bpe.there_and_back(own, [batch, batch])
+    next(trip)
+    assert own.words.known
+    trip.close()  # a task that ends early forgets as well
+    assert not own.words.known and not own.words.older and not own.words.size
+
+
 def test_bpe_equals_the_library_for_characters_of_every_kind():
     """Where Unicode versions may differ every code point, of the others some."""
     from tokenizers import Tokenizer
