@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -85,9 +86,10 @@ def byte_symbols() -> list[str]:
 
 
 class Remembered:
-    """A table of words that forgets: two generations, each of REMEMBERED_BYTES at most."""
+    """A table of words that forgets: two generations, each of REMEMBERED_BYTES at most, or of that many times over."""
 
-    def __init__(self):
+    def __init__(self, times: float = 1):
+        self.times = times
         self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}
         self.size = 0
@@ -97,7 +99,7 @@ class Remembered:
         if len(word) > LONGEST_REMEMBERED:
             return
         self.size += 4 * len(word) + size + ENTRY_BYTES
-        if self.size > REMEMBERED_BYTES:
+        if self.size > self.times * REMEMBERED_BYTES:
             self.known, self.older, self.size = {}, self.known, 0
         self.known[word] = value
 
@@ -105,6 +107,14 @@ class Remembered:
         self.known, self.older, self.size = {}, {}, 0
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(LONGEST_REMEMBERED)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """ids as little-endian 32-bit numbers."""
+    return _PACK[len(ids)](*ids) if len(ids) < LONGEST_REMEMBERED else struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _normalized(text: str) -> str:
     """NFC and lower case by Python's Unicode data; a sigma's place in its word doesn't count."""
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -121,7 +131,7 @@ def _cutter(content: bytes):
 
 def doubtful_characters(content: bytes) -> tuple[str, str]:
     """Two character classes, of the basic plane and of the others: code points that Python's Unicode data doesn't know, or that are normalized or cut otherwise
-    than by the library, alone or next to letters and marks."""
+    than by the library, alone or next to letters and marks, or that are letters to one of Python and the pattern only."""
     cutter = _cutter(content)
     normalize, cut, find = cutter.normalizer.normalize_str, cutter.pre_tokenizer.pre_tokenize_str, regex.compile(PATTERN).findall
     space = re.compile(r"\s+")
@@ -141,6 +151,8 @@ def doubtful_characters(content: bytes) -> tuple[str, str]:
             some = codes[k : k + 1000]
             if differ("\n".join(form.format(chr(c)) for c in some)):
                 odd += [c for c in some if differ(form.format(chr(c)))]
+    letter = regex.compile(r"\p{L}").match
+    odd += [c for c in known if chr(c).isalpha() != bool(letter(chr(c)))]
     odd = sorted(set(odd))
     begin = [c for k, c in enumerate(odd) if k == 0 or odd[k - 1] != c - 1 or c == 0x10000]
     end = [c for k, c in enumerate(odd) if k == len(odd) - 1 or odd[k + 1] != c + 1 or c == 0xFFFF]
@@ -188,14 +200,20 @@ class WordBpe:
 
     def _word(self, word: str) -> bytes:
         """The ids, as little-endian 32-bit numbers, of a normalized text without white space."""
+        known = self.words.known
         found = self.words.older.get(word)
         if found is None:
-            if self.careful and not word.isascii():
-                found = np.array([i for p, _ in self.cut(word) for i in self._merged(p)], "<u4").tobytes()
-            elif len(parts := self.find(word)) == 1 and parts[0] == word:
-                found = np.array(self._merged(word.encode().decode("latin-1").translate(self.stand_in)), "<u4").tobytes()
+            if word.isascii() and word.isalpha():  # one pre-token, whose letters stand for themselves
+                found = packed(self._merged(word))
+            elif self.careful and not word.isascii():
+                found = packed([i for p, _ in self.cut(word) for i in self._merged(p)])
+            elif word.isalpha() or ((parts := self.find(word)) and parts[0] == word):
+                found = packed(self._merged(word.encode().decode("latin-1").translate(self.stand_in)))
             else:  # a word between punctuation is most likely known by itself
-                found = b"".join([self.words.known.get(p) or self._word(p) for p in parts])
+                at_once = [known.get(p) for p in parts]
+                if not all(at_once):  # as rare as its rarest part: not worth its place in the table
+                    return b"".join([f or self._word(p) for p, f in zip(parts, at_once, strict=True)])
+                found = b"".join(at_once)
         self.words.add(word, found, len(found))
         return found
 
@@ -215,7 +233,7 @@ class WordBpe:
         if "<|" not in text or not self.at_special:
             return self._plain(text)
         parts = self.at_special.split(text)
-        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in parts)
+        return b"".join(packed([self.special[p]]) if p in self.special else self._plain(p) for p in parts)
 
     def decode(self, ids: bytes) -> str:
         """Vocabulary strings, in the library's way for a file without a decoder: joined by spaces."""

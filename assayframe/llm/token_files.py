@@ -13,16 +13,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Shipped, WordBpe
+from .bpe import Remembered, Shipped, WordBpe, packed
 from .common import bounded_batches, id_and_text, record_batch
 
 
+_ID = attrgetter("id")
+
+
 class LibraryBpe(WordBpe):
     """The same encoder with the library's own merges; what counts here is the files."""
 
@@ -31,16 +35,17 @@ class LibraryBpe(WordBpe):
 
         super().__init__(content, doubtful)
         self.tokenize = Tokenizer.from_str(content.decode()).model.tokenize
+        self.words = Remembered(1.6)  # one worker a task, and no other encoder beside it
 
     def _merged(self, token: str) -> list[int]:
-        return [t.id for t in self.tokenize(token)]
+        return list(map(_ID, self.tokenize(token)))
 
 
 def token_lists(docs: DataFrame, tokenizer: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens array<int>): each text's ids, end_id appended. Rows keep their order."""
     bounded_batches(docs.sparkSession)
     model, schema = Shipped(docs, tokenizer, LibraryBpe), pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    tail = b"" if end_id is None else packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model.get()

@@ -329,6 +329,14 @@ def test_round_trip_is_one_worker_a_task_that_keeps_nothing(spark):
     assert not own.words.known and not own.words.older and not own.words.size
 
 
+def test_words_with_a_rare_part_are_not_remembered():
+    content = open(tokenizer_path(WORD_BPE), "rb").read()
+    own = bpe.WordBpe(content, ("[\u0600]", "[\U00010600]"))
+    first = own.encode("abcxyzq, (abcxyzq) éaé;")
+    assert not {"abcxyzq,", "(abcxyzq)", "éaé;"} & set(own.words.known) and {"abcxyzq", "éaé"} <= set(own.words.known)
+    assert own.encode("abcxyzq, (abcxyzq) éaé;") == first and {"abcxyzq,", "éaé;"} <= set(own.words.known)
+
+
 def test_bpe_equals_the_library_for_characters_of_every_kind():
     """Where Unicode versions may differ every code point, of the others some."""
     from tokenizers import Tokenizer
