@@ -12,23 +12,28 @@ range partitions, and running sums inside each file.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, Shipped, WordBpe, packed
-from .common import bounded_batches, id_and_text, record_batch
+from .bpe import PATTERN, Remembered, Shipped, WordBpe, _normalized, packed
+from .common import BATCH_ROWS, bounded_batches, id_and_text, record_batch
 
+#: Bytes of texts that are encoded together, or one text that is longer: each different word of these is cut once.
+TOGETHER_BYTES = 4 << 20
 
 _ID = attrgetter("id")
+_WORD_END = packed([0xFFFFFFFF])  # no id
 
 
 class LibraryBpe(WordBpe):
-    """The same encoder with the library's own merges; what counts here is the files."""
+    """The same encoder with the library's own merges, for many texts at once; what counts here is the files."""
 
     def __init__(self, content: bytes, doubtful: tuple[str, str] | None = None):
         from tokenizers import Tokenizer
@@ -36,23 +41,87 @@ class LibraryBpe(WordBpe):
         super().__init__(content, doubtful)
         self.tokenize = Tokenizer.from_str(content.decode()).model.tokenize
         self.words = Remembered(1.6)  # one worker a task, and no other encoder beside it
+        self.find_in_lines = regex.compile(PATTERN + r"|\n").findall
 
     def _merged(self, token: str) -> list[int]:
         return list(map(_ID, self.tokenize(token)))
 
+    def _pre_token(self, token: str) -> bytes:
+        found = self.words.older.get(token)
+        if found is None:
+            plain = token.isascii() and token.isprintable()  # letters that stand for themselves
+            found = packed(self._merged(token if plain else token.encode().decode("latin-1").translate(self.stand_in)))
+        self.words.add(token, found, len(found))
+        return found
+
+    def _words(self, words: pa.StringArray) -> pa.ListArray:
+        """The ids of normalized words without ASCII white space."""
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py() + "\n"
+        table = self.words
+        parts = [_WORD_END if p == "\n" else table.known.get(p) or self._pre_token(p) for p in self.find_in_lines(lines)]
+        ids = np.frombuffer(b"".join(parts), "<i4")
+        ends = np.flatnonzero(ids < 0)[: len(words)]
+        return pa.ListArray.from_arrays(np.append(0, ends - np.arange(len(ends))).astype(np.int32), pa.array(ids[ids >= 0]))
+
+    def _normal(self, text: str) -> str | None:
+        """The normalized text; None if it has special tokens, or is left to the library."""
+        if "<|" in text:
+            return None
+        if text.isascii():
+            return text.lower()
+        basic, further, odd = self.doubtful
+        return None if basic(text) or (further(text) and odd(text)) else _normalized(text)
+
+    def encode_all(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text, as encode() has them."""
+        normal = [self._normal(t) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in normal], pa.string()))
+        words = split.values.dictionary_encode()  # other white space is left inside words, where the pattern skips it
+        lists = self._words(words.dictionary).take(words.indices)
+        rows = pa.ListArray.from_arrays(lists.offsets.take(split.offsets), lists.values)
+        apart = [k for k, t in enumerate(normal) if t is None]
+        if not apart:
+            return rows
+        order = np.arange(len(texts))
+        order[apart] = len(texts) + np.arange(len(apart))
+        ids = [np.frombuffer(self.encode(texts[k]), "<i4") for k in apart]
+        return pa.concat_arrays([rows, pa.array(ids, rows.type)]).take(pa.array(order))
+
+
+def put_together(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `size` bytes at most, or one longer row: bytes of the second column's strings, and 64 for each."""
+    some, held = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy() + np.int64(64))
+        at = 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            n = max(int(np.searchsorted(ends, before + size - held, side="right")) - at, 0 if some else 1)
+            if n > 0:
+                some.append(batch.slice(at, n))
+                held += int(ends[at + n - 1]) - before
+                at += n
+            if at < len(ends):  # the next one is too much
+                yield pa.concat_batches(some)
+                some, held = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
 
 def token_lists(docs: DataFrame, tokenizer: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens array<int>): each text's ids, end_id appended. Rows keep their order."""
     bounded_batches(docs.sparkSession)
     model, schema = Shipped(docs, tokenizer, LibraryBpe), pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-    tail = b"" if end_id is None else packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model.get()
-        for batch in batches:
-            parts = [bpe.encode(x.as_py()) + tail for x in batch.column(1)]
-            at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-            yield record_batch(schema, [batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(parts), "<i4")))])
+        for batch in put_together(batches, TOGETHER_BYTES):
+            tokens = bpe.encode_all([t.as_py() for t in batch.column(1)])
+            if end_id is not None:
+                at = tokens.offsets.to_numpy()
+                tokens = pa.ListArray.from_arrays((at + np.arange(len(at))).astype(np.int32), np.insert(tokens.values.to_numpy(), at[1:], end_id))
+            for k in range(0, len(tokens), BATCH_ROWS):
+                yield record_batch(schema, [batch.column(0)[k : k + BATCH_ROWS], tokens[k : k + BATCH_ROWS]])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, tokens array<int>")
 

@@ -390,6 +390,46 @@ def test_token_files_round_trip(spark, tmp_path, encoding):
     token_files.tokenize_to_files(df.limit(0), path, str(tmp_path / f"{encoding}-empty"), end_id=1, encoding=encoding)
 
 
+def test_token_files_encode_texts_together():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(WORD_BPE)
+    lib = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        one = token_files.LibraryBpe(f.read())
+    texts = [t or "" for t in _odd()] + ["", " ", "a\xa0b\u3000c\x85d", "a\x1cb \x1f", "H\u0331 h\u0331 \u0130", "x<|endoftext|>Y z", "<|ENDOFTEXT|>", "\x00\x7f 's I'LL", "\u0378 \U0001e900 A", "z" * 5000]
+    texts = texts + texts[::-1]
+    got = one.encode_all(texts).to_pylist()
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert one.encode_all([]).to_pylist() == [] and one.encode_all(["", ""]).to_pylist() == [[], []]
+    assert one.encode_all(["<|endoftext|>"]).to_pylist() == [[49407]]
+
+
+def test_token_files_merge_each_word_of_texts_once(monkeypatch):
+    with open(tokenizer_path(WORD_BPE), "rb") as f:
+        one = token_files.LibraryBpe(f.read())
+    one.words.times = 0  # forgets at once
+    merged, own = [], one._merged
+    monkeypatch.setattr(one, "_merged", lambda token: merged.append(token) or own(token))
+    assert len(one.encode_all(["Some words in\nSOME order", "order in words"] * 100)) == 200
+    assert sorted(merged) == ["in", "order", "some", "words"]
+
+
+def test_token_files_put_batches_together_in_order():
+    import pyarrow as pa
+
+    texts = ["", "a" * 500, "", "b" * 100, "é" * 40, "c", "d" * 300, "e"] * 3
+    rows = pa.RecordBatch.from_pydict({"id": range(len(texts)), "text": texts})
+    for step in (1, 5, 24):
+        cut = [rows.slice(k, step) for k in range(0, len(texts), step)]
+        for size in (1, 200, 700, 10_000):
+            got = list(token_files.put_together(cut, size))
+            assert pa.Table.from_batches(got).equals(pa.Table.from_batches([rows]))
+            assert all(len(b) == 1 or sum(len(t.encode()) + 64 for t in b["text"].to_pylist()) <= size for b in got)
+            assert size < 10_000 or len(got) == 1
+    assert list(token_files.put_together([], 10)) == [] == list(token_files.put_together([rows.slice(0, 0)], 10))
+
+
 # sharding
 
 
