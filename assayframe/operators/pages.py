@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .dedup import keep_first
 
 # The fields of a row in a model's answer, and the limits of an answer.
@@ -115,8 +116,8 @@ def associated(rows: DataFrame) -> DataFrame:
 def whole_json(text: Column) -> Column:
     """The variant that a text says as a whole; null for one with anything behind it, which the parser alone would pass over."""
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    alone = (F.size(listed) == 1) & F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull()
-    return F.when(alone, F.try_parse_json(text))
+    alone = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull()
+    return let(listed, lambda found: F.when((F.size(found) == 1) & alone, F.get(found, F.lit(0))))
 
 
 def decoded_answers(answers: DataFrame, raw: str) -> DataFrame:
@@ -125,31 +126,31 @@ def decoded_answers(answers: DataFrame, raw: str) -> DataFrame:
     It must be a JSON object with `rows` only, at most MOST_ROWS objects with just ANSWER_FIELDS, each a string of at most LONGEST_FIELD characters or
     null; the label is not blank. Fields are trimmed, blank ones null. A null answer and one with a key twice are malformed.
     """
-    whole = answers.withColumn("_v", whole_json(F.col(raw)))
-    is_a = lambda v, kind: F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
-    keys = lambda m: F.coalesce(F.array_sort(F.map_keys(m)), F.array().cast("array<string>"))
-    top = F.try_variant_get("_v", "$", "map<string,variant>")
-    wrapped = is_a(F.col("_v"), "OBJECT") & (keys(top) == F.array(F.lit("rows"))) & is_a(F.try_variant_get("_v", "$.rows", "variant"), "ARRAY")
-    listed = whole.withColumn("_rows", F.when(wrapped, F.try_variant_get("_v", "$.rows", "array<variant>")))
-
-    def field(m: Column, name: str) -> Column:
-        v = F.try_element_at(m, F.lit(name))
-        text = F.when(is_a(v, "STRING"), F.try_variant_get(v, "$", "string"))
-        fits = v.isNull() | is_a(v, "VOID") | (F.length(text) <= LONGEST_FIELD)
-        return F.struct(F.nullif(F.btrim(text), F.lit("")).alias("text"), F.coalesce(fits, F.lit(False)).alias("fits"))
+    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")  # noqa: E731 null for all but objects
+    # The schema of an object says its keys, in their order, and their types at once.
+    shape = "^OBJECT<" + ", ".join(f"{n}: (?:STRING|VOID)" for n in sorted(ANSWER_FIELDS)) + ">$"
+    fields = "struct<" + ",".join(f"{n}:string" for n in ANSWER_FIELDS) + ">"
 
     def row(v: Column) -> Column:
-        m = F.try_variant_get(v, "$", "map<string,variant>")
-        fields = [field(m, name) for name in ANSWER_FIELDS]
-        shaped = is_a(v, "OBJECT") & (keys(m) == F.array(*[F.lit(n) for n in sorted(ANSWER_FIELDS)]))
-        fits = F.forall(F.array(*[f["fits"] for f in fields]), lambda c: c)
-        return F.struct((shaped & fits & fields[0]["text"].isNotNull()).alias("good"), F.struct(*[f["text"].alias(n) for f, n in zip(fields, ANSWER_FIELDS, strict=True)]).alias("row"))
-
-    few = F.size("_rows") <= MOST_ROWS
-    read = listed.withColumn("_read", F.when(few, F.transform("_rows", row))).withColumn("_bad", F.array_position(F.transform("_read", lambda r: r["good"]), False))
-    error = (
-        F.when(F.col("_v").isNull(), "malformed-json").when(F.col("_rows").isNull(), "malformed-envelope").when(~few, "too-many-rows")
-        .when(F.col("_bad") > 0, F.concat(F.lit("row-"), (F.col("_bad") - 1).cast("string"), F.lit("-malformed")))
-    )
-    read = read.withColumn("error", error)
-    return read.withColumn("rows", F.when(F.col("error").isNull(), F.transform("_read", lambda r: r["row"]))).drop("_v", "_rows", "_read", "_bad")
+        def judged(x: Column) -> Column:
+            said = F.struct(*[F.nullif(F.btrim(x[n]), F.lit("")).alias(n) for n in ANSWER_FIELDS])
+            short = F.forall(F.array(*[F.coalesce(F.length(x[n]), F.lit(0)) for n in ANSWER_FIELDS]), lambda n: n <= LONGEST_FIELD)
+            return F.struct((short & (F.length(F.btrim(x["label"])) > 0)).alias("good"), said.alias("row"))
+
+        shaped = F.coalesce(F.schema_of_variant(v).rlike(shape), F.lit(False))
+        return F.when(shaped, let(F.try_variant_get(v, "$", fields), judged))
+
+    def read(v: Column) -> Column:
+        listed = let(as_map(v), lambda top: F.when((F.size(top) == 1) & F.map_contains_key(top, "rows"), F.try_variant_get(F.try_element_at(top, F.lit("rows")), "$", "array<variant>")))
+        return let(listed, lambda rows: F.struct(v.isNotNull().alias("json"), F.when(rows.isNotNull(), F.size(rows)).alias("n"), F.when(F.size(rows) <= MOST_ROWS, F.transform(rows, row)).alias("read")))
+
+    def decided(x: Column) -> Column:
+        bad = F.array_position(F.transform(x["read"], lambda r: F.coalesce(r["good"], F.lit(False))), False)
+        error = (
+            F.when(~x["json"], "malformed-json").when(x["n"].isNull(), "malformed-envelope").when(x["n"] > MOST_ROWS, "too-many-rows")
+            .when(bad > 0, F.concat(F.lit("row-"), (bad - 1).cast("string"), F.lit("-malformed")))
+        )
+        return let(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), F.transform(x["read"], lambda r: r["row"])).alias("rows")))
+
+    # What a generator gives is read once, whatever later steps and filters do with it.
+    return answers.select(*[c for c in answers.columns if c not in ("error", "rows")], F.inline(F.array(let(let(whole_json(F.col(raw)), read), decided))))
