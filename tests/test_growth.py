@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from assayframe.operators import pages
+from assayframe.functions import dates, numbers
+from assayframe.operators import header_tables, pages
 
 
 def optimized(df) -> str:
@@ -20,3 +21,30 @@ def test_an_answers_rows_are_read_once(spark):
     found = pages.decoded_answers(spark.createDataFrame(list(enumerate(answers)), "id int, raw string"), "raw")
     assert len(re.findall(r"variant_get\(", optimized(found.where("error is null").select("id", F.get("rows", F.lit(0))["label"])))) <= 6
     assert {r["id"]: r["error"] for r in found.collect()} == {0: None, 1: "row-0-malformed", 2: "malformed-json", 3: "malformed-envelope", 4: "malformed-json"}
+
+
+def test_counts_of_pages_read_cells_once(spark):
+    """The observations were read by each of three branches, and dates and specimens for counts."""
+    kind = "report_id string, page_index int, ordinal long, observation_id string, text string, x double, y double, width double, height double, table_id string, row_index int, column_index int, spans array<struct<id:string,text:string,x:double,y:double,width:double,height:double>>"
+    texts = [["Test", "Result", "Current result", "Units"], ["Na", "", "140", "mmol/L"], ["K", "", "4,1 H", "mmol/L"], ["Test", "", "", ""]]
+    rows = [("r", 0, 10 * i + j, f"o{i}{j}", t, 0.2 * j, 0.1 * i, 0.1, 0.02, None, None, None, None) for i, row in enumerate(texts) for j, t in enumerate(row) if t]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    found = header_tables.page_counts(spark.createDataFrame(rows, kind).mapInArrow(counted, kind)).collect()
+    assert [(r["n_rows"], r["n_headers"], r["n_candidates"], r["n_measurements"]) for r in found] == [(4, 1, 3, 2)]
+    assert read.value == len(rows)
+
+
+def test_a_text_is_matched_once_for_its_date_and_number(spark):
+    df = spark.createDataFrame([("1/2/2024",), ("31-01-2024",), ("2024-02-30",), ("<= 5,5",), ("≥7",), ("abc",), ("Abc ",), ("",), (None,)], "t string")
+    found = df.select(dates.header_date(F.col("t"), F.lit("de-DE")).cast("string").alias("d"), numbers.scalar_value(F.col("t"), F.lit("ABC")).alias("v"))
+    assert optimized(found).count("regexp_extract") <= 8
+    assert [(r["d"], r["v"] and tuple(r["v"])) for r in found.collect()] == [
+        ("2024-02-01", ("text", None, None, "1/2/2024")), ("2024-01-31", ("text", None, None, "31-01-2024")), (None, ("text", None, None, "2024-02-30")), (None, ("bounded", "<=", 5.5, None)), (None, ("bounded", ">=", 7.0, None)),
+        (None, ("categorical", None, None, "abc")), (None, ("categorical", None, None, "Abc")), (None, None), (None, None),
+    ]
