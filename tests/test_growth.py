@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from assayframe.functions import dates, numbers
-from assayframe.operators import header_tables, pages
+from assayframe.operators import header_tables, joins, pages
 
 
 def optimized(df) -> str:
@@ -48,3 +48,16 @@ def test_a_text_is_matched_once_for_its_date_and_number(spark):
         ("2024-02-01", ("text", None, None, "1/2/2024")), ("2024-01-31", ("text", None, None, "31-01-2024")), (None, ("text", None, None, "2024-02-30")), (None, ("bounded", "<=", 5.5, None)), (None, ("bounded", ">=", 7.0, None)),
         (None, ("categorical", None, None, "abc")), (None, ("categorical", None, None, "Abc")), (None, None), (None, None),
     ]
+
+
+def test_choices_meet_near_options_only(spark):
+    """All pairs of equal keys were formed and ranked. Options at equal distances, on both sides, far away, none of a kind, competing owners and unknown distances."""
+    part = spark.range(400).selectExpr("id AS p", "id % 2 AS k", "id % 13 AS size", "CASE WHEN id % 97 > 0 THEN (id * 37 % 1000) / 4.0 END AS x")
+    option = spark.range(600).selectExpr("id AS s", "id % 2 AS k", "id % 6 AS kind", "id % 11 AS y", "id * 0.75 AS c")
+    rank, owner = F.floor(F.abs(F.col("size") - F.col("kind")) / 3), F.when((F.col("p") + F.col("kind")) % 4 == 0, True).when((F.col("p") + F.col("kind")) % 2 == 0, False)
+    dy = F.abs(F.col("size") - F.col("y"))
+    pairs = part.join(option, "k").withColumns({"rank": rank, "owner": owner, "dx": F.abs(F.col("x") - F.col("c")) / 10, "dy": dy})
+    near = joins.near_candidates(part, option, ["k"], "p", ["kind"], rank, owner, "x", "c", 10, 0.25, "dx").withColumn("dy", dy)
+    assert near.count() < 400 * 4 < pairs.count() / 50
+    chosen = lambda c: sorted(map(tuple, joins.cascading_choice(c, ["p"], "rank", "owner", [("dx", 0.25), ("dy", 1.0)], "s").collect()))
+    assert chosen(near) == chosen(pairs)
