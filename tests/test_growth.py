@@ -61,3 +61,13 @@ def test_choices_meet_near_options_only(spark):
     assert near.count() < 400 * 4 < pairs.count() / 50
     chosen = lambda c: sorted(map(tuple, joins.cascading_choice(c, ["p"], "rank", "owner", [("dx", 0.25), ("dy", 1.0)], "s").collect()))
     assert chosen(near) == chosen(pairs)
+
+
+def test_ids_of_equal_sets_are_dealt_into_tiles(spark):
+    """All ids of a set came to one task of a join of pairs."""
+    sets = spark.range(300).selectExpr("1 AS k", "id", "CASE id % 5 WHEN 0 THEN sequence(1, 10) WHEN 1 THEN sequence(2, 10) WHEN 2 THEN sequence(1, 9) WHEN 3 THEN sequence(1, 7) ELSE array(1, 1, 2) END AS items")
+    found = joins.set_similarity(sets, ["k"], "id", "items", 0.9, 7, digits=3, chunk=7)
+    like = {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0, (0, 1): 0.9, (0, 2): 0.9}
+    want = sorted((1, a, b, like[key]) for a in range(300) for b in range(a + 1, 300) if (key := tuple(sorted((a % 5, b % 5)))) in like)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "idsa" in optimized(found)
