@@ -95,16 +95,30 @@ def unit_of(text: Column, values: Column) -> Column:
     return F.array_min(F.transform(F.filter(matches(text, UNIT), credible), ranked))["raw"]
 
 
-def read_rows(rows: DataFrame, text_col: str, aliases: DataFrame | None = None, unsafe: DataFrame | None = None) -> DataFrame:
+def read_rows(rows: DataFrame, text_col: str, aliases: DataFrame | None = None, unsafe: DataFrame | None = None, *, repeated: bool = False) -> DataFrame:
     """rows with label, value, value_kind, unit, reference, flag (texts, null where there is none), n_values, n_references, entry_id, n_entries and is_unsafe.
 
     value is null unless exactly one number, or else one qualitative result at the end, can be it. The label is what stands before the value, all of the text
     if there is none; where one entry's alias is in the text, it is that alias as written, with what stands in brackets right behind it. aliases and
     unsafe (entry_id, alias): without aliases entry_id is null and n_entries 0. is_unsafe: an unsafe alias of the entry, or of any where
     none was found, is in the text. A null text counts as empty. Columns of rows with these names are replaced.
+
+    With aliases, or where texts are `repeated`, each different text is read once and joined to its rows.
     """
     own = ["label", "value", "value_kind", "unit", "reference", "flag", "n_values", "n_references", "entry_id", "n_entries", "is_unsafe"]
     kept = [c for c in rows.columns if c not in own]
+    if repeated or aliases is not None:
+        texts = rows.select(F.col(text_col).alias("_text")).distinct()
+        if aliases is not None:
+            texts = durable(texts)
+        read = _read_texts(texts, "_text", aliases, unsafe).select(F.xxhash64("_text").alias("_id"), "_text", *own)
+        rows = rows.select(*kept)
+        return rows.join(read, (F.xxhash64(rows[text_col]) == read["_id"]) & rows[text_col].eqNullSafe(read["_text"]), "left").select(*[rows[c] for c in kept], *[read[c] for c in own])
+    return _read_texts(rows.select(*kept), text_col, None, None)
+
+
+def _read_texts(rows: DataFrame, text_col: str, aliases: DataFrame | None, unsafe: DataFrame | None) -> DataFrame:
+    kept = rows.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     staged = rows.withColumn("_x", values_of(numbers_in(text), references_in(text)))
     staged = staged.withColumn("_only", F.when(F.size("_x.values") == 1, F.get("_x.values", F.lit(0))))
@@ -121,7 +135,7 @@ def read_rows(rows: DataFrame, text_col: str, aliases: DataFrame | None = None,
     )
     if aliases is None:
         return read.select("*", F.lit(None).cast("string").alias("entry_id"), F.lit(0).cast("long").alias("n_entries"), F.lit(False).alias("is_unsafe"))
-    texts = read.select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").distinct()
+    texts = read.select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
     found = alias_matches(texts, aliases).withColumnsRenamed({"id": "_id", "t": "_t"})
     n_entries = F.coalesce("n_entries", F.lit(0)).cast("long")
     known = read.join(found, (F.xxhash64(read[text_col]) == found["_id"]) & (read[text_col] == found["_t"]), "left").drop("_id", "_t")
@@ -202,16 +216,19 @@ def default_decision(reasons: Column) -> Column:
     return F.when(F.size(F.array_remove(reasons, "defaulted-collection-date")) == 0, "resolve").otherwise("unresolved")
 
 
-def display_labels(labels: DataFrame, aliases: DataFrame, *, key: str = "row_id", label: str = "label", value: str = "value", unit_col: str = "unit", reference: str = "reference", flag: str = "flag") -> DataFrame:
-    """labels (key unique) with `display`: the label without a suffix that repeats its own value, unit, reference or flag.
+def display_labels(labels: DataFrame, aliases: DataFrame, *, label: str = "label", value: str = "value", unit_col: str = "unit", reference: str = "reference", flag: str = "flag") -> DataFrame:
+    """labels with `display`: the label without a suffix that repeats its own value, unit, reference or flag.
 
     Suffixes are taken off word by word from the end, each field once and in any order, each as what it means (numbers by their value, units by their
     spelling, a flag by its letters). The most fields that leave a text with aliases of exactly one entry count; if that gives several texts, or none,
     or the row has neither value nor reference, the label stays. At most four fields, so at most four rounds, each of which looks at the words left.
     """
     numbers = lambda c: F.transform(F.transform(matches(c, NUMBER), lambda m: trimmed(m["raw"])), comparator_value)
-    said = labels.select(
-        F.col(key).alias("_key"), trimmed(F.col(label)).alias("_label"), F.col(value).alias("_v"), F.col(unit_col).alias("_u"), F.col(reference).alias("_r"), F.col(flag).alias("_f")
+    own = [label, value, unit_col, reference, flag]
+    # Rows alike in label and fields are decided once; their key is a struct of all five.
+    alike = labels.select(*own).distinct()
+    said = alike.select(
+        F.struct(*own).alias("_key"), trimmed(F.col(label)).alias("_label"), F.col(value).alias("_v"), F.col(unit_col).alias("_u"), F.col(reference).alias("_r"), F.col(flag).alias("_f")
     ).where("_label <> '' AND (nullif(_v, '') IS NOT NULL OR nullif(_r, '') IS NOT NULL)")
     same = lambda a, b: (a["kind"] == b["kind"]) & a["comparator"].eqNullSafe(b["comparator"]) & a["num"].eqNullSafe(b["num"]) & alias_key(a["text"]).eqNullSafe(alias_key(b["text"]))
     part = F.col("_part")
@@ -238,5 +255,9 @@ def display_labels(labels: DataFrame, aliases: DataFrame, *, key: str = "row_id"
     only = alias_matches(texts, aliases).where("n_entries = 1").select(F.col("t").alias("_rest"))
     good = every.join(only, "_rest", "left_semi").groupBy("_key").agg(F.max(F.col("_n")).alias("_most"), F.collect_set(F.struct("_n", "_rest")).alias("_all"))
     best = good.select("_key", F.array_distinct(F.transform(F.filter("_all", lambda x: x["_n"] == F.col("_most")), lambda x: x["_rest"])).alias("_best"))
-    joined = labels.join(best, labels[key] == best["_key"], "left")
-    return joined.withColumn("display", F.when(F.size("_best") == 1, F.get("_best", F.lit(0))).otherwise(trimmed(F.col(label)))).drop("_key", "_best")
+    best = best.select(F.xxhash64(*[F.col(f"_key.{c}") for c in own]).alias("_h"), "_key", F.when(F.size("_best") == 1, F.get("_best", F.lit(0))).alias("_display"))
+    met = F.xxhash64(*[labels[c] for c in own]) == best["_h"]
+    for c in own:
+        met = met & labels[c].eqNullSafe(best["_key"][c])
+    joined = labels.join(best, met, "left")
+    return joined.withColumn("display", F.coalesce("_display", trimmed(F.col(label)))).drop("_h", "_key", "_display")

@@ -99,7 +99,7 @@ def unrepresented_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {scans._ROWS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE form WHEN 2 THEN '<' || q WHEN 7 THEN '< ' || q WHEN 9 THEN '-' || q ELSE q END AS value, CASE WHEN form IN (2, 7) THEN 'bounded' ELSE 'numeric' END AS value_type FROM r WHERE form NOT IN (4, 5, 11, 12)""")
 def associated_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = source_rows.read_rows(scans._source_rows(spark, d), "text")
+    rows = source_rows.read_rows(scans._source_rows(spark, d), "text", repeated=True)
     return pages.associated(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value", "value_type")
 
 

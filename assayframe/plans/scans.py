@@ -173,7 +173,7 @@ def _aliases(spark: SparkSession, d: str) -> DataFrame:
   CASE form WHEN 2 THEN '<' || q WHEN 7 THEN '< ' || q WHEN 9 THEN '-' || q WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 11 THEN NULL WHEN 12 THEN 'nicht nachgewiesen' ELSE q END AS value, CASE WHEN form NOT IN (6, 11, 12) THEN u END AS unit,
   CASE form WHEN 0 THEN '3.5 - 5.1' WHEN 3 THEN '<200' WHEN 6 THEN '10–20' WHEN 10 THEN '70 - <99' WHEN 11 THEN '70-99' END AS reference, CASE WHEN form = 4 THEN 2 WHEN form IN (5, 11, 12) THEN 0 ELSE 1 END AS n_values FROM r""")
 def source_row_reader(spark: SparkSession, d: str) -> DataFrame:
-    return source_rows.read_rows(_source_rows(spark, d), "text").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "value", "unit", "reference", "n_values")
+    return source_rows.read_rows(_source_rows(spark, d), "text", repeated=True).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "value", "unit", "reference", "n_values")
 
 
 _READ = f"""{_ROWS}, k AS (SELECT *, brand NOT LIKE '%f' AND form <> 10 AS known, u = 'U/L' AND form NOT IN (6, 11, 12) AS risk FROM r),
@@ -217,8 +217,7 @@ def display_labels(spark: SparkSession, d: str) -> DataFrame:
     q, k = F.col("q").cast("string"), (F.col("l_orderkey") + F.col("l_linenumber")) % 6
     said = F.array(F.concat(F.lit(" "), q, F.lit(" mg/dl")), F.concat(F.lit(" 1.5-"), q, F.lit(" MG / DL H")), F.concat(F.lit("  h "), q), F.lit(""), F.concat(F.lit(" "), (F.col("q") + 1).cast("string")), F.concat(F.lit(" mg/dL "), q, F.lit(",0")))
     labels = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat("brand", F.get(said, k.cast("int"))).alias("label"), q.alias("value"), F.lit("mg/dL").alias("unit"), F.concat(F.lit("1.5-"), q).alias("reference"), F.lit("H").alias("flag"))
-    keyed = labels.withColumn("row_id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value"))
-    return source_rows.display_labels(keyed, _aliases(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "display")
+    return source_rows.display_labels(labels, _aliases(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "display")
 
 
 #: Every line of documents through the reader of rows; SQL has no matches with places, so this is tested against plain regular expressions.

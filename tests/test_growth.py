@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from assayframe.functions import dates, numbers
-from assayframe.operators import header_tables, joins, pages
+from assayframe.operators import header_tables, joins, pages, source_rows
 
 
 def optimized(df) -> str:
@@ -71,3 +71,27 @@ def test_ids_of_equal_sets_are_dealt_into_tiles(spark):
     want = sorted((1, a, b, like[key]) for a in range(300) for b in range(a + 1, 300) if (key := tuple(sorted((a % 5, b % 5)))) in like)
     assert sorted(map(tuple, found.collect())) == want
     assert "idsa" in optimized(found)
+
+
+def test_texts_that_repeat_are_read_once(spark):
+    """Every row went through the matches of numbers, ranges, units and aliases by itself."""
+    texts = ["Na 140 mmol/L", "K 4,1 mmol/L 3.5 - 5.1", "", None, "LDL <5 mmol/L"]
+    rows = spark.range(500).select("id", F.get(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 5).cast("int")).alias("text")).repartition(4)
+    aliases = spark.createDataFrame([("na", "Na"), ("k", "K")], "entry_id string, alias string")
+    for found in (source_rows.read_rows(rows, "text", repeated=True), source_rows.read_rows(rows, "text", aliases)):
+        assert found.columns[:2] == ["id", "text"] and "Aggregate" in optimized(source_rows.read_rows(rows, "text", repeated=True))
+        alone = source_rows.read_rows(rows.where("id < 5"), "text", aliases if found.where("entry_id IS NOT NULL").count() else None)
+        one = {r["text"]: tuple(r)[1:] for r in alone.collect()}
+        got = found.collect()
+        assert len(got) == 500 and all(tuple(r)[1:] == one[r["text"]] for r in got)
+
+
+def test_labels_alike_are_decided_once(spark):
+    """Labels had to have a key, and each was cut for itself; rows alike in all but one null field differ."""
+    aliases = spark.createDataFrame([("na", "Na")], "entry_id string, alias string")
+    kinds = [("Na 140", "140", None, None, None), ("Na 140", "141", None, None, None), ("Na 140", None, None, "140", None), ("Na H", "1", None, None, "H"), ("Na H", "1", None, None, None), (" Na ", None, None, None, None), (None, "1", None, None, None)]
+    labels = spark.createDataFrame([(i, *k) for i in range(30) for k in kinds], "id int, label string, value string, unit string, reference string, flag string")
+    found = source_rows.display_labels(labels, aliases)
+    assert len(found.collect()) == 210
+    shown = {(r["label"], r["value"], r["reference"], r["flag"]): r["display"] for r in found.collect()}
+    assert [shown[(k[0], k[1], k[3], k[4])] for k in kinds] == ["Na", "Na 140", "Na", "Na", "Na H", "Na", None]
