@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pages import whole_json
+from .scans import durable
 
 #: Bounds of a batch: proposals, cells of a row, characters of an id.
 MOST_PROPOSALS, MOST_CELLS, LONGEST_ID = 24, 24, 96
@@ -69,12 +70,14 @@ def valid_proposals(batches: DataFrame, rows: DataFrame, entries: DataFrame) ->
     types, unknown rows, cells or entries, a cell in two fields, no label or value among the fields, a biomarker that the role excludes or lacks, the role `ignore`; and all
     proposals of a row that several valid ones name.
     """
-    whole = batches.select("batch_id", whole_json(F.col("raw")).alias("v"))
+    # Answers alike are read once, and known by their SHA-256 from there on.
+    answer = F.sha2("raw", 256).alias("answer")
+    whole = batches.select(answer, "raw").where("raw IS NOT NULL").distinct().select("answer", whole_json(F.col("raw")).alias("v"))
     inner = F.try_variant_get("v", "$.proposals", "variant")
     listed = F.when(_is(F.col("v"), "ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(_is(F.col("v"), "OBJECT") & _is(inner, "ARRAY"), F.try_variant_get("v", "$.proposals", "array<variant>"))
-    few = whole.withColumn("items", listed).select("batch_id", F.explode(F.when(F.size("items") <= MOST_PROPOSALS, F.transform("items", lambda v, i: F.struct(i.cast("long").alias("place"), v.alias("v"))))).alias("i"))
+    few = whole.withColumn("items", listed).select("answer", F.explode(F.when(F.size("items") <= MOST_PROPOSALS, F.transform("items", lambda v, i: F.struct(i.cast("long").alias("place"), v.alias("v"))))).alias("i"))
     m = F.col("m")
-    items = few.select("batch_id", "i.place", _map(F.col("i.v")).alias("m")).where("m IS NOT NULL").withColumn("by_number", _text(m, "rowKey").isNotNull())
+    items = few.select("answer", "i.place", _map(F.col("i.v")).alias("m")).where("m IS NOT NULL").withColumn("by_number", _text(m, "rowKey").isNotNull())
 
     # both ways to say the biomarker and the specimen, but not both at once
     one_of = lambda a, b: ~(_has(m, a) & _has(m, b))
@@ -86,6 +89,8 @@ def valid_proposals(batches: DataFrame, rows: DataFrame, entries: DataFrame) ->
     items = items.where(F.coalesce(F.when(F.col("by_number"), _only(m, BY_NUMBER)).otherwise(_only(m, BY_IDS)) & fits & in_role, F.lit(False)))
     items = items.withColumns({"biomarker_id": biomarker, "specimen": F.coalesce(_text(m, "proposedSpecimenType"), _text(m, "specimenType")), "role": role})
     known = items.join(entries.select("biomarker_id").distinct().withColumn("_known", F.lit(True)), "biomarker_id", "left").where("biomarker_id IS NULL OR _known").drop("_known")
+    # Stored: what batches share is small, and two branches read it.
+    known = durable(known).join(batches.select("batch_id", answer), "answer").drop("answer")
 
     given = given_rows(rows)
     number = F.when(_text(m, "rowKey").rlike(r"^r(?:0|[1-9]\d*)$"), F.substring(_text(m, "rowKey"), 2, 20)).try_cast("int")

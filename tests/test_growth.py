@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from assayframe.functions import dates, numbers
-from assayframe.operators import header_tables, joins, pages, source_rows
+from assayframe.operators import header_tables, joins, pages, proposals, source_rows
 
 
 def optimized(df) -> str:
@@ -95,3 +95,13 @@ def test_labels_alike_are_decided_once(spark):
     assert len(found.collect()) == 210
     shown = {(r["label"], r["value"], r["reference"], r["flag"]): r["display"] for r in found.collect()}
     assert [shown[(k[0], k[1], k[3], k[4])] for k in kinds] == ["Na", "Na 140", "Na", "Na", "Na H", "Na", None]
+
+
+def test_answers_alike_are_read_once(spark):
+    """Each batch's answer was parsed for itself; batches that share one, and a null, keep their own rows."""
+    raw = '[{"rowKey":"r0","labelKey":"c0","valueKey":"c1","unitKey":null,"referenceIntervalKey":null,"flagKey":null,"role":"preserve"}]'
+    batches = spark.createDataFrame([(i, None if i == 7 else "[" if i == 8 else raw) for i in range(9)], "batch_id long, raw string")
+    rows = spark.createDataFrame([(i, 0, f"row-{i}", [f"{i}a", f"{i}b"]) for i in range(9)], "batch_id long, position int, row_id string, ids array<string>")
+    found = proposals.valid_proposals(batches, rows, spark.createDataFrame([("x",)], "biomarker_id string"))
+    assert sorted((r["batch_id"], r["row_id"], r["label"], r["value"]) for r in found.collect()) == [(i, f"row-{i}", f"{i}a", f"{i}b") for i in range(7)]
+    assert "parse_json" not in optimized(found)
